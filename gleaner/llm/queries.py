@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import quality_rules
+from gleaner.llm import mixing, quality_rules, sharding
 from gleaner.llm.common import table
 
 
@@ -10,8 +10,16 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark, sf_dir):
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark, sf_dir):
+    return sharding.assigned(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"op1_quality_rules": op1_quality_rules}
+    return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql():
