@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import mixing, quality_rules, sharding
+from gleaner.llm import license_scan, mixing, quality_classifier, quality_rules, sharding
 from gleaner.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark, sf_dir):
+    return license_scan.scanned(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op7_sharding(spark, sf_dir):
     return sharding.assigned(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark, sf_dir):
+    return quality_classifier.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
