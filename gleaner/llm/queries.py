@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import license_scan, mixing, quality_classifier, quality_rules, sharding
+from gleaner.llm import license_scan, mixing, quality_classifier, quality_rules, sharding, simhash_dedup
 from gleaner.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash_dedup(spark, sf_dir):
+    return simhash_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark, sf_dir):
     return license_scan.scanned(table(spark, sf_dir, "documents"))
 
