@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import license_scan, mixing, quality_classifier, quality_rules, sharding, simhash_dedup
+from gleaner.llm import decontamination, license_scan, mixing, quality_classifier, quality_rules, sharding, simhash_dedup
 from gleaner.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_license_scan(spark, sf_dir):
     return license_scan.scanned(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark, sf_dir):
+    return decontamination.pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
