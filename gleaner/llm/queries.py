@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import decontamination, license_scan, mixing, quality_classifier, quality_rules, sharding, simhash_dedup, substring_dedup
+from gleaner.llm import decontamination, license_scan, mixing, ppm, quality_classifier, quality_rules, sharding, simhash_dedup, substring_dedup
 from gleaner.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op8_quality_classifier(spark, sf_dir):
     return quality_classifier.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_ppm(spark, sf_dir):
+    return ppm.report(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
