@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import decontamination, license_scan, mixing, ppm, quality_classifier, quality_rules, sharding, simhash_dedup, substring_dedup
+from gleaner.llm import decontamination, license_scan, mixing, ppm, quality_classifier, quality_rules, sharding, simhash_dedup, substring_dedup, warc
 from gleaner.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark, sf_dir):
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash_dedup(spark, sf_dir):
     return simhash_dedup.report(table(spark, sf_dir, "documents"))
 
