@@ -96,21 +96,30 @@ def spans(buf: np.ndarray, at: np.ndarray, apart: np.ndarray = BLANK):
     return starts, ends, np.searchsorted(at, starts, "right") - 1
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASE, _INVERSE):
+        power = np.full(n, base, np.uint64)
+        power[:1] = 1
+        out.append(np.multiply.accumulate(power))
+    return out[0], out[1]
+
+
+_CACHED = _powers(CHUNK)
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, from prefix sums of a polynomial."""
-    n = len(buf)
-    power = np.full(n, _BASE, np.uint64)
-    if n:
-        power[0] = 1
-    power = np.multiply.accumulate(power)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-    back = np.full(n, _INVERSE, np.uint64)
-    if n:
-        back[0] = 1
-    back = np.multiply.accumulate(back)
-    return mixed((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64) * MUL)
-
-
-def word_counts(row: np.ndarray, rows: int) -> np.ndarray:
-    return np.bincount(row, minlength=rows).astype(np.int64)
+    """A 64-bit hash of each word, from prefix sums of a polynomial, for about CHUNK bytes at a time."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, low + CHUNK, "right")))
+        part = buf[low : int(ends[j - 1])]
+        power, back = _CACHED if len(part) <= CHUNK else _powers(len(part))
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=total[1:])
+        a, b = starts[i:j] - low, ends[i:j] - low
+        out[i:j] = mixed((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64) * MUL)
+        i = j
+    return out
