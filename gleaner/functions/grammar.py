@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import fixed as X
+from gleaner.functions.columns import computed
 from gleaner.functions.text import is_weapon, tidy_name
 
 _END = X.GAP + X.FOR + X.GAP + X.NUMBER
@@ -72,14 +73,11 @@ def ability(body: Column, shape_: Column) -> Column:
     return F.trim(out)
 
 
-def told(df: DataFrame, body: str) -> DataFrame:
-    """The rows that a shape fits, with kind, dir, who, target and ability. Each step is a column, so none is worked out twice."""
-    df = df.withColumn("__shape", shape(F.col(body))).where("__shape is not null")
-    s = F.col("__shape")
-    df = df.withColumn("__raw", other_name(F.col(body), s)).withColumn("ability", ability(F.col(body), s))
-    df = df.withColumn("kind", _of(s, [x[1] for x in SHAPES])).withColumn("dir", _of(s, [x[2] for x in SHAPES]))
-    df = df.withColumn("__name", F.when(F.col("__raw").isNull(), F.lit("Unknown")).otherwise(tidy_name(F.col("__raw"))))
-    df = df.withColumn("__name", F.when(s.isin(*ARMED) & is_weapon(F.col("__name")), F.lit("Unknown")).otherwise(F.col("__name")))
+def told(df: DataFrame, body: str, place: str) -> DataFrame:
+    """Rows with what their shape says: kind, dir, who, target, fighter and ability."""
+    s = F.col(place)
+    df = computed(df, __raw=other_name(F.col(body), s), ability=ability(F.col(body), s), kind=_of(s, [x[1] for x in SHAPES]), dir=_of(s, [x[2] for x in SHAPES]))
+    df = computed(df, __name=F.when(F.col("__raw").isNull(), F.lit("Unknown")).otherwise(tidy_name(F.col("__raw"))))
+    df = computed(df, fighter=F.when(s.isin(*ARMED) & is_weapon(F.col("__name")), F.lit("Unknown")).otherwise(F.col("__name")))
     you, incoming = F.lit("You"), F.col("dir") == "in"
-    df = df.withColumn("who", F.when(incoming, F.col("__name")).otherwise(you)).withColumn("target", F.when(incoming, you).otherwise(F.col("__name")))
-    return df.withColumn("fighter", F.col("__name")).drop("__shape", "__raw", "__name")
+    return df.withColumn("who", F.when(incoming, F.col("fighter")).otherwise(you)).withColumn("target", F.when(incoming, you).otherwise(F.col("fighter")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.config import Settings
 from gleaner.functions.text import day_shift
 from gleaner.operators.statistics import islands, nearest_of, upper_median
+from gleaner.sources.staging import staged
 
 KEY = ["clip_id", "t", "dir", "amount", "fighter"]
 
@@ -39,8 +40,8 @@ def centres(off: DataFrame, cfg: Settings = Settings()) -> DataFrame:
 
 def aligned(readings: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Readings with timed ones at clip time; clips without a timed line stay as they are."""
-    off = offsets(first_sightings(readings))
-    mid = centres(off, cfg)
+    off = staged(offsets(first_sightings(readings)))
+    mid = staged(centres(off, cfg))
     shift = off.join(mid, "clip_id").select(*KEY, "day", nearest_of(F.col("off"), F.col("centres")).alias("centre"))
     of = shift.select(F.col("clip_id").alias("__clip"), F.col("t").alias("__t"), F.col("dir").alias("__dir"), F.col("amount").alias("__amount"), F.col("fighter").alias("__f"), "day", "centre")
     same = (F.col("clip_id") == F.col("__clip")) & (F.col("t") == F.col("__t")) & (F.col("dir") == F.col("__dir")) & (F.col("amount") == F.col("__amount")) & F.col("fighter").eqNullSafe(F.col("__f"))

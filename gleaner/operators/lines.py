@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import similarity, text
-from gleaner.functions.grammar import told
+from gleaner.functions.columns import computed
+from gleaner.functions.grammar import shape, told
 
 
 def first_distinct(lines: DataFrame, by: tuple[str, ...] = ("clip_id", "frame_no"), order: tuple[str, ...] = ("pass", "line_no"), line: str = "raw") -> DataFrame:
@@ -18,11 +19,11 @@ def first_distinct(lines: DataFrame, by: tuple[str, ...] = ("clip_id", "frame_no
 def parsed(lines: DataFrame) -> DataFrame:
     """Readings of the lines that have a time, a number and a shape of the grammar; seq is the order of reading."""
     wall = text.clock_seconds(F.col("raw"))
-    df = lines.withColumn("wall_s", wall).withColumn("t", F.coalesce("wall_s", F.col("ft"))).withColumn("exact", F.col("wall_s").isNotNull())
-    df = df.withColumn("__body", text.without_channels(text.after_clock(F.col("raw")))).withColumn("__found", text.amount_found(F.col("__body")))
-    df = df.where(F.col("t").isNotNull() & F.col("__found").isNotNull())
-    df = df.withColumn("amount", text.amount_in(F.col("__found"))).where(F.col("amount").isNotNull())
-    df = told(df, "__body").withColumn("flags", similarity.tags(F.col("__body")))
+    df = computed(lines, wall_s=wall, __body=text.without_channels(text.after_clock(F.col("raw"))))
+    df = computed(df.where("coalesce(wall_s, ft) is not null"), __found=text.amount_found(F.col("__body"))).where("__found is not null")
+    df = computed(df, amount=text.amount_in(F.col("__found")), __shape=shape(F.col("__body"))).where("amount is not null and __shape is not null")
+    df = told(df, "__body", "__shape").withColumn("flags", similarity.tags(F.col("__body")))
+    df = df.withColumn("t", F.coalesce("wall_s", F.col("ft"))).withColumn("exact", F.col("wall_s").isNotNull())
     seq = F.col("frame_no").cast("long") * 10_000_000 + F.col("pass") * 1_000_000 + F.col("line_no")
     return df.select("clip_id", seq.alias("seq"), "pass", "ft", "wall_s", "t", "exact", "kind", "dir", "who", "target", "fighter", "amount", "ability", "flags", "raw")
 

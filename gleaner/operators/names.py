@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gleaner.config import Settings
 from gleaner.functions import text
 from gleaner.functions.similarity import folded, nearest
+from gleaner.sources.staging import staged
 
 
 def frequencies(readings: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def name_map(counts: DataFrame, cfg: Settings = Settings()) -> DataFrame:
 
 def canonical(readings: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Readings with canonical names; names that are junk or like no anchor become null."""
-    to = name_map(frequencies(readings), cfg)
+    to = staged(name_map(frequencies(readings), cfg))
     for column in ("who", "target"):
         own = to.select("clip_id", F.col("reading").alias(column), F.col("canonical").alias("__c"))
         fixed = F.col(column).isNull() | F.col(column).isin("You", "")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.config import Settings
 from gleaner.functions.text import one_glyph_off
+from gleaner.sources.staging import staged
 
 COMPANY = ["clip_id", "kind", "dir", "fighter"]
 
@@ -91,7 +92,7 @@ def settled(readings: DataFrame, cfg: Settings = Settings()) -> DataFrame:
         pdf.loc[known.index, "amount"] = out["amount"]
         return pdf
 
-    df = readings.groupBy(*COMPANY).applyInPandas(company, schema)
+    df = staged(readings.groupBy(*COMPANY).applyInPandas(company, schema))
     clips = df.where("fighter = 'Unknown'").select("clip_id").distinct()
     with_any = df.join(clips, "clip_id", "left_semi").groupBy("clip_id").applyInPandas(strangers, schema)
     return df.join(clips, "clip_id", "left_anti").unionByName(with_any)
