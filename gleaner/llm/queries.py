@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import decontamination, license_scan, mixing, ppm, quality_classifier, quality_rules, sharding, simhash_dedup, substring_dedup, warc
+from gleaner.llm import decontamination, license_scan, mixing, oracles, ppm, quality_classifier, quality_rules, sharding, simhash_dedup, substring_dedup, warc
 from gleaner.llm.common import table
 
 
@@ -59,4 +59,4 @@ def queries():
 def oracle_sql():
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return oracles.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -20,3 +20,22 @@ def test_run(spark, docs, rows, tmp_path):
     one = {r.doc_id: r.component_id for r in simhash_dedup.report(d.where(d.doc_id.isin(list(good)) | d.doc_id.isNull())).collect()}
     assert len({one[i] for i in ids}) == len(ids)
     assert {"doc_id", "size", "shard", "slot"} <= set(out[0].asDict())
+
+
+def test_queries_against_sql(spark):
+    import os
+    import sys
+
+    import pytest
+
+    from gleaner.llm import queries
+
+    here = "/root/testdata/sf0.001"
+    if not os.path.isdir(here):
+        pytest.skip("no tables here")
+    sys.path.insert(0, os.path.dirname(os.path.dirname(__file__)))
+    import oracle
+
+    con = oracle.connection(here)
+    for name, sql in queries.oracle_sql().items():
+        assert oracle.compare(queries.queries()[name](spark, here), con, sql) == "", name
