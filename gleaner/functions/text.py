@@ -27,11 +27,12 @@ def after_clock(raw: Column) -> Column:
 
 
 def without_channels(c: Column) -> Column:
-    """The body without marks before it and without channel words, wherever they stand."""
-    c = F.regexp_replace(c, r"^[\s(\[{|:.,]+", "")
+    """The body without marks before it and without channel words, wherever they stand. Most lines have none of the words."""
+    bare = F.regexp_replace(c, r"^[\s(\[{|:.,]+", "")
+    out = bare
     for word in X.CHANNELS:
-        c = F.regexp_replace(c, rf"(?i)[\[({{]?\s*{word}\s*[\])}}1lI]?", " ")
-    return squeezed(c)
+        out = F.regexp_replace(out, rf"(?i)[\[({{]?\s*{word}\s*[\])}}1lI]?", " ")
+    return squeezed(F.when(bare.rlike("(?i)" + "|".join(X.CHANNELS)), out).otherwise(bare))
 
 
 def amount_found(body: Column) -> Column:

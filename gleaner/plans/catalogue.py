@@ -78,7 +78,7 @@ def hms_extract(spark, sf_dir):
 
 
 def parse_lines(spark, sf_dir):
-    got = lines.parsed(_log(spark, sf_dir))
+    got = reconstruct.readings(_log(spark, sf_dir))
     return got.select("clip_id", F.floor(F.col("seq") / 10_000_000).alias("frame_no"), "wall_s", "exact", "kind", "dir", "who", "target", "amount", "ability", F.array_join("flags", ",").alias("tags"))
 
 
