@@ -218,6 +218,17 @@ def lane_counts(spark, sf_dir):
     return report.lane_counts(_told(spark, sf_dir))
 
 
+def defence(spark, sf_dir):
+    return report.defence(report.selected(_told(spark, sf_dir), without=("signuper",)))
+
+
+def summary(spark, sf_dir):
+    """Counts of each step; of readings, those parsed from the events' lines, and as folded and kept their incoming ones."""
+    log = _log(spark, sf_dir)
+    got = reconstruct.readings(log)
+    return report.summary(log, got, got.where("dir = 'in'"), got.where("dir = 'in' and kind = 'hit'"))
+
+
 def line_pitch(spark, sf_dir):
     df = _table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 3).alias("top"))
     return statistics.line_pitch(df, ("l_suppkey",), "top", F.lit(14).cast("long"))
@@ -386,6 +397,10 @@ SQL: dict[str, str] = {
       select clip_id, {_LANE} lane, s t, round(s / greatest(86000.0, m) * 100, 2) pct, cast(cast(floor(s / 60) as bigint) as varchar) || ':' || lpad(cast(cast(s % 60 as bigint) as varchar), 2, '0') as "at", greatest(0.0, s - 4) seek,
       case when dir = 'in' then who else target end who from h where {_LANE} is not null""",
     "lane_counts": f"select clip_id, {', '.join(f'count(*) filter ({_LANE} = {chr(39)}{k}{chr(39)}) {k}' for k in ('counter', 'parried', 'gotparried'))} from {SQL_TOLD} where kind = 'hit' group by 1",
+    "defence": f"""select *, round(parried * 100 / hits, 2) parried_pct, round(countered * 100 / hits, 2) countered_pct from (select clip_id, dir, count(*) hits, count(*) filter (flag = 0) parried, count(*) filter (flag = 1) countered
+      from {SQL_TOLD} where kind = 'hit' and (case when dir = 'in' then who else target end) <> 'signuper' group by 1, 2)""",
+    "summary": f"""select clip_id, n frames, n "lines", n readings, i folded, k kept, i - k dropped from (select clip_id, count(*) n, count(*) filter (event_type in ('view', 'error', 'signup')) i,
+      count(*) filter (event_type in ('error', 'signup')) k from {SQL_EVENTS} group by 1)""",
     "line_pitch": """with g as (select l_suppkey, l_orderkey * 3 - lag(l_orderkey * 3) over (partition by l_suppkey order by l_orderkey) d from lineitem),
       p as (select l_suppkey, percentile_disc(0.5) within group (order by d desc) pitch from g where d > 6 and d < 120 group by 1)
       select s.l_suppkey, coalesce(pitch, 14) pitch from (select distinct l_suppkey from lineitem) s left join p on s.l_suppkey = p.l_suppkey""",
@@ -409,7 +424,7 @@ SQL: dict[str, str] = {
 
 NAMES = (
     "fight_history", "line_frequency", "first_distinct_line", "hms_extract", "parse_lines", "norm_name", "weapon_words", "bracketed_words", "read_tags", "json_filter", "upper_median", "noise_floor", "keep_real",
-    "gap_islands", "offset_clusters", "nearest_centre", "midnight_unwrap", "one_glyph_pairs", "settle_amounts", "nameless_anti_join", "twin_prune", "majority_vote", "totals", "players", "lanes", "lane_counts", "line_pitch",
+    "gap_islands", "offset_clusters", "nearest_centre", "midnight_unwrap", "one_glyph_pairs", "settle_amounts", "nameless_anti_join", "twin_prune", "majority_vote", "totals", "players", "lanes", "lane_counts", "defence", "summary", "line_pitch",
     "log_column", "frame_segments", "tagged_lines", "box_records", "log_visible", "clip_range", "first_sightings", "readings_of_name", "name_counts", "escaped_html", "fuzzy_names", "run_merge", "reconstruct_events",
 )
 

@@ -43,6 +43,31 @@ def history(events: DataFrame, by: tuple[str, ...] = ("clip_id",)) -> DataFrame:
     return df.withColumn("net", F.col("out") - F.col("in"))
 
 
+def summary(ocr_lines: DataFrame, readings: DataFrame, folded: DataFrame, kept: DataFrame) -> DataFrame:
+    """How a clip's lines became events: frames with lines, lines, readings, events before and after noise was left out."""
+    lines = ocr_lines.groupBy("clip_id").agg(F.count_distinct("frame_no").alias("frames"), F.count("*").alias("lines"))
+    count = lambda df, name: df.groupBy("clip_id").agg(F.count("*").alias(name))
+    df = lines.join(count(readings, "readings"), "clip_id", "left").join(count(folded, "folded"), "clip_id", "left").join(count(kept, "kept"), "clip_id", "left")
+    df = df.na.fill(0, ["readings", "folded", "kept"])
+    return df.withColumn("dropped", F.col("folded") - F.col("kept"))
+
+
+def selected(events: DataFrame, first: float | None = None, last: float | None = None, without: tuple[str, ...] = ()) -> DataFrame:
+    """Events of a stretch of the clip, without some fighters."""
+    who = F.when(F.col("dir") == "in", F.col("who")).otherwise(F.col("target"))
+    df = events if first is None else events.where(F.col("t") >= first)
+    df = df if last is None else df.where(F.col("t") <= last)
+    return df.where(~F.coalesce(who, F.lit("")).isin(*without)) if without else df
+
+
+def defence(events: DataFrame, by: tuple[str, ...] = ("clip_id",)) -> DataFrame:
+    """Of hits each way, those parried and those countered, and their shares in percent."""
+    hits = events.where(kind() == "hit")
+    df = hits.groupBy(*by, "dir").agg(F.count("*").alias("hits"), F.count_if(F.array_contains("flags", "Parry")).alias("parried"), F.count_if(F.array_contains("flags", "Counter Reduced")).alias("countered"))
+    share = lambda n: F.round(F.col(n) * 100 / F.col("hits"), 2)
+    return df.withColumn("parried_pct", share("parried")).withColumn("countered_pct", share("countered"))
+
+
 def saved_history(fights: DataFrame) -> DataFrame:
     """History rows of saved envelopes (with name and modified), the newest first."""
     one = lambda d: F.aggregate(F.filter("events", lambda e: (F.coalesce(e["kind"], F.lit("hit")) == "hit") & (e["dir"] == d)), F.lit(0).cast("long"), lambda s, e: s + e["amount"])
