@@ -74,7 +74,7 @@ def test_names(spark):
 @given(st.text(alphabet="rnclvwy05821ABi'- xyz", max_size=12))
 def test_folding_again_changes_only_new_pairs(word):
     once = similarity.folded(word)
-    assert set(once) <= set("abcdefghjklmnopqrstuvwxyz") and "rn" not in word.lower() or True
+    assert set(once) <= set("abcdefghjklmnopqrstuvwxyz")
     assert similarity.folded(once) == once or any(p in once for p in ("rn", "cl", "vv", "vy"))
 
 
