@@ -1,8 +1,9 @@
 """License scan: Aho-Corasick over normalised words, and a shunting-yard parser for licence expressions.
 
 One automaton over each text's lower-cased words, joined by single spaces, finds notice phrases. One over the lower-cased
-text finds identifier tags; what follows a tag on its line is read as an expression of identifiers, and, or, with and
-brackets, put into postfix order by a shunting yard and evaluated against the known identifiers.
+text finds identifier tags; what follows a tag on its line, up to the next tag, is read as an expression of identifiers,
+and, or, with and brackets, put into postfix order by a shunting yard and evaluated against the known identifiers. The work
+on a text grows with its length and number of places, however many tags or phrases one line holds.
 
 Defined results: a null text counts as empty and has no places; rows are independent, so repeated rows get equal results and
 an empty table gives none; an expression that doesn't parse yields the known identifiers in it and no verdict; whole texts
@@ -136,18 +137,20 @@ def scan(text: str | None) -> dict:
     words = [w for w in low.encode().translate(_WORDS).split(b" ") if w]
     line = b"".join((b" ", b" ".join(words), b" ")).decode()
     base, own, at = set(), set(), []
-    notices = 0
-    for end, phrase in phrases.iter(line):
+    notices = blanks = read = 0
+    for end, phrase in phrases.iter(line):  # in order of their ends, so blanks are counted once
         notices += 1
         if phrase in BASE_PHRASES:
             base.add(BASE_PHRASES[phrase])
-            at.append(line.count(" ", 0, end - len(phrase) - 1))
+            blanks, read = blanks + line.count(" ", read, end + 1), end + 1
+            at.append(blanks - phrase.count(" ") - 2)
         if phrase in PHRASES:
             own.add(PHRASES[phrase])
     expressions = []
-    for end, _ in tags.iter(low):
-        stop = low.find("\n", end + 1)
-        shown = low[end + 1 : len(low) if stop < 0 else stop]
+    found = [(end + 1, end + 1 - len(tag)) for end, tag in tags.iter(low)]
+    for (begin, _), (_, following) in zip(found, [*found[1:], (0, len(low))]):
+        stop = low.find("\n", begin, following)
+        shown = low[begin : following if stop < 0 else stop]
         if (order := postfix(shown)) is None:
             own |= {t for t in (x.rstrip(".") for x in _TOKEN.findall(shown)) if t in KNOWN}
         else:

@@ -60,6 +60,19 @@ def test_tags():
     assert ls.scan("SPDX-License-Identifier: MIT OR")["labels"] == "mit"
 
 
+def test_tags_on_one_line():
+    got = ls.scan("spdx-license-identifier: mit or isc spdx-license-identifier: gpl-3.0-only SPDX-License-Identifier: bsd-3-clause and\nzlib")
+    assert got["expressions"] == "mit isc or,gpl-3.0-only" and not got["reusable"]
+    assert got["labels"] == "bsd-3-clause,gpl-3.0-only,isc,mit"
+
+
+def test_one_long_line_of_many_places():
+    n = 60_000
+    got = ls.scan("CC BY, spdx-license-identifier: mit or; " * n)
+    assert (got["n_base"], got["first_word"], got["last_word"]) == (n, 0, 7 * (n - 1)) and got["n_words"] == 7 * n
+    assert got["labels"] == "cc-by,mit"
+
+
 def test_frame(docs, rows, none):
     got = sorted((str(r.doc_id), r.n_words) for r in ls.scanned(docs).collect())
     assert got == sorted((str(r[0]), base(r[1])[0]) for r in rows) and ls.scanned(none).count() == 0
