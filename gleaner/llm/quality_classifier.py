@@ -6,8 +6,8 @@ descent on a bounded sample of them: SAMPLE rows at most, those of smallest hash
 the fit alone. Every row is scored whole, from its text alone.
 
 Defined results: a null text is scored as empty; rows without a label or with a null label are scored like others and never
-learnt from; if labels of only one class are there, all scores are 0.5; repeated rows score alike; an empty table gives no
-rows.
+learnt from; if labels of only one class are there, all scores are 0.5; repeated rows score alike; of a labelled doc_id that
+stands for several texts one is learnt from, that whose features are least as bytes; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -126,8 +126,9 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
 
     small_batches(docs.sparkSession)
     id_type = dict(got.dtypes)["doc_id"]
-    rows = {(r[0], r[1], bytes(r[2])) for r in got.mapInArrow(run, f"doc_id {id_type}, y int, features binary").collect()}
-    rows = sorted(rows)
+    # One row for each doc_id, so that no more than the sample reaches the driver however often a doc_id stands.
+    one = got.mapInArrow(run, f"doc_id {id_type}, y int, features binary").groupBy("doc_id", "y").agg(F.min("features").alias("features"))
+    rows = sorted((r[0], r[1], bytes(r[2])) for r in one.collect())
     return fit([np.frombuffer(r[2], np.int32) for r in rows], np.array([r[1] for r in rows], np.int64))
 
 

@@ -46,3 +46,16 @@ def test_odd_inputs(spark, docs, rows, none):
     got = qc.report(docs, y).collect()
     assert len(got) == len(rows) and all(r.score == 0.5 for r in got)
     assert qc.report(none, y).count() == 0 and qc.accepted(docs, y.limit(0)).columns == docs.columns
+
+
+def test_one_row_of_a_repeated_doc_id_is_learnt_from(spark, words, monkeypatch):
+    docs, labels = made(words, 60)
+    learnt = []
+    real = qc.fit
+    monkeypatch.setattr(qc, "fit", lambda own, y, **more: learnt.append(len(own)) or real(own, y, **more))
+    y = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    more = docs + [(7, f"another text {i}") for i in range(200)]
+    models = [qc.trained(spark.createDataFrame(rows, "doc_id long, text string"), y) for rows in (more, more[::-1])]
+    known = {i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert 7 in known and learnt == [len(known)] * 2
+    assert np.array_equal(models[0][0], models[1][0]) and models[0][1:] == models[1][1:]
