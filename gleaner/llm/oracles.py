@@ -18,6 +18,16 @@ OP1 = rf"""with d as (select doc_id, coalesce(text, '') t, {_WORDS} w, [x for x
     + 16 * (n_words > 0 and (word_chars < 2 * n_words or word_chars > 25 * n_words))::integer + 32 * (n_words > 0 and 2 * n_upper > word_chars)::integer + 64 * (n_words > 0 and 4 * n_exclaims > n_words)::integer as bigint) fail_bits from m)
   select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed, fail_bits = 0 kept, fail_bits, n_lines, n_upper, n_exclaims from b"""
 
+# Base32 of the 40 hex digits: 20 bits are 5 of them, and 4 characters.
+_DIGITS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+_FOUR = " || ".join(f"substr({_DIGITS}, cast((n >> {shift}) & 31 as integer) + 1, 1)" for shift in (15, 10, 5, 0))
+OP2 = rf"""with p as (select page_id, coalesce(html, '') h from pages), r as (select h, max(page_id) response_id, sha1(h) x from p group by h),
+  g as (select h, response_id, [cast('0x' || substr(x, cast(5 * i + 1 as integer), 5) as bigint) for i in range(8)] l from r),
+  b as (select h, response_id, array_to_string([{_FOUR} for n in l], '') payload_digest from g),
+  o as (select page_id, p.h, payload_digest, response_id, page_id is not distinct from response_id is_response from p join b on p.h = b.h)
+  select page_id, cast(octet_length(encode(h)) as bigint) payload_bytes, payload_digest, case when is_response then 'response' else 'revisit' end record_type,
+    case when is_response then null else response_id end refers_to, cast(null as varchar) fault from o"""
+
 OP5 = f"""with s as (select distinct item_id, array_to_string(list_slice(w, i + 1, i + 5), ' ') s from (select item_id, w, unnest(range(len(w) - 4)) i from (select item_id, {_LETTERS} w from benchmark) where len(w) >= 5)),
   d as (select distinct doc_id, array_to_string(list_slice(w, i + 1, i + 5), ' ') s from (select doc_id, w, unnest(range(len(w) - 4)) i from (select doc_id, {_LETTERS} w from documents) where len(w) >= 5)),
   n as (select item_id, count(*) n from s group by 1), m as (select doc_id, item_id, count(*) k from d join s on d.s = s.s group by 1, 2)
@@ -29,4 +39,4 @@ OP10 = f"""with d as (select doc_id, {_WORDS} w from documents), p as (select do
   z as (select doc_id, count(*) filter (gone) n, coalesce(string_agg(x, ' ' order by j) filter (not gone), '') t from y group by 1)
   select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n, 0) as bigint) n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join z on d.doc_id = z.doc_id"""
 
-SQL = {"op1_quality_rules": OP1, "op5_decontamination": OP5, "op10_substring_dedup": OP10}
+SQL = {"op1_quality_rules": OP1, "op2_warc": OP2, "op5_decontamination": OP5, "op10_substring_dedup": OP10}
