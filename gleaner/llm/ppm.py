@@ -6,8 +6,10 @@ byte by byte: a byte seen in the longest context costs its share there; otherwis
 (d + r) / (t + d + r) of d kinds of bytes seen t times in all and r times of rarer ones (method C), and the next shorter context is asked, in which all bytes
 that the longer one has seen are excluded. Below the empty context all bytes left over are alike.
 
-Every node of the trie holds at least a SHARE of all training bytes, a rule that is the same at any size and bounds each
-level at 1 / SHARE nodes, which is what makes the trie fit to be broadcast; the mass of rarer nodes is left to the escapes.
+Nothing is pruned: a gram's code length follows from the gram alone, so it is worked out once for each distinct gram, by
+windows and joins over the stored level tables, and a text's score is the sum over its grams. The grams that stand most
+often, KEPT at most, are broadcast with their code lengths as a fast path that no result depends on; all others meet
+theirs in a join, summed up by text beforehand. Those are chosen by all texts, so that no gram left over is a hot key.
 
 A text is read as its UTF-8 bytes between two marks of the byte 255, which UTF-8 never has; the second is coded too, so
 the probabilities of all texts sum to one at most.
@@ -16,7 +18,7 @@ Word counts have no such bound. Words of at least a WORD_SHARE of all tokens (at
 all others meet their counts in a join, where none of them is a hot key.
 
 Defined results: a null text counts as empty: one token, the end; a null doc_id counts as training; with no training rows
-N and V are 0, all tokens have the same probability, and the trie is empty; repeated rows are learnt from and scored each by
+N and V are 0, all tokens have the same probability, and so have all bytes; repeated rows are learnt from and scored each by
 itself; an empty table gives no rows; other columns are not read.
 """
 
@@ -26,13 +28,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import MUL, small_batches, stored
 
 ORDER = 5
-SHARE = 5e-7
+#: Most grams that are broadcast.
+KEPT = 500_000
 WORD_SHARE = 5e-6
 MARK = 255
 FOLDS, HELD = 5, 1
@@ -60,8 +63,8 @@ def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarra
     return code[inside], of[inside]
 
 
-def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n) of all texts: each task adds up what it has read before anything moves."""
+def gram_sums(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, n) of what each task has read, added up before anything moves; a gram has several rows."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -94,7 +97,7 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
             keys, sums = merged()
         yield from told()
 
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "gram long, n long")
 
 
 class Table:
@@ -203,20 +206,83 @@ class Trie:
         return out
 
 
-def trained(train: DataFrame, order: int = ORDER, share: float = SHARE) -> Trie:
-    """The trie of the training texts."""
-    level = stored(gram_counts(train, order))
+def shorter(level: DataFrame, k: int) -> DataFrame:
+    """The counts of grams of k bytes from those of one more."""
+    return level.groupBy(tail("gram", k).alias("gram")).agg(F.sum("n").alias("n"))
+
+
+def tail(gram: str, k: int):
+    """The last k bytes of a gram."""
+    return F.col(gram).bitwiseAND(F.lit((1 << 8 * k) - 1))
+
+
+def trained(train: DataFrame, order: int = ORDER, share: float = 0.0) -> Trie:
+    """The trie of the training texts in memory, without nodes of less than a share of all bytes; for small texts."""
+    level = stored(gram_sums(train, order).groupBy("gram").agg(F.sum("n").alias("n")))
     levels = []
     total = level.agg(F.sum("n")).first()[0] or 0
     for k in range(order, -1, -1):
         got = level.where(F.col("n") >= share * total).toPandas()
         levels.append((got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.int64)))
         if k:
-            level = level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-            level = stored(level) if k >= 3 else level
+            level = stored(shorter(level, k))
     return Trie(levels[::-1])
 
 
+def costs(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, m, p) of each gram of the texts: how often it stands in all, log10 of its last byte after the others."""
+    count = gram_sums(rows.where(~held_out()), order).select("gram", "n", F.col("n").alias("m"))
+    count = count.unionByName(gram_sums(rows.where(held_out()), order).select("gram", F.lit(0).cast("long").alias("n"), F.col("n").alias("m")))
+    every = stored(count.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+    levels = [every.where("n > 0").select("gram", "n")]
+    for k in range(order, 0, -1):
+        levels.insert(0, stored(shorter(levels[0], k)))
+
+    at = Window.partitionBy(F.shiftright("gram", 8))
+    of = every.select("gram", "n", "m", F.sum("n").over(at).alias("t"), F.count(F.when(F.col("n") > 0, 1)).over(at).alias("d"))
+    done = [of.where("n > 0").select("gram", "m", F.log10(F.col("n") / (F.col("t") + F.col("d"))).alias("p"))]
+    # grams of no training text go down the contexts, the excluded counts and kinds with them
+    zero = F.lit(0).cast("long")
+    left = stored(every.where("n = 0").select("gram", "m", F.lit(0.0).alias("p"), zero.alias("gone_t"), zero.alias("gone_d")))
+    for k in range(order, -1, -1):
+        # tables of at most 2 ** 16 rows are broadcast, as their keys are hot
+        node_hint, level_hint, below_hint = (F.broadcast if k <= most else lambda df: df for most in (2, 1, 2))
+        here = left.withColumns({"code": tail("gram", k + 1), "context": F.shiftright(tail("gram", k + 1), 8)})
+        seen = levels[k].withColumn("context", F.shiftright("gram", 8)).join(node_hint(here.select("context").distinct()), "context", "left_semi")
+        if k:
+            below = levels[k - 1].select(F.col("gram").alias("code"), F.col("n").alias("x"))
+            seen = seen.withColumn("code", tail("gram", k)).join(below_hint(below), "code")
+        else:
+            seen = seen.withColumn("x", zero)
+        node = seen.groupBy("context").agg(F.sum("n").alias("t"), F.count("*").alias("d"), F.sum("x").alias("x"))
+        met = here.join(node_hint(node), "context", "left").join(level_hint(levels[k].select(F.col("gram").alias("code"), "n")), "code", "left")
+        room_t, room_d = (F.greatest(F.col(v) - F.col(f"gone_{v}"), zero) for v in "td")
+        share = F.when(F.col("n").isNotNull(), F.col("n")).when(room_d > 0, room_d)  # no room, no escape to pay
+        step = F.when(share.isNotNull() & F.col("d").isNotNull(), F.log10(share / (room_t + room_d))).otherwise(0.0)
+        met = stored(met.select(
+            "gram", "m", "n", (F.col("p") + step).alias("p"), F.coalesce("x", "gone_t").alias("gone_t"), F.coalesce("d", "gone_d").alias("gone_d")
+        ))
+        done.append(met.where("n is not null").select("gram", "m", "p"))
+        left = met.where("n is null").drop("n")
+    done.append(left.select("gram", "m", (F.col("p") - F.log10(F.greatest(F.lit(256) - F.col("gone_d"), F.lit(1)))).alias("p")))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return stored(out)
+
+
+def least_kept(cost: DataFrame, most: int) -> float:
+    """A count that at most so many grams reach, from their numbers by size class."""
+    found = cost.groupBy(F.floor(F.log2("m") * 16).alias("c")).agg(F.count("*").alias("grams"), F.min("m").alias("m")).orderBy(F.desc("c")).collect()
+    least, had = float("inf"), 0
+    for r in found:
+        had += r.grams
+        if had > most:
+            break
+        least = r.m
+    return least
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token, n) over all texts, ends counted."""
     small_batches(docs.sparkSession)
@@ -239,8 +305,34 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def coded(fast: Table, texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Of each text, the summed log10 of its grams in the table, and the grams that aren't there and how often each stands."""
+    score, code, times, ends = np.zeros(len(texts)), [], [], np.zeros(len(texts) + 1, np.int64)
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK):
+            size += len(texts[j])
+            j += 1
+        gram, of = grams(texts[i:j], order)
+        slot = fast.find(gram)
+        score[i:j] = np.bincount(of, weights=fast.values["p"][slot], minlength=j - i)
+        left = np.flatnonzero(fast.keys[slot] == -1)
+        gram, of = gram[left], of[left]
+        by = np.lexsort((gram, of))
+        gram, of = gram[by], of[by]
+        first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])])[: len(gram)])
+        code.append(gram[first])
+        times.append(np.diff(np.append(first, len(gram))))
+        ends[i + 1 : j + 1] = np.bincount(of[first], minlength=j - i)
+        i = j
+    ends = pa.array(np.cumsum(ends), pa.int32())
+    code, times = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (code, times))
+    return score, pa.ListArray.from_arrays(ends, pa.array(code, pa.int64())), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32), pa.int32()))
+
+
 def report(docs: DataFrame) -> DataFrame:
-    """The digest of the query: word counts' and the trie's log10 probabilities of each text."""
+    """The digest of the query: word counts' and the byte model's log10 probabilities of each text."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -249,16 +341,19 @@ def report(docs: DataFrame) -> DataFrame:
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     whole = n + 0.5 * (v + 1)
     often = {r[0].encode(): r[1] for r in counts.where(F.col("n") >= WORD_SHARE * n).collect()} if n else {}
-    model = trained(train)
-    shared = spark.sparkContext.broadcast((often, model))
+    cost = costs(rows)
+    least = least_kept(cost, KEPT)
+    kept = cost.where(F.col("m") >= least).select("gram", "p").toArrow()
+    fast = Table(kept["gram"].to_numpy(), p=kept["p"].to_numpy())
+    shared = spark.sparkContext.broadcast((often, fast))
     id_type = dict(rows.dtypes)["doc_id"]
 
     def run(batches):
-        often, model = shared.value
+        often, fast = shared.value
         cost = {w: np.log10((c + 0.5) / whole) for w, c in often.items()}
         for batch in batches:
             texts = [t.as_py().encode() for t in batch.column(1)]
-            scores = model.score(texts)
+            scores, codes, repeats = coded(fast, texts)
             tokens, known, base, words, times = [], [], [], [], []
             for t in texts:
                 count = Counter(t.split())
@@ -271,21 +366,23 @@ def report(docs: DataFrame) -> DataFrame:
                 words.append([w.decode() for w in rest])
                 times.append([count[w] for w in rest])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(words, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))],
-                ["doc_id", "n_tokens", "known", "base", "score", "words", "times"],
+                [batch.column(0), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(words, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64())), codes, repeats],
+                ["doc_id", "n_tokens", "known", "base", "score", "words", "times", "codes", "repeats"],
             )
 
-    spec = f"doc_id {id_type}, n_tokens long, known long, base double, score double, words array<string>, times array<long>"
+    spec = f"doc_id {id_type}, n_tokens long, known long, base double, score double, words array<string>, times array<long>, codes array<long>, repeats array<int>"
     keyed = rows.mapInArrow(run, spec)
-    found = stored(keyed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_tokens", "known", "base", "score", F.arrays_zip("words", "times").alias("rest")))
+    found = stored(keyed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_tokens", "known", "base", "score", F.arrays_zip("words", "times").alias("rest"), F.arrays_zip("codes", "repeats").alias("grams")))
     rare = found.select("row", F.explode("rest").alias("x")).select("row", F.col("x.words").alias("token"), F.col("x.times").alias("k"))
     seen = rare.join(counts.where(F.col("n") < WORD_SHARE * n), "token", "left")
     part = seen.groupBy("row").agg(
         F.sum(F.col("k") * F.log10((F.coalesce(F.col("n"), F.lit(0)) + 0.5) / F.lit(float(whole)))).alias("more"),
         F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("met"),
     )
-    out = found.drop("rest").join(part, "row", "left")
+    scarce = found.select("row", F.explode("grams").alias("x")).select("row", F.col("x.codes").alias("gram"), F.col("x.repeats").alias("k"))
+    spent = scarce.join(cost.where(F.col("m") < least).select("gram", "p"), "gram").groupBy("row").agg(F.sum(F.col("k") * F.col("p")).alias("spent"))
+    out = found.drop("rest", "grams").join(part, "row", "left").join(spent, "row", "left")
     return out.select(
         "doc_id", held_out().alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("met", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("spent", F.lit(0.0))).alias("score"),
     )

@@ -91,3 +91,16 @@ def test_empty(spark, none):
     assert ppm.report(none).count() == 0
     one = spark.createDataFrame([(i, "a b") for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string")
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.score == pytest.approx(-4 * math.log10(256)) for r in ppm.report(one).collect())
+
+
+@pytest.mark.parametrize("kept", [2_000_000, 300])
+def test_rare_grams_count_in_a_large_corpus(spark, rows, monkeypatch, kept):
+    monkeypatch.setattr(ppm, "KEPT", kept, raising=False)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    filler = next(i for i in range(1000, 1100) if not held(i))
+    some = [(r[0], r[1]) for r in rows[:80]] + [(filler, "a " * 1_500_000)]
+    texts = [(t or "").encode() for i, t in some if not held(i)]
+    brute = Brute(texts, ppm.ORDER, 0.0)
+    got = ppm.report(spark.createDataFrame(some, "doc_id long, text string").repartition(4)).collect()
+    want = sorted((str(i), round(brute.score((t or "").encode()), 6)) for i, t in some if i != filler)
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got if r.doc_id != filler) == want
