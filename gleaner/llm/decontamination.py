@@ -1,10 +1,11 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-Items are partitioned by size: class c holds those of up to 2**c shingles. For a class, a document is cut into windows of
+Items of up to FEW shingles are candidates for each document that has one of their shingles, found by its code: no chance
+is left there. Larger items are partitioned by size: class c holds those of up to 2**c shingles. For a class, a document is cut into windows of
 two blocks of 2**c shingles, each window overlapping the next by a block; so a short passage is at least a fair part of some
 window however long the document is, and the containment bound becomes a bound on Jaccard similarity that doesn't fade with
 the document's length. Windows and items have BANDS MinHash values, and a window is a candidate for each item with which
-it shares one. An item of which a share t lies in a document, in one piece or in many, is missed with probability of about
+it shares one. A larger item of which a share t lies in a document, in one piece or in many, is missed with probability of about
 exp(-BANDS * t / 3) at most; for t of 0.8 that is 4e-8. A block's MinHash values serve both windows that it is in, and
 those of a class are minima of neighbours in the class below.
 
@@ -32,6 +33,8 @@ from gleaner.llm.common import LOWER, NOT_WORD, chunks, mixed, small_batches, sp
 SHINGLE = 5
 LEAST = 0.8
 BANDS = 64
+#: Items of up to FEW shingles are looked up by the codes of these, larger ones by MinHash from class SMALLEST on.
+FEW = 16
 SMALLEST = 4
 ITEM_BYTES = 4 << 20
 _ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -96,8 +99,12 @@ class Items:
         self.short = {i: w for i, w in enumerate(words) if 0 < len(w) < SHINGLE}
         self.shingles = [shingles(w) for w in words]
         by_class: dict[int, list[int]] = {}
+        few = [i for i, s in enumerate(self.shingles) if 0 < len(s) <= FEW and i not in self.short]
+        code, row = shingle_codes(*text_bytes(pa.array([b" ".join(words[i]).decode() for i in few], pa.string())))
+        order = np.argsort(code, kind="stable")
+        self.few = code[order], np.array(few, np.int64)[row[order]]
         for i, s in enumerate(self.shingles):
-            if s and i not in self.short:
+            if len(s) > FEW:
                 by_class.setdefault(max(SMALLEST, (len(s) - 1).bit_length()), []).append(i)
         self.classes = {}
         for c, members in by_class.items():
@@ -112,8 +119,13 @@ class Items:
             self.classes[c] = bands
 
     def candidates(self, code: np.ndarray, row: np.ndarray) -> set[tuple[int, int]]:
-        """(row, item) pairs that share a MinHash value in a window."""
+        """(row, item) pairs that share a shingle, of a small item, or a MinHash value in a window."""
         found: set[tuple[int, int]] = set()
+        values, members = self.few
+        if len(code) and len(values):
+            first, last = np.searchsorted(values, code), np.searchsorted(values, code, "right")
+            for h in np.flatnonzero(last > first):
+                found.update((int(row[h]), int(m)) for m in members[first[h] : last[h]])
         if not len(code) or not self.classes:
             return found
         low, of = minima(code, row, 1 << SMALLEST)

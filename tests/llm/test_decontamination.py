@@ -58,6 +58,17 @@ def test_blocks_of_items(spark, case, monkeypatch):
     assert {(r.doc_id, r.item_id, r.containment) for r in dc.pairs(d, b).collect()} == brute(docs, items)
 
 
+@pytest.mark.parametrize("n", [5, 6, 7, 20, 21])
+def test_small_items_are_never_missed(words, n):
+    rng = random.Random(n)
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [say(n) for _ in range(150)]
+    own = dc.Items([(i, " ".join(w)) for i, w in enumerate(items)])
+    texts = [" ".join((w if at else []) + say(300) + ([] if at else w) + say(300 * (1 - at))) for w in items for at in (0, 1)]
+    leaks = own.leaks(pa.array(texts), 0.8)
+    assert all(k // 2 in {i for i, _ in found} for k, found in enumerate(leaks))
+
+
 def test_scattered_items_are_candidates(words):
     rng = random.Random(9)
     item = [rng.choice(words) for _ in range(60)]
