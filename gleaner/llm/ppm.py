@@ -11,8 +11,8 @@ windows and joins over the stored level tables, and a text's score is the sum ov
 often, KEPT at most, are broadcast with their code lengths as a fast path that no result depends on; all others meet
 theirs in a join, summed up by text beforehand. Those are chosen by all texts, so that no gram left over is a hot key.
 
-A text is read as its UTF-8 bytes between two marks of the byte 255, which UTF-8 never has; the second is coded too, so
-the probabilities of all texts sum to one at most.
+A text is read as its UTF-8 bytes, A-Z lower-cased, between two marks of the byte 255, which UTF-8 never has; the second is
+coded too, so the probabilities of all lower-cased texts sum to one at most. Words are of the same lower-cased bytes.
 
 Word counts have no such bound. Words of at least a WORD_SHARE of all tokens (at most 1 / WORD_SHARE words) are broadcast;
 all others meet their counts in a join, where none of them is a hot key.
@@ -48,6 +48,11 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == HELD, F.lit(False))
 
 
+def lowered(text: str | None) -> bytes:
+    """A text's UTF-8 bytes, A-Z lower-cased and nothing else."""
+    return (text or "").encode().lower()
+
+
 def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """The (order + 1)-gram that ends at each coded byte, as a number, and the text of each."""
     mark = bytes([MARK])
@@ -80,7 +85,7 @@ def gram_sums(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
         for batch in batches:
             for t in batch.column(0):
-                held.append((t.as_py() or "").encode())
+                held.append(lowered(t.as_py()))
                 size += len(held[-1])
                 if size >= CHUNK:
                     parts.append(np.unique(grams(held, order)[0], return_counts=True))
@@ -291,7 +296,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
         count: Counter = Counter()
         for batch in batches:
             for t in batch.column(0):
-                count.update((t.as_py() or "").encode().split())
+                count.update(lowered(t.as_py()).split())
                 count[b""] += 1
             if len(count) > 200_000:
                 yield told(count)
@@ -352,7 +357,7 @@ def report(docs: DataFrame) -> DataFrame:
         often, fast = shared.value
         cost = {w: np.log10((c + 0.5) / whole) for w, c in often.items()}
         for batch in batches:
-            texts = [t.as_py().encode() for t in batch.column(1)]
+            texts = [lowered(t.as_py()) for t in batch.column(1)]
             scores, codes, repeats = coded(fast, texts)
             tokens, known, base, words, times = [], [], [], [], []
             for t in texts:

@@ -1,4 +1,6 @@
 import math
+import os
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -6,6 +8,16 @@ import pytest
 
 from gleaner.llm import ppm
 
+SF = "/root/testdata/sf0.001"
+
+
+def low(text):
+    """A-Z lower-cased, one character after the other."""
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+CAPITALS = [(900, "The THE the É é Éa ÉA İ ẞ"), (901, "the tHe É Q q\x85Q\u00a0x ſ K"), (902, "ZZZ zzz Zzz")]
+
 
 class Brute:
     def __init__(self, texts, order, share):
@@ -48,7 +60,8 @@ class Brute:
 
 @pytest.mark.parametrize("share", [0.0, 1e-3])
 def test_trie_against_brute_force(spark, docs, rows, share):
-    texts = [(r[1] or "").encode() for r in rows]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(CAPITALS, "doc_id long, text string"))
+    texts = [low(r[1]).encode() for r in [*rows, *CAPITALS]]
     brute = Brute(texts, 3, share)
     trie = ppm.trained(docs, 3, share)
     for t in [*texts[:20], b"", "ñandú\x00 zzz".encode(), b"QQQQ"]:
@@ -64,21 +77,39 @@ def test_probabilities_sum_to_one(docs):
         assert 0 < p.sum() <= 1 + 1e-9
 
 
-def test_report(docs, rows):
+def base_columns(rows):
+    """The columns of the contract by its own words: lower-case A-Z, words, one end, and the smoothed counts."""
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    tokens = lambda t: [*(w for w in re.split("[\\x20\\x09-\\x0D]+", low(t)) if w), ""]
     count = Counter()
     for r in rows:
         if not held(r[0]):
-            count.update([*(r[1] or "").encode().split(), b""])
+            count.update(tokens(r[1]))
     n, v = count.total(), len(count)
-    want = []
+    out = []
     for r in rows:
-        w = [*(r[1] or "").encode().split(), b""]
+        w = tokens(r[1])
         base = sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
-        want.append((str(r[0]), held(r[0]), len(w), sum(count[x] > 0 for x in w), n, round(base, 6)))
-    got = ppm.report(docs).collect()
-    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == sorted(want)
-    assert all(r.score < 0 for r in got)
+        out.append((str(r[0]), held(r[0]), len(w), sum(count[x] > 0 for x in w), n, f"{base:.9g}"))
+    return sorted(out)
+
+
+def got_columns(df):
+    return sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, f"{r.base_score:.9g}") for r in df.collect())
+
+
+def test_report(spark, docs, rows):
+    every = docs.select("doc_id", "text").union(spark.createDataFrame(CAPITALS, "doc_id long, text string"))
+    assert got_columns(ppm.report(every)) == base_columns([*rows, *CAPITALS])
+    assert all(r.score < 0 for r in ppm.report(docs).collect())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_report_on_the_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert any(c.isupper() for c in rows[0][1] or "")
+    assert got_columns(ppm.report(docs)) == base_columns(rows)
 
 
 def test_rare_words_meet_their_counts(docs, monkeypatch):
@@ -99,8 +130,8 @@ def test_rare_grams_count_in_a_large_corpus(spark, rows, monkeypatch, kept):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     filler = next(i for i in range(1000, 1100) if not held(i))
     some = [(r[0], r[1]) for r in rows[:80]] + [(filler, "a " * 1_500_000)]
-    texts = [(t or "").encode() for i, t in some if not held(i)]
+    texts = [low(t).encode() for i, t in some if not held(i)]
     brute = Brute(texts, ppm.ORDER, 0.0)
     got = ppm.report(spark.createDataFrame(some, "doc_id long, text string").repartition(4)).collect()
-    want = sorted((str(i), round(brute.score((t or "").encode()), 6)) for i, t in some if i != filler)
+    want = sorted((str(i), round(brute.score(low(t).encode()), 6)) for i, t in some if i != filler)
     assert sorted((str(r.doc_id), round(r.score, 6)) for r in got if r.doc_id != filler) == want
