@@ -9,7 +9,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII whitespace, as the class [\x20\x09-\x0D] has it.
 BLANK = np.zeros(256, bool)
@@ -32,6 +33,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a working column that none of the frame's own columns has."""
+    taken, out = {c.lower() for c in df.columns}, f"__{name}"
+    while out.lower() in taken:
+        out += "_"
+    return out
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The frame's own columns, by names that may hold dots or backticks."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder path under spark.checkpoint.dir; a folder of this machine only where that is unset (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)

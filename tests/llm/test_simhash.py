@@ -77,12 +77,80 @@ def test_report(docs, rows):
     assert got == want
 
 
-def test_survivors(docs, rows):
+def near_shingles(text):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_wide_prints_against_brute_force(rows):
+    import pyarrow as pa
+
+    column = pa.array([r[1] for r in rows] + ["A b C d e f", "a B c D E F", "x" * 3_000_000, "One two"], pa.string())
+    got = sd.as_words(sd.wide_of(column))
+    alone = [sd.as_words(sd.wide_of(column.slice(i, 1)))[0] for i in range(len(column))]
+    assert (got == np.array(alone)).all() and (got[-4] == got[-3]).all()
+    for i in range(0, len(column), 7):
+        for j in range(i):
+            a, b = near_shingles(column[i].as_py()), near_shingles(column[j].as_py())
+            apart = int(np.bitwise_count(got[i] ^ got[j]).sum())
+            likeness = len(a & b) / len(a | b) if a | b else 1.0
+            assert apart <= sd.REACH if likeness > 0.9 else likeness > 0.3 or apart > sd.REACH, (i, j, likeness, apart)
+
+
+@pytest.mark.parametrize("node", [20_000, 40])
+def test_near_copies_are_found_and_others_are_left(spark, words, node, monkeypatch):
+    import random
+
+    monkeypatch.setattr(sd, "NODE_MEANT", 8)
+    rng = random.Random(4)
+    texts = [[rng.choice(words) for _ in range(150)] for _ in range(300)]
+    near = [list(texts[i % 60]) for i in range(240)]  # one or two words changed: similarity of 0.87 at least
+    for t in near:
+        for _ in range(rng.randint(1, 2)):
+            t[rng.randrange(150)] = "changed"
+    hot = [list(texts[299]) for _ in range(200)]  # a large group
+    for t in hot:
+        t[rng.randrange(150)] = f"other{rng.random()}"
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, *near, *hot])]
+    prints = spark.createDataFrame(rows, "doc_id long, text string")
+    import pyarrow as pa
+
+    wide = sd.as_words(sd.wide_of(pa.array([t for _, t in rows])))
+    raw = [w.tobytes() for w in wide]
+    root = {bytes(r.fp): bytes(r.root) for r in sd.labelled(sd.near_links(spark.createDataFrame([(x,) for x in dict.fromkeys(raw)], "fp binary"), node)).collect()}
+    of = [root.get(x, x) for x in raw]
+    assert len({of[i] for i in range(300)}) == 300  # different texts stay apart
+    caught = sum(of[300 + i] == of[i % 60] for i in range(240)) + sum(of[540 + i] == of[299] for i in range(200))
+    assert caught >= 0.97 * 440
+    if node > 1000:
+        kept = {r.doc_id for r in sd.survivors(prints).collect()}
+        assert set(range(300)) <= kept and len(kept) <= 300 + 0.03 * 440
+
+
+def test_survivors(spark, docs, rows):
     kept = sd.survivors(docs)
     assert kept.columns == docs.columns
-    components = {r.component_id for r in sd.report(docs).collect()}
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(ids) == sorted(components)
+    got = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
+    assert len(got) == len(set(got))
+    prints = [near_shingles(r[1]) for r in rows]
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i, r in enumerate(rows):  # each document is kept or has a near copy that is; those without a near copy are kept
+        near = [q for j, q in enumerate(rows) if like(prints[i], prints[j]) >= 0.8]
+        assert any((str(q[0]), q[1] or "") in got for q in near), r
+        if all(like(prints[i], p) < 0.5 or p is prints[i] for p in prints):
+            assert (str(r[0]), r[1] or "") in got, r
+
+
+def test_survivors_with_clashing_names(spark, docs):
+    from pyspark.sql import functions as F
+
+    names = ["__fp", "__id", "__own", "fp", "root", "head", "path", "a.b", "s", "n"]
+    wide = docs.select("doc_id", "text", *[F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names])
+    for df in (wide, wide.where("doc_id is not null").dropDuplicates(["doc_id"])):
+        out = sd.survivors(df)
+        assert out.columns == df.columns and out.count()
+        for r in out.collect():
+            assert all(r[n] == n + ("-" if r.doc_id is None else str(r.doc_id)) for n in names)
 
 
 def test_empty(none):
