@@ -46,6 +46,11 @@ def own_columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def numbered(df: DataFrame, *more: Column) -> DataFrame:
+    """The frame's columns and more of them, named c0, c1 and so on; whole rows go to Python by these, whatever their names."""
+    return df.select(*own_columns(df), *more).toDF(*[f"c{i}" for i in range(len(df.columns) + len(more))])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder path under spark.checkpoint.dir; a folder of this machine only where that is unset (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import LOWER, chunks, fresh, mixed, own_columns, small_batches, spans, stored, text_bytes, word_hashes
+from gleaner.llm.common import LOWER, chunks, fresh, mixed, numbered, own_columns, small_batches, spans, stored, text_bytes, word_hashes
 
 SHINGLE = 4
 SEED = 42
@@ -426,7 +426,7 @@ def survivors(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     at, names = docs.columns.index("text"), own_columns(docs)
     fp, doc = fresh(docs, "fp"), fresh(docs, "id")
-    wide = docs.withColumn(fp, F.lit(b""))
+    wide = numbered(docs, F.lit(b""))
 
     def run(batches):
         for batch in batches:
@@ -446,6 +446,6 @@ def survivors(docs: DataFrame) -> DataFrame:
         return docs.join(kept.select(doc), F.col("doc_id") == F.col(doc), "left_semi").select(*names)
     # doc_ids that are null or stand more than once: rows are told apart by their fingerprints too
     mine = fresh(docs, "own")
-    rows = wide.mapInArrow(run, wide.schema).withColumnRenamed(fp, mine)
+    rows = wide.mapInArrow(run, wide.schema).toDF(*docs.columns, mine)
     rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(mine) == F.col(fp)))
     return rows.dropDuplicates([doc, fp]).select(*names)
