@@ -17,7 +17,7 @@ Shingles are SHINGLE words; words are runs of letters and digits with A-Z lower-
 a passage. An item of fewer words is one shingle of all its words, found where a document has them in this order.
 
 Defined results: null and empty texts have no words and never match, nor do items without words; repeated rows and items
-match alike; a null doc_id or item_id is carried on; an empty table gives no rows; other columns are passed on.
+match alike; a null doc_id or item_id is carried on; an empty table gives no rows; other columns, whatever their names, are passed on.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import LOWER, NOT_WORD, chunks, mixed, small_batches, spans, text_bytes, word_hashes
+from gleaner.llm.common import LOWER, NOT_WORD, chunks, fresh, mixed, numbered, own_columns, small_batches, spans, text_bytes, word_hashes
 
 SHINGLE = 5
 LEAST = 0.8
@@ -181,12 +181,12 @@ def blocks_of(items: DataFrame):
 
 
 def annotated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
-    """All columns of the documents, and __leaks: array of (item_id, containment)."""
+    """All columns of the documents, and a last one: array of (item_id, containment)."""
     spark = docs.sparkSession
     small_batches(spark)
     item = T.ArrayType(T.StructType([T.StructField("item_id", items.schema["item_id"].dataType), T.StructField("containment", T.DoubleType())]))
     empty = F.array().cast(item)
-    out = docs.withColumn("__leaks", empty)
+    out = numbered(docs, empty)
     at = docs.columns.index("text")
     for block in blocks_of(items):
         shared = spark.sparkContext.broadcast(block)
@@ -203,15 +203,16 @@ def annotated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFr
                 yield batch.set_column(batch.num_columns - 1, kind, pa.array(merged, kind.type))
 
         out = out.mapInArrow(run, schema)
-    return out
+    return out.toDF(*docs.columns, fresh(docs, "leaks"))
 
 
 def pairs(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """The digest of the query: each document and item of which it contains at least that share."""
-    found = annotated(docs.select("doc_id", "text"), items, least).select("doc_id", F.explode("__leaks").alias("x"))
+    narrow = docs.select("doc_id", "text")
+    found = annotated(narrow, items, least).select("doc_id", F.explode(fresh(narrow, "leaks")).alias("x"))
     return found.select("doc_id", F.col("x.item_id").alias("item_id"), F.round("x.containment", 9).alias("containment"))
 
 
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents in which no item was found, with their own columns."""
-    return annotated(docs, items, least).where(F.size("__leaks") == 0).select(*docs.columns)
+    return annotated(docs, items, least).where(F.size(fresh(docs, "leaks")) == 0).select(*own_columns(docs))

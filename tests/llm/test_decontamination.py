@@ -81,3 +81,14 @@ def test_clashing_columns_and_empty(spark, docs, none, rows):
     b = spark.createDataFrame([(1, rows[203 - 200 + 68][1])], "item_id long, text string")
     assert dc.clean(docs, b).columns == docs.columns
     assert dc.pairs(none, b).count() == 0 and dc.pairs(docs, b.limit(0)).count() == 0
+
+
+def test_working_names_of_the_operator_may_be_columns(docs, rows, spark):
+    from pyspark.sql import functions as F
+
+    items = spark.createDataFrame([(1, rows[9][1])], "item_id long, text string")
+    wide = docs.select(F.lit("u").alias("__leaks"), "doc_id", "text", F.lit("v").alias("__leaks_"), F.lit("w").alias("a.b"))
+    out = dc.clean(wide, items)
+    got = out.collect()
+    assert out.columns == wide.columns and 9 not in {r.doc_id for r in got}
+    assert all((r["__leaks"], r["__leaks_"], r["a.b"]) == ("u", "v", "w") for r in got)
