@@ -7,7 +7,8 @@ the fit alone. Every row is scored whole, from its text alone.
 
 Defined results: a null text is scored as empty; rows without a label or with a null label are scored like others and never
 learnt from; if labels of only one class are there, all scores are 0.5; repeated rows score alike; of a labelled doc_id that
-stands for several texts one is learnt from, that whose features are least as bytes; an empty table gives no rows.
+stands for several texts one is learnt from, that whose features are least as bytes; labels of doc_ids that no document has
+are not used; an empty table gives no rows; other columns, whatever their names, are passed on by accepted() and not read.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import BLANK, MUL, chunks, mixed, small_batches, spans, text_bytes, word_hashes
+from gleaner.llm.common import BLANK, MUL, chunks, fresh, mixed, numbered, own_columns, small_batches, spans, text_bytes, word_hashes
 
 BITS = 18
 DIM = 1 << BITS
@@ -116,7 +117,8 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label).alias("__y")).where(F.col("__y").isin(0, 1) & F.col("__id").isNotNull())
     order = F.xxhash64(F.lit(11), "__id")
     # The ids first, so that only the sample's texts move.
-    ids = known.where(~held_out("__id")).groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(order, "__id").limit(sample)
+    there = docs.select(F.col("doc_id").alias("__id")).where(~held_out("__id")).distinct()
+    ids = known.where(~held_out("__id")).groupBy("__id").agg(F.max("__y").alias("__y")).join(there, "__id", "left_semi").orderBy(order, "__id").limit(sample)
     got = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", F.col("__y").cast("int").alias("y"))
 
     def run(batches):
@@ -133,12 +135,12 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
 
 
 def scored(docs: DataFrame, model) -> DataFrame:
-    """All columns of the documents, and score: the estimate that the label is 1."""
+    """All columns of the documents, and a last one, the score: the estimate that the label is 1."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(tuple(x.astype(np.float32) if isinstance(x, np.ndarray) else x for x in model))
     at = docs.columns.index("text")
-    out = docs.withColumn("__score", F.lit(0.0))
+    out = numbered(docs, F.lit(0.0))
 
     def run(batches):
         for batch in batches:
@@ -146,7 +148,7 @@ def scored(docs: DataFrame, model) -> DataFrame:
             score = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
             yield batch.set_column(batch.num_columns - 1, batch.schema.field(batch.num_columns - 1), pa.array(score))
 
-    return out.mapInArrow(run, out.schema)
+    return out.mapInArrow(run, out.schema).toDF(*docs.columns, fresh(docs, "score"))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -159,4 +161,4 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents whose score reaches least, with their own columns."""
     out = scored(docs, trained(docs, labels))
-    return out.where(F.col("__score") >= least).select(*docs.columns)
+    return out.where(F.col(fresh(docs, "score")) >= least).select(*own_columns(docs))

@@ -59,3 +59,21 @@ def test_one_row_of_a_repeated_doc_id_is_learnt_from(spark, words, monkeypatch):
     known = {i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1}
     assert 7 in known and learnt == [len(known)] * 2
     assert np.array_equal(models[0][0], models[1][0]) and models[0][1:] == models[1][1:]
+
+
+def test_working_names_of_the_operator_may_be_columns(spark, docs):
+    from pyspark.sql import functions as F
+
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    wide = docs.select(F.lit("u").alias("__score"), "doc_id", "text", F.lit("v").alias("__id"), F.lit("w").alias("a.b"))
+    got = qc.accepted(wide, labels)
+    assert got.columns == wide.columns and all((r["__score"], r["__id"], r["a.b"]) == ("u", "v", "w") for r in got.collect())
+
+
+def test_labels_without_documents_use_up_no_sample(spark, words, monkeypatch):
+    monkeypatch.setattr(qc, "SAMPLE", 40)
+    said = [(i, " ".join(words[(i * 7 + k) % 400] for k in range(30)) + (" good" * 9 if i % 2 else " BAD!!" * 9)) for i in range(60)]
+    df = spark.createDataFrame(said, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(20_000)], "doc_id long, quality int, toxic int")
+    right = sum(r.predicted == r.doc_id % 2 for r in qc.report(df, labels).collect())
+    assert right >= 55
