@@ -12,7 +12,7 @@ is spread over its blocks.
 
 Defined results: a null text has size 0 and is drawn like others with its block; a null source is a source of its own, the
 last; sources without words have target 0 and are not drawn; repeated rows are drawn together with their block; an empty
-table gives no rows; reruns agree.
+table gives no rows; reruns agree; other columns, whatever their names, are passed on by mix() and not read.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import stored
+from gleaner.llm.common import fresh, own_columns, stored
 
 BLOCKS = 4096
 SHARDS = 16
 SEED = 20240229
 MOST = 3
+#: Words that a part of a shard should hold while its rows are put in order.
+PART_WORDS = 8_000_000
 
 
 def block_key(blocks: int) -> tuple[Column, Column]:
@@ -110,15 +112,22 @@ def plan(rows: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] = (1, 2
     return drawn.join(runs, F.col("source").eqNullSafe(F.col("__source")) & (F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("end"))).select("source", "block", "pass", "shard"), sources
 
 
+def parts_of(sources: DataFrame, shards: int, part: int = PART_WORDS) -> int:
+    """Into how many parts a shard's rows are dealt while they move, so that each holds about so many words."""
+    words = sources.agg(F.sum("target")).first()[0] or 0
+    return max(1, int(words // (shards * part)))
+
+
 def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The mix itself: all columns of the documents, once for each draw, by output shard and in hash order there."""
-    names = docs.columns
-    draws, _ = plan(sized(docs), shards)
-    d = draws.select(F.col("source").alias("__s"), F.col("block").alias("__b"), F.col("pass").alias("__pass"), F.col("shard").alias("__shard"))
-    out = docs.withColumn("__block", block_key(BLOCKS)[1]).join(d, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
-    out = out.withColumn("__place", F.xxhash64(F.lit(SEED + 1), F.col("doc_id"), F.col("__pass")))
-    spread = out.repartition("__shard", F.pmod("__place", F.lit(64)))
-    return spread.sortWithinPartitions("__shard", "__place").select(*names)
+    names = own_columns(docs)
+    draws, sources = plan(sized(docs), shards)
+    block, place, shard, s, b, turn = (fresh(docs, x) for x in ("block", "place", "shard", "s", "b", "pass"))
+    d = draws.select(F.col("source").alias(s), F.col("block").alias(b), F.col("pass").alias(turn), F.col("shard").alias(shard))
+    out = docs.withColumn(block, block_key(BLOCKS)[1]).join(d, F.col("source").eqNullSafe(F.col(s)) & (F.col(block) == F.col(b)))
+    out = out.withColumn(place, F.xxhash64(F.lit(SEED + 1), F.col("doc_id"), F.col(turn)))
+    spread = out.repartition(shard, F.pmod(F.xxhash64(F.lit(SEED + 2), place), F.lit(parts_of(sources, shards))))
+    return spread.sortWithinPartitions(shard, place).select(*names)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -61,3 +61,14 @@ def test_mix_has_the_draws(docs):
 
 def test_empty(none):
     assert m.report(none).count() == 0 and m.mix(none).count() == 0
+
+
+def test_mix_leaves_the_columns_of_its_input_alone(spark, docs):
+    from pyspark.sql import functions as F
+
+    names = ["__block", "__place", "__shard", "__s", "__b", "__pass", "block", "target", "a.b"]
+    wide = docs.select("doc_id", "text", "source", *[F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names])
+    out = m.mix(wide)
+    assert out.columns == wide.columns
+    got = out.collect()
+    assert got and all(r[n] == n + ("-" if r.doc_id is None else str(r.doc_id)) for r in got for n in names)
