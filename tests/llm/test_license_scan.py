@@ -76,3 +76,9 @@ def test_one_long_line_of_many_places():
 def test_frame(docs, rows, none):
     got = sorted((str(r.doc_id), r.n_words) for r in ls.scanned(docs).collect())
     assert got == sorted((str(r[0]), base(r[1])[0]) for r in rows) and ls.scanned(none).count() == 0
+
+
+@pytest.mark.parametrize("text", ["SPDX-License-Identifier: banana", "License-Expression: see the file", "SPDX-License-Identifier: x AND y"])
+def test_words_that_name_no_licence_are_no_expression(text):
+    got = ls.scan(text)
+    assert got["score"] == 0.0 and got["reusable"] is None and got["labels"] == "" and got["expressions"] == ""
