@@ -8,8 +8,9 @@ The slots are fixed in number (SLOTS), so a map and the bytes of its slots have
 only they come to the driver. Ties go to the smaller slot and the smaller shard.
 
 Defined results: a null text has no bytes and the checksum of an empty one; a null doc_id is hashed like any value; rows
-equal in doc_id and text share a slot and are numbered apart; an empty table gives no rows; other columns are passed on or
-left out, never read.
+equal in doc_id and text share a slot and are numbered apart; an empty table gives no rows; other columns are left out and
+never read. Equal texts of different doc_id are records of their own: the law of near equal bytes decides for each record,
+so a group of equal texts is spread like any other records, and may be so large that one shard couldn't hold it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import shared_dir
+
 SLOTS = 8192
 OVERHEAD = 16
 
@@ -107,22 +110,27 @@ def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     return df.withColumn("virtual_slot", virtual_slot("doc_id", "text_crc32", slots=slots))
 
 
-def assigned(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
+def assigned(docs: DataFrame, shards: int = 40, slots: int = SLOTS, maps: str | None = None, before: int | None = None) -> DataFrame:
     """Each document's shard under the law of near equal bytes, and its place there, gapless from 0.
 
-    The place is the number of rows in earlier slots of the shard, from the map, plus the row's number in its own slot. So
-    no task sorts more than a slot.
+    The map is stored under maps as a version and read from there: version 1 is made anew; where an earlier version is
+    named, the next is that one edited as little as near equal bytes allow. The place is the number of rows in earlier
+    slots of the shard, from the map, plus the row's number in its own slot. So no task sorts more than a slot.
     """
     spark = docs.sparkSession
+    maps = maps or shared_dir(spark)
     rows = sized(docs, slots)
     tally = {r[0]: (r[1], r[2]) for r in rows.groupBy("virtual_slot").agg(F.sum("size"), F.count("*")).collect()}
-    shard_of = new_map({k: v[0] for k, v in tally.items()}, shards, slots)
-    before, filled = [0] * slots, [0] * shards
+    load = {k: v[0] for k, v in tally.items()}
+    version = 1 if before is None else before + 1
+    save_map(spark, new_map(load, shards, slots) if before is None else rebalanced(load_map(spark, maps, before), load, shards), maps, version)
+    shard_of = load_map(spark, maps, version)
+    first, filled = [0] * slots, [0] * shards
     for slot, shard in enumerate(shard_of):
-        before[slot] = filled[shard]
+        first[slot] = filled[shard]
         filled[shard] += tally.get(slot, (0, 0))[1]
     look = lambda name, values: F.element_at(F.from_json(F.lit(json.dumps(values)), f"array<{name}>"), F.col("virtual_slot") + 1)
-    lookup = spark.range(slots).select(F.col("id").cast("int").alias("virtual_slot")).select("virtual_slot", look("int", shard_of).alias("shard"), look("bigint", before).alias("__before"))
+    lookup = spark.range(slots).select(F.col("id").cast("int").alias("virtual_slot")).select("virtual_slot", look("int", shard_of).alias("shard"), look("bigint", first).alias("__before"))
     own = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32")) - 1
     return rows.withColumn("__own", own).join(lookup, "virtual_slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",

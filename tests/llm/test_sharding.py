@@ -44,3 +44,14 @@ def test_stored_versions(spark, tmp_path):
 
 def test_empty(none):
     assert sh.assigned(none).count() == 0
+
+
+def test_an_earlier_version_of_the_map_is_edited(spark, docs, tmp_path):
+    maps = f"file://{tmp_path}/of-query"
+    one = {(r.doc_id, r.text_crc32, r.slot): r.shard for r in sh.assigned(docs, 4, 64, maps).collect()}
+    again = {(r.doc_id, r.text_crc32, r.slot): r.shard for r in sh.assigned(docs, 4, 64, maps, 1).collect()}
+    assert again == one and sh.load_map(spark, maps, 2) == sh.load_map(spark, maps, 1)
+    more = docs.unionByName(docs.limit(0)).where("doc_id < 50 or doc_id is null")
+    moved = sh.assigned(more, 5, 64, maps, 2)
+    first, third = sh.load_map(spark, maps, 1), sh.load_map(spark, maps, 3)
+    assert moved.count() == more.count() and 0 < sum(a != b for a, b in zip(first, third)) < 64
