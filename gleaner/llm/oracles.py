@@ -18,6 +18,14 @@ OP1 = rf"""with d as (select doc_id, coalesce(text, '') t, {_WORDS} w, [x for x
     + 16 * (n_words > 0 and (word_chars < 2 * n_words or word_chars > 25 * n_words))::integer + 32 * (n_words > 0 and 2 * n_upper > word_chars)::integer + 64 * (n_words > 0 and 4 * n_exclaims > n_words)::integer as bigint) fail_bits from m)
   select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed, fail_bits = 0 kept, fail_bits, n_lines, n_upper, n_exclaims from b"""
 
+RULE_ABLATIONS = f"""with r(policy, version, rule, bit, held) as (values
+    ('base', 1, 'too_few_words', 1, 3), ('base', 1, 'repeated_windows', 2, 3),
+    ('web', 1, 'too_few_words', 1, 15), ('web', 1, 'repeated_windows', 2, 15), ('web', 1, 'symbol_heavy', 4, 15), ('web', 1, 'repeated_lines', 8, 15),
+    ('web', 2, 'too_few_words', 1, 127), ('web', 2, 'repeated_windows', 2, 127), ('web', 2, 'symbol_heavy', 4, 127), ('web', 2, 'repeated_lines', 8, 127),
+    ('web', 2, 'odd_word_length', 16, 127), ('web', 2, 'shouting', 32, 127), ('web', 2, 'exclaiming', 64, 127))
+  select policy, version, rule, count(*) filter (fail_bits & bit <> 0) failed, count(*) filter (fail_bits & held = bit) only_this, count(*) filter (fail_bits & held = 0) kept
+  from ({OP1}) l, r group by policy, version, rule"""
+
 # Base32 of the 40 hex digits: 20 bits are 5 of them, and 4 characters.
 _DIGITS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
 _FOUR = " || ".join(f"substr({_DIGITS}, cast((n >> {shift}) & 31 as integer) + 1, 1)" for shift in (15, 10, 5, 0))
@@ -39,4 +47,4 @@ OP10 = f"""with d as (select doc_id, {_WORDS} w from documents), p as (select do
   z as (select doc_id, count(*) filter (gone) n, coalesce(string_agg(x, ' ' order by j) filter (not gone), '') t from y group by 1)
   select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n, 0) as bigint) n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join z on d.doc_id = z.doc_id"""
 
-SQL = {"op1_quality_rules": OP1, "op2_warc": OP2, "op5_decontamination": OP5, "op10_substring_dedup": OP10}
+SQL = {"op1_quality_rules": OP1, "rule_ablations": RULE_ABLATIONS, "op2_warc": OP2, "op5_decontamination": OP5, "op10_substring_dedup": OP10}

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import stored
+
 #: (name, failed as a condition on the measurements). Bit i of a ledger is rule i; new rules go to the end.
 RULES: tuple[tuple[str, str], ...] = (
     ("too_few_words", "n_words < 20"),
@@ -127,10 +129,22 @@ def ablation(of: DataFrame, name: str, version: int) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The digest of the query: the base measurements, the base verdict and that of the newest web policy."""
-    out = apply_policy(ledger(docs), "web", 2)
+    """The digest of the query: the base measurements, the base verdict and that of the newest web policy.
+
+    The ledger is stored once; verdicts and ablations are read from it.
+    """
+    out = apply_policy(stored(ledger(docs)), "web", 2)
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("fail_bits").bitwiseAND(F.lit(mask(BASE)).cast("long")) != 0).alias("base_failed"),
         "kept", "fail_bits", "n_lines", "n_upper", "n_exclaims",
     )
+
+
+def ablations(docs: DataFrame) -> DataFrame:
+    """For each policy and each of its rules: what fails it, what it alone removes, what the policy keeps; from a stored ledger."""
+    of, out = stored(ledger(docs)), None
+    for name, version in POLICIES:
+        one = ablation(of, name, version).select(F.lit(name).alias("policy"), F.lit(version).alias("version"), "rule", "failed", "only_this", "kept")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -10,6 +10,10 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def rule_ablations(spark, sf_dir):
+    return quality_rules.ablations(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark, sf_dir):
     return warc.report(table(spark, sf_dir, "pages"))
 
@@ -53,7 +57,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    return {name: f for name, f in globals().items() if name.startswith("op")} | {"pipeline": pipeline}
+    return {name: f for name, f in globals().items() if name.startswith("op")} | {"rule_ablations": rule_ablations, "pipeline": pipeline}
 
 
 def oracle_sql():
