@@ -11,7 +11,13 @@ from gleaner.functions.grammar import shape, told
 
 
 def first_distinct(lines: DataFrame, by: tuple[str, ...] = ("clip_id", "frame_no"), order: tuple[str, ...] = ("pass", "line_no"), line: str = "raw") -> DataFrame:
-    """Of lines of a group that differ in blanks alone, the first."""
+    """Of lines of a group that differ in blanks alone, the first.
+
+    The lines are dealt out by group, in as many parts as the session sets: they are few bytes and much work to parse, so
+    parts must not be put together again for being small.
+    """
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = lines.repartition(parts, *by)
     w = Window.partitionBy(*by, text.squeezed(F.col(line))).orderBy(*order)
     return lines.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
 
@@ -39,6 +45,14 @@ def sample_times(clips: DataFrame, samples: int = 4) -> DataFrame:
     return clips.select("clip_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(samples)), lambda i: F.round(step * i, 2))).alias("nth", "at"))
 
 
+def log_visible_at(lines: DataFrame, clips: DataFrame, samples: int = 4, need: int = 3) -> DataFrame:
+    """For each clip, whether the frames looked into, the first at or after each sample's time, show combat lines enough."""
+    times = sample_times(clips, samples).join(lines.select("clip_id", "frame_no", "ft").distinct(), "clip_id").where("ft >= at")
+    frames = times.groupBy("clip_id", "nth").agg(F.min_by("frame_no", F.struct("ft", "frame_no")).alias("frame_no")).select("clip_id", "frame_no").distinct()
+    shown = log_visible(lines.join(frames, ["clip_id", "frame_no"], "left_semi"), need)
+    return clips.select("clip_id").join(shown, "clip_id", "left").withColumn("visible", F.coalesce("visible", F.lit(False)))
+
+
 def line_frequency(lines: DataFrame, line: str = "raw") -> DataFrame:
     """How often each distinct line stands, blanks at its ends aside."""
     said = F.trim(F.col(line)).alias("line")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.config import Settings
 from gleaner.functions.text import one_glyph_off
+from gleaner.operators.statistics import islands
 from gleaner.sources.staging import staged
 
 COMPANY = ["clip_id", "kind", "dir", "fighter"]
@@ -51,48 +53,57 @@ def _off(a: str, b: str) -> bool:
     return len(a) == len(b) + 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
 
 
-def _settle(rows: pd.DataFrame, mine: pd.Series, visible: float) -> pd.DataFrame:
-    """Rows (in order of reading) with the amounts of mine settled one after the other, each from what stands by then."""
-    amounts, times = rows["amount"].to_numpy().copy(), rows["t"].to_numpy()
-    count = pd.Series(amounts).value_counts().to_dict()
-    bare = rows["flags"].map(lambda f: f is None or len(f) == 0).to_numpy()
-    for i in mine.to_numpy().nonzero()[0]:
-        own, n = str(amounts[i]), count[amounts[i]]
-        if n > 1 and not bare[i]:
-            continue
+def _settle(rows: pd.DataFrame, mine: np.ndarray, visible: float) -> np.ndarray:
+    """The amounts of rows (in order of reading) with those of mine settled one after the other, each from what stands by then.
+
+    Column n says how often each amount was read in the whole company. A row meets those near it in time alone, found by
+    their place in the order of times.
+    """
+    amounts, times, n = rows["amount"].to_numpy().copy(), rows["t"].to_numpy(float), rows["__n"].to_numpy()
+    count = dict(zip(amounts.tolist(), n.tolist(), strict=True))
+    bare = rows["flags"].map(lambda f: f is None or len(f) == 0).to_numpy(bool)
+    by_time = np.argsort(times, kind="stable")
+    ordered = times[by_time]
+    lo, hi = np.searchsorted(ordered, times - visible - 1e-6), np.searchsorted(ordered, times + visible + 1e-6, "right")
+    for i in np.flatnonzero(mine & ((n == 1) | bare)).tolist():
+        near = np.sort(by_time[lo[i] : hi[i]])
+        near = near[np.abs(times[near] - times[i]) <= visible]
+        own, k = str(amounts[i]), n[i]
         best, votes = None, 0
-        for other in dict.fromkeys(amounts[abs(times - times[i]) <= visible].tolist()):
+        for other in dict.fromkeys(amounts[near].tolist()):
             m = count[other]
-            fits = m >= 2 and _off(own, str(other)) if n == 1 else m >= 2 * n + 1 and own[:-1] == str(other)
+            fits = m >= 2 and _off(own, str(other)) if k == 1 else m >= 2 * k + 1 and own[:-1] == str(other)
             if fits and m > votes:
                 best, votes = other, m
         if best is not None:
             amounts[i] = best
-    return rows.assign(amount=amounts)
+    return amounts
 
 
 def settled(readings: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Readings with amounts settled in the order of reading: named fighters' first, then those of "Unknown" among all.
 
-    The order matters, as a settled row counts for those after it. A group is one fighter's readings in one clip, and for
-    the second step one clip's.
+    The order matters, as a settled row counts for those after it. What a row may become depends on the counts of its whole
+    company, which are a window's, and on rows near it in time; so a company (one fighter's readings in one clip; for the
+    second step all of a clip's that have a fighter) falls into islands that no row of another can touch, and a task holds
+    one of these. Readings without a fighter take no part.
     """
-    schema = readings.schema
-
-    def company(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        ok = pdf["fighter"].notna() & ~pdf["fighter"].isin(["", "Unknown"])
-        return _settle(pdf, ok, cfg.visible) if ok.any() else pdf
-
-    def strangers(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq").reset_index(drop=True)
-        mine = pdf["fighter"] == "Unknown"
-        known = pdf[pdf["fighter"].notna() & (pdf["fighter"] != "")]
-        out = _settle(known, mine[known.index], cfg.visible)
-        pdf.loc[known.index, "amount"] = out["amount"]
-        return pdf
-
-    df = staged(readings.groupBy(*COMPANY).applyInPandas(company, schema))
-    clips = df.where("fighter = 'Unknown'").select("clip_id").distinct()
-    with_any = df.join(clips, "clip_id", "left_semi").groupBy("clip_id").applyInPandas(strangers, schema)
-    return df.join(clips, "clip_id", "left_anti").unionByName(with_any)
+    named = F.col("fighter").isNotNull() & (F.col("fighter") != "")
+
+    def step(df: DataFrame, by: list[str], mine: str) -> DataFrame:
+        """One fold over each island of the groups of by; mine tells the rows to settle."""
+        n = F.count("*").over(Window.partitionBy(*by, "amount"))
+        names = df.columns
+        parted = islands(df.withColumn("__n", n), tuple(by), "t", cfg.visible, ("seq",), "__island")
+
+        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("seq")
+            return pdf.assign(amount=_settle(pdf, (pdf["fighter"] == "Unknown").to_numpy() == (mine == "Unknown"), cfg.visible))[names]
+
+        return parted.groupBy(*by, "__island").applyInPandas(fold, df.schema)
+
+    known = staged(step(readings.where(named), COMPANY, "named"))
+    clips = known.where("fighter = 'Unknown'").select("clip_id").distinct()
+    with_any = step(known.join(clips, "clip_id", "left_semi").select(*readings.columns), ["clip_id"], "Unknown")
+    rest = known.join(clips, "clip_id", "left_anti").select(*readings.columns)
+    return readings.where(~named | named.isNull()).unionByName(rest).unionByName(with_any)

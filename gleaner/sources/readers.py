@@ -61,7 +61,7 @@ def tagged_lines(spark: SparkSession, path: str, fps: float = 2.0, pass_: int =
 def from_tagged(parts: DataFrame, fps: float = 2.0, pass_: int = 0, by: tuple[str, ...] = ("clip_id",)) -> DataFrame:
     """(by, pos, line) with frame names between lines to ocr_lines: a line's frame is the last one named before it."""
     w = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    named = F.when(F.startswith("line", F.lit(TAG_LINE)), F.trim(F.substring("line", len(TAG_LINE) + 1, 10_000)))
+    named = F.when(F.startswith("line", F.lit(TAG_LINE)), F.trim(F.substr("line", F.lit(len(TAG_LINE) + 1))))
     df = parts.withColumn("__frame", F.last(named, ignorenulls=True).over(w))
     df = df.where(~F.startswith("line", F.lit(TAG_LINE)) & (F.trim("line") != "") & F.col("__frame").isNotNull())
     no = F.regexp_extract("__frame", r"(\d+)", 1).try_cast("int")

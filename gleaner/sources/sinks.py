@@ -19,9 +19,7 @@ def envelope_json(envelopes: DataFrame) -> DataFrame:
 
 def write_envelopes(envelopes: DataFrame, path: str) -> None:
     """Envelopes as JSON, a folder for each clip; those of clips written again are replaced."""
-    spark = envelopes.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    envelopes.withColumn("clip", F.col("clip_id")).write.mode("overwrite").partitionBy("clip").option("ignoreNullFields", "false").json(path)
+    envelopes.withColumn("clip", F.col("clip_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("clip").option("ignoreNullFields", "false").json(path)
 
 
 def page(template: Column, json: Column) -> Column:
@@ -34,6 +32,4 @@ def page(template: Column, json: Column) -> Column:
 
 def write_events(events: DataFrame, path: str) -> None:
     """Events as Parquet by clip, so that reading a clip prunes the rest."""
-    spark = events.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    events.repartition("clip_id").sortWithinPartitions("clip_id", "t", "dir", "seq").write.mode("overwrite").partitionBy("clip_id").parquet(path)
+    events.repartition("clip_id").sortWithinPartitions("clip_id", "t", "dir", "seq").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("clip_id").parquet(path)

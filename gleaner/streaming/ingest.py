@@ -15,6 +15,9 @@ from gleaner.config import Settings
 from gleaner.operators import lines
 from gleaner.plans import reconstruct
 
+#: Parts of the store by clip.
+PARTS = 256
+
 
 def line_stream(spark: SparkSession, path: str) -> DataFrame:
     """ocr_lines that arrive as Parquet files."""
@@ -35,16 +38,19 @@ def store_readings(stream: DataFrame, path: str, checkpoint: str):
 def reconstruct_closed(stream: DataFrame, clips: DataFrame, store: str, checkpoint: str, sink: Callable[[DataFrame, int], None], cfg: Settings = Settings()):
     """Keeps lines by clip under store, and hands the events of clips of which an end marker (raw is null) came to sink.
 
-    A batch that runs again replaces its own files, so lines are kept once.
+    A batch that runs again replaces its own files, so lines are kept once. The store is parted by a hash of the clip, so
+    closing a clip reads its own part alone.
     """
+    part = F.pmod(F.xxhash64("clip_id"), F.lit(PARTS)).cast("int")
 
     def each(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch.where("raw is not null").write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
+        batch.where("raw is not null").withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{store}/epoch={epoch}")
         closed = batch.where("raw is null").select("clip_id").distinct()
-        if closed.isEmpty():
+        parts = [r[0] for r in closed.select(part.alias("part")).distinct().collect()]  # PARTS at most
+        if not parts:
             return
-        kept = spark.read.schema(schema.OCR_LINES).option("recursiveFileLookup", "true").parquet(store)
+        kept = spark.read.schema(f"{schema.OCR_LINES}, epoch long, part int").parquet(store).where(F.col("part").isin(parts)).drop("epoch", "part")
         sink(reconstruct.events(kept.join(closed, "clip_id", "left_semi"), clips, cfg), epoch)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
