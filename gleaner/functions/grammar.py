@@ -36,19 +36,22 @@ SHAPES = (
     (HIT_BY_DAMAGED_THING, "hit", "in", 1, 2, True),
     (HIT_IN, "hit", "in", 1, 0, True),
 )
-#: Shapes of hits that begin with you.
-BY_YOU = (4, 5)
 #: Shapes whose actor may be the weapon left of a lost name.
 ARMED = (7, 8)
 
+_HEALS_YOU, _HITS_YOU = X.HEAL + _TO_YOU, X.HIT + r"s?" + _TO_YOU
+#: What a line must have for each shape, without the names whose length is open: tests that take one pass over a line.
+NEEDED = (
+    _HEALS_YOU, _HEALS_YOU, X.HEAL + r"\s+[A-Za-z]", X.HEAL + r"\s+[A-Za-z]", r"\byour\s*[A-Za-z]", r"\b" + X.YOU + r"\s*" + X.HIT,
+    _HITS_YOU, X.HIT + r"(?![sz])" + _TO_YOU, r"(?:" + X.HITS + r"?|" + _MOB + r")" + _TO_YOU,
+)
+
 
 def shape(body: Column) -> Column:
     """The place in SHAPES of the first that fits and isn't rejected for naming you; null if none does."""
     out = None
-    # cheap tests that spare most lines the long patterns
-    heals, yours = body.rlike("(?i)" + X.HEAL), body.rlike("(?i)" + X.YOU + r"r?\s*.*" + X.HIT)
     for i, (pattern, kind, _, name, _, picky) in enumerate(SHAPES):
-        fits = (heals if kind == "heal" else yours if i in BY_YOU else F.lit(True)) & body.rlike("(?i)" + pattern)
+        fits = body.rlike("(?i)" + NEEDED[i]) & body.rlike("(?i)" + pattern)
         if picky:
             own = F.regexp_replace(F.regexp_extract(body, "(?i)" + pattern, name), r"[^A-Za-z0-9_'\-]", "")
             fits = fits & ~own.rlike("^(?i)you")

@@ -235,7 +235,7 @@ def line_pitch(spark, sf_dir):
 
 
 def log_column(spark, sf_dir):
-    li = _table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    li = _table(spark, sf_dir, "lineitem")
     b = li.select(F.col("l_suppkey").cast("string").alias("clip_id"), (F.col("l_orderkey") % 900).cast("int").alias("x"), (F.col("l_partkey") % 700 * 7).cast("int").alias("y"), F.lit(300).alias("w"), F.lit(20).alias("h"))
     clips = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("clip_id"), F.lit(1920).alias("width"), F.lit(1080).alias("height"))
     return statistics.log_column(b, clips)
@@ -258,11 +258,11 @@ def tagged_lines(spark, sf_dir):
 
 
 def box_records(spark, sf_dir):
-    li = _table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    li = _table(spark, sf_dir, "lineitem")
     first = F.when(F.col("l_returnflag") == "R", F.lit("x")).otherwise((F.col("l_orderkey") % 500).cast("string"))
     line = F.concat_ws(" ", first, F.col("l_partkey").cast("string"), F.lit("300"), F.lit("20"))
     said = F.concat(line, F.lit("\t"), F.when(F.col("l_linestatus") == "F", "You hit Bob for 5").otherwise("You see a tree"))
-    return readers.boxes(li.select("l_orderkey", said.alias("line")), by=("l_orderkey",))
+    return readers.boxes(li.select("l_orderkey", "l_linenumber", said.alias("line")), by=("l_orderkey", "l_linenumber"))
 
 
 def log_visible(spark, sf_dir):
@@ -404,7 +404,7 @@ SQL: dict[str, str] = {
     "line_pitch": """with g as (select l_suppkey, l_orderkey * 3 - lag(l_orderkey * 3) over (partition by l_suppkey order by l_orderkey) d from lineitem),
       p as (select l_suppkey, percentile_disc(0.5) within group (order by d desc) pitch from g where d > 6 and d < 120 group by 1)
       select s.l_suppkey, coalesce(pitch, 14) pitch from (select distinct l_suppkey from lineitem) s left join p on s.l_suppkey = p.l_suppkey""",
-    "log_column": """with b as (select cast(l_suppkey as varchar) clip_id, l_orderkey % 900 x, l_partkey % 700 * 7 y from lineitem where l_linenumber <= 2),
+    "log_column": """with b as (select cast(l_suppkey as varchar) clip_id, l_orderkey % 900 x, l_partkey % 700 * 7 y from lineitem),
       c as (select clip_id, percentile_disc(0.5) within group (order by x desc) common from b group by 1 having count(*) >= 4), n as (select b.* from b join c on b.clip_id = c.clip_id where abs(x - common) <= 240),
       g as (select clip_id, y - lag(y) over (partition by clip_id order by y) d from n), p as (select clip_id, percentile_disc(0.5) within group (order by d desc) pitch from g where d > 6 and d < 120 group by 1),
       a as (select n.clip_id, min(x) l, max(x) + 300 r, min(y) t, max(y) + 20 b, coalesce(any_value(pitch), 18) pitch from n left join p on n.clip_id = p.clip_id group by 1 having count(*) >= 4)
@@ -413,7 +413,7 @@ SQL: dict[str, str] = {
     "frame_segments": """with c as (select cast(c_custkey as varchar) clip_id, abs(c_acctbal) / 100 d from customer), n as (select *, cast(case when d >= 20 then least(greatest(floor(d / 10), 1), 4) else 1 end as integer) n from c),
       f as (select *, cast(ceil(d * 2 / n) as integer) frames from n) select clip_id, cast(s as integer) segment, cast(s * frames + 1 as integer) first_frame, frames from (select *, unnest(range(n)) s from f)""",
     "tagged_lines": f"select doc_id, cast(pos - pos % 3 as integer) frame_no, (pos - pos % 3 - 1) / 2.0::double ft, cast(pos as integer) line_no, trim(raw) raw from {_LINES} where pos % 3 <> 0 and trim(raw) <> ''",
-    "box_records": "select l_orderkey, cast(l_orderkey % 500 as integer) x, cast(l_partkey as integer) y, 300 w, 20 h, 'You hit Bob for 5' as text from lineitem where l_linenumber = 1 and l_linestatus = 'F' and l_returnflag <> 'R'",
+    "box_records": "select l_orderkey, l_linenumber, cast(l_orderkey % 500 as integer) x, cast(l_partkey as integer) y, 300 w, 20 h, 'You hit Bob for 5' as text from lineitem where l_linestatus = 'F' and l_returnflag <> 'R'",
     "log_visible": f"select clip_id || '/' || strftime(ts, '%d') clip_id, count(*) filter (event_type in ('purchase', 'click', 'signup')) >= 3 visible from {SQL_EVENTS} group by 1",
     "clip_range": f"select clip_id, count(*) n, max(floor(t % 7200)) last from {SQL_TOLD} where floor(t % 7200) <= length(clip_id) * 1000 + 5 group by 1",
     "first_sightings": f"select clip_id, floor(sec / 86400) t, dir, amount, event_type fighter, min(sec) first_ft from {SQL_EVENTS} where amount % 4 <> 0 group by 1, 2, 3, 4, 5",
@@ -430,8 +430,12 @@ NAMES = (
 
 
 def queries():
-    return {name: globals()[name] for name in NAMES}
+    from gleaner.plans import chains
+
+    return {name: globals()[name] for name in NAMES} | chains.queries()
 
 
 def oracle_sql():
-    return dict(SQL)
+    from gleaner.plans import chains
+
+    return SQL | chains.SQL

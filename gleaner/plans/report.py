@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.config import Settings
@@ -52,6 +52,15 @@ def summary(ocr_lines: DataFrame, readings: DataFrame, folded: DataFrame, kept:
     return df.withColumn("dropped", F.col("folded") - F.col("kept"))
 
 
+def dropped(folded: DataFrame, kept: DataFrame, most: int = 6) -> DataFrame:
+    """The first few events of each clip that were left out as noise, as fighter:amount in order of time."""
+    told = ["clip_id", "t", "dir", "kind", "fighter", "amount", "last", "seen", "span", "exact"]
+    gone = folded.select(*told).exceptAll(kept.select(*told))
+    nth = F.row_number().over(Window.partitionBy("clip_id").orderBy("t", "dir", "kind", "fighter", "amount", "last"))
+    first = gone.withColumn("nth", nth).where(F.col("nth") <= most).groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct("nth", F.concat_ws(":", "fighter", F.col("amount").cast("string")).alias("said")))).alias("x"))
+    return first.select("clip_id", F.transform("x", lambda x: x["said"]).alias("first_dropped"))
+
+
 def selected(events: DataFrame, first: float | None = None, last: float | None = None, without: tuple[str, ...] = ()) -> DataFrame:
     """Events of a stretch of the clip, without some fighters."""
     who = F.when(F.col("dir") == "in", F.col("who")).otherwise(F.col("target"))
