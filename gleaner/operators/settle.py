@@ -100,7 +100,11 @@ def settled(readings: DataFrame, cfg: Settings = Settings()) -> DataFrame:
             pdf = pdf.sort_values("seq")
             return pdf.assign(amount=_settle(pdf, (pdf["fighter"] == "Unknown").to_numpy() == (mine == "Unknown"), cfg.visible))[names]
 
-        return parted.groupBy(*by, "__island").applyInPandas(fold, df.schema)
+        # an island without a row to settle, or without a number read twice, stays as it is
+        open_ = (F.col("fighter") == "Unknown").eqNullSafe(F.lit(mine == "Unknown")) & ((F.col("__n") == 1) | (F.coalesce(F.size("flags"), F.lit(0)) == 0))
+        island = Window.partitionBy(*by, "__island")
+        parted = parted.withColumn("__busy", F.coalesce(F.max(open_).over(island) & (F.max("__n").over(island) >= 2) & (F.count("*").over(island) > 1), F.lit(False)))
+        return parted.where(~F.col("__busy")).select(*names).unionByName(parted.where("__busy").groupBy(*by, "__island").applyInPandas(fold, df.schema))
 
     known = staged(step(readings.where(named), COMPANY, "named"))
     clips = known.where("fighter = 'Unknown'").select("clip_id").distinct()

@@ -66,18 +66,18 @@ def settle_fold(spark, sf_dir):
 
 
 def _company(spark, sf_dir):
-    """Readings of few amounts in clips of twenty users, a minute for each hour."""
+    """Readings of few amounts in clips of two users, a second for each ten minutes."""
     e = c._events(spark, sf_dir)
     fighter = F.when(F.col("event_type") == "error", "Unknown").when(F.col("event_id") % 11 == 0, None).otherwise(F.col("event_type"))
     flags = F.when(F.col("event_id") % 4 == 0, F.array(F.lit("Torso"))).otherwise(F.array().cast("array<string>"))
     return e.select(
-        F.floor(F.col("user_id") / 20).cast("string").alias("clip_id"), F.col("event_id").alias("seq"), "kind", "dir", fighter.alias("fighter"), F.round(F.col("sec") / 60, 1).alias("t"),
+        F.floor(F.col("user_id") / 2).cast("string").alias("clip_id"), F.col("event_id").alias("seq"), "kind", "dir", fighter.alias("fighter"), F.round(F.col("sec") / 600, 1).alias("t"),
         (F.floor(F.pow(F.col("amount") % 31, F.lit(2)) / 7)).cast("int").alias("amount"), flags.alias("flags"),
     )
 
 
-SQL_COMPANY = f"""(select cast(user_id // 20 as varchar) clip_id, event_id seq, kind, dir, case when event_type = 'error' then 'Unknown' when event_id % 11 = 0 then null else event_type end fighter,
-  round(sec / 60, 1) t, cast(floor((amount % 31) * (amount % 31) / 7) as integer) amount, event_id % 4 = 0 tagged from {c.SQL_EVENTS})"""
+SQL_COMPANY = f"""(select cast(user_id // 2 as varchar) clip_id, event_id seq, kind, dir, case when event_type = 'error' then 'Unknown' when event_id % 11 = 0 then null else event_type end fighter,
+  round(sec / 600, 1) t, cast(floor((amount % 31) * (amount % 31) / 7) as integer) amount, event_id % 4 = 0 tagged from {c.SQL_EVENTS})"""
 
 
 def _fold_sql(p: str, source: str, by: str, mine: str) -> str:
