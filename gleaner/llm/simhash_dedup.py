@@ -363,7 +363,7 @@ def near_links(distinct: DataFrame, node: int = NODE) -> DataFrame:
     paths = distinct.select("fp").mapInArrow(lay, "trie int, path long, fp binary")
     level = lambda df, depth: df.withColumn("depth", F.lit(depth)).withColumn("head", F.expr(f"shiftrightunsigned(path, {64 - depth})") if depth else F.lit(0).cast("long"))
     key, depth, done = ["trie", "depth", "head"], top, None
-    todo = stored(level(paths, depth))
+    todo = level(paths, depth)  # paths are worked out again where they are used, which is cheaper than keeping them
     while True:
         full = stored(todo.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > node).select(*key)) if depth < 64 else None
         fits = todo if full is None or full.isEmpty() else todo.join(full, key, "left_anti").select(*todo.columns)
@@ -371,7 +371,7 @@ def near_links(distinct: DataFrame, node: int = NODE) -> DataFrame:
         if fits is todo:
             break
         depth = min(64, depth + 4)
-        todo = stored(level(todo.join(full, key, "left_semi").select("trie", "path", "fp"), depth))
+        todo = level(todo.join(full, key, "left_semi").select("trie", "path", "fp"), depth)
 
     def found(trie, depth, path, wide, raw):
         """Links of whole nodes, which are sorted by trie, depth, and path."""
@@ -443,7 +443,8 @@ def survivors(docs: DataFrame) -> DataFrame:
     ids = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"))).alias("s")).join(root, "fp")
     kept = stored(ids.groupBy("root").agg(F.min(F.struct("s.n", "s.id", "fp")).alias("s")).select(F.col("s.id").alias(doc), F.col("s.fp").alias(fp)))
     if prints.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        return docs.join(kept.select(doc), F.col("doc_id") == F.col(doc), "left_semi").select(*names)
+        gone = stored(prints.select(F.col("doc_id").alias(doc)).join(kept.select(doc), doc, "left_anti"))  # far fewer than the kept
+        return docs.join(gone, F.col("doc_id") == F.col(doc), "left_anti").select(*names)
     # doc_ids that are null or stand more than once: rows are told apart by their fingerprints too
     mine = fresh(docs, "own")
     rows = wide.mapInArrow(run, wide.schema).toDF(*docs.columns, mine)
