@@ -28,7 +28,7 @@ SHARDS = 16
 SEED = 20240229
 MOST = 3
 #: Words that a part of a shard should hold while its rows are put in order.
-PART_WORDS = 8_000_000
+PART_WORDS = 250_000
 
 
 def block_key(blocks: int) -> tuple[Column, Column]:
