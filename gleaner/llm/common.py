@@ -52,11 +52,12 @@ def numbered(df: DataFrame, *more: Column) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder path under spark.checkpoint.dir; a folder of this machine only where that is unset (tests)."""
+    """A new folder path under spark.checkpoint.dir; where that is unset, one of this machine, for which Spark must be local."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "gleaner-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
