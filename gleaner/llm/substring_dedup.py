@@ -6,9 +6,10 @@ travel as one packed string, once for a chunk of texts, with the places where it
 the same minimiser and so meet in the same bin, where windows are sorted and the least doc_id of each is found exactly: equal
 hashes are compared as bytes.
 
-Bins are as many as the corpus needs at BIN bytes each. A bin that yet exceeds its limit (a hot passage within texts that
-differ) isn't loaded: its strings go on to be split to single windows, which are counted by a grouping with partial sums and
-joined back, both of which Spark splits.
+Bins are as many as the corpus needs at BIN bytes each. Their sizes are added up before anything moves. A bin that exceeds
+its limit (a hot minimiser, or a hot passage within texts that differ) is never sent to one task: its windows travel one by
+one, are counted by a grouping with partial sums and joined back, both of which Spark splits. So a task's bytes have a bound
+whatever the corpus. The numbers of such bins go to all tasks, 8 bytes for each LIMIT bytes of strings at most.
 
 Defined results: a null, empty or short text keeps its words; documents with equal doc_id don't remove each other's words
 and are told apart by the checksum of their text; a null doc_id is neither smaller nor larger than any, so such rows keep
@@ -28,9 +29,11 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import MUL, mixed, small_batches, spans, stored, word_hashes
 
 K = 13
-#: Bytes of packed strings that a bin is meant for, and that it may have before it is split.
+#: Bytes of strings and places that a bin is meant for, and that it may have before its windows travel singly.
 BIN, LIMIT = 12 << 20, 64 << 20
 FLUSH = 4 << 20
+#: Most tasks that settle bins; each task takes its bins one after the other.
+PARTS = 200_000
 _ODD = mixed(np.arange(101, 101 + K, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -72,26 +75,59 @@ def unpack(data: bytes):
     return body[at:].split(b"\n"), string.astype(np.int64), doc, crc, start.astype(np.int64)
 
 
-def packs(lines: list[bytes], doc: np.ndarray, crc: np.ndarray, bins: int):
-    """(bin, pack) for each bin that has strings of these texts, given as words with single spaces."""
+def strings_of(lines: list[bytes], bins: int):
+    """Of texts given as words with single spaces: their bytes, and of each string its bin, ends, text, first word and windows."""
     at = np.cumsum([0] + [len(x) + 1 for x in lines])
     whole = b" ".join(lines) + b" "
     buf = np.frombuffer(whole, np.uint8)
     starts, ends, row = spans(buf, at)
     first, count, least = runs(buf, starts, ends, row)
     if not len(first):
-        return
+        return None
     begin = np.searchsorted(row, row[first])  # the first word of each text
-    a, b = starts[first].tolist(), ends[first + count + K - 2].tolist()
     to = (mixed(least * MUL) % np.uint64(bins)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    cuts = np.flatnonzero(np.concatenate([[True], to[order][1:] != to[order][:-1]])).tolist() + [len(order)]
+    return whole, buf, starts, ends, to, starts[first], ends[first + count + K - 2], row[first], first, first - begin, count
+
+
+def packs(lines: list[bytes], doc: np.ndarray, crc: np.ndarray, bins: int, hot: np.ndarray):
+    """(bin, pack) for each bin, hot ones aside, that has strings of these texts."""
+    if (got := strings_of(lines, bins)) is None:
+        return
+    whole, _, _, _, to, a, b, r, _, word, _ = got
+    a, b, order = a.tolist(), b.tolist(), np.argsort(to, kind="stable")
+    order = order[~np.isin(to[order], hot)]
+    cuts = np.flatnonzero(np.concatenate([[True], to[order][1:] != to[order][:-1]])[: len(order)]).tolist() + [len(order)]
     for i, j in zip(cuts, cuts[1:]):
         mine = order[i:j]
         known: dict[bytes, int] = {}
         string = np.array([known.setdefault(whole[a[x] : b[x]], len(known)) for x in mine.tolist()])
-        r = row[first[mine]]
-        yield int(to[mine[0]]), pack(list(known), string, doc[r], crc[r], first[mine] - begin[mine])
+        yield int(to[mine[0]]), pack(list(known), string, doc[r[mine]], crc[r[mine]], word[mine])
+
+
+def sizes(lines: list[bytes], bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bins that have strings of these texts, and their bytes: each distinct string once, and 20 for each place."""
+    if (got := strings_of(lines, bins)) is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, buf, _, _, to, a, b, *_ = got
+    _, one = np.unique(word_hashes(buf, a, b), return_index=True)
+    own, place = np.unique(to, return_inverse=True)
+    size = 20 * np.bincount(place) + np.bincount(place[one], weights=(b - a + 1)[one], minlength=len(own)).astype(np.int64)
+    return own, size
+
+
+def single_windows(lines: list[bytes], doc: np.ndarray, crc: np.ndarray, bins: int, hot: np.ndarray):
+    """(window, doc_id, checksum, first word) columns of all windows of hot bins."""
+    if (got := strings_of(lines, bins)) is None:
+        return
+    whole, _, starts, ends, to, _, _, r, first, word, count = got
+    mine = np.flatnonzero(np.isin(to, hot))
+    for i in range(0, len(mine), 1 << 12):
+        part = mine[i : i + (1 << 12)]
+        of = np.repeat(part, count[part])
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
+        at = first[of] + nth
+        texts = [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at + K - 1].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(doc[r[of]]), pa.array(crc[r[of]].astype(np.int64)), pa.array(word[of] + nth)], ["window", "doc_id", "crc", "first"])
 
 
 def least_docs(strings: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,102 +187,83 @@ def ranges(bin_packs: list[bytes]):
     return doc[of[begin]], crc[of[begin]].astype(np.int64), word[begin], word[last] + K
 
 
-SPEC = "doc_id long, crc long, first long, after long, pack binary"
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("crc", pa.int64()), ("first", pa.int64()), ("after", pa.int64()), ("pack", pa.binary())])
+def flushed(batches, told):
+    """What told makes of texts of at least K words, FLUSH bytes or one longer text at a time: lines, doc_ids, checksums."""
+    lines, doc, crc, held = [], [], [], 0
+    for batch in batches:
+        for d, t, c in zip(*(batch.column(i) for i in range(3)), strict=True):
+            words = t.as_py().encode().split()
+            if len(words) < K:
+                continue
+            lines.append(b" ".join(words))
+            doc.append(d.as_py())
+            crc.append(c.as_py())
+            held += len(lines[-1])
+            if held >= FLUSH:
+                yield from told(lines, np.array(doc, np.int64), np.array(crc, np.uint32))
+                lines, doc, crc, held = [], [], [], 0
+    if lines:
+        yield from told(lines, np.array(doc, np.int64), np.array(crc, np.uint32))
 
 
 def removed(docs: DataFrame, bin_bytes: int = BIN, limit: int = LIMIT) -> DataFrame:
     """(doc_id, crc, first, after): word ranges to remove from the text of that doc_id and checksum; they may overlap."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("doc_id is not null")
     rows = rows.select("doc_id", "text", F.crc32(F.encode("text", "UTF-8")).alias("crc"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bins = max(1, int(3 * total // bin_bytes))
 
+    def measure(batches):
+        def told(lines, doc, crc):
+            own, size = sizes(lines, bins)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(size)], ["bin", "size"])
+
+        yield from flushed(batches, told)
+
+    large = rows.mapInArrow(measure, "bin long, size long").groupBy("bin").agg(F.sum("size").alias("size")).where(F.col("size") > limit)
+    hot = np.array(sorted(r[0] for r in large.select("bin").collect()), np.int64)
+
     def pack_all(batches):
-        lines, doc, crc, held = [], [], [], 0
-        for batch in batches:
-            for d, t, c in zip(*(batch.column(i) for i in range(3)), strict=True):
-                words = t.as_py().encode().split()
-                if len(words) < K:
-                    continue
-                lines.append(b" ".join(words))
-                doc.append(d.as_py())
-                crc.append(c.as_py())
-                held += len(lines[-1])
-                if held >= FLUSH:
-                    yield from emitted(lines, doc, crc)
-                    lines, doc, crc, held = [], [], [], 0
-        if lines:
-            yield from emitted(lines, doc, crc)
-
-    def emitted(lines, doc, crc):
-        got = list(packs(lines, np.array(doc, np.int64), np.array(crc, np.uint32), bins))
-        for i in range(0, len(got), 256):
-            yield pa.RecordBatch.from_pydict({"bin": pa.array([g[0] for g in got[i : i + 256]], pa.int64()), "pack": pa.array([g[1] for g in got[i : i + 256]], pa.binary())})
+        def told(lines, doc, crc):
+            got = list(packs(lines, doc, crc, bins, hot))
+            for i in range(0, len(got), 256):
+                yield pa.RecordBatch.from_pydict({"bin": pa.array([g[0] for g in got[i : i + 256]], pa.int64()), "pack": pa.array([g[1] for g in got[i : i + 256]], pa.binary())})
+
+        yield from flushed(batches, told)
 
     def settle(batches):
-        bin_, held, size, over = None, [], 0, False
+        bin_, held = None, []
         for batch in batches:
             for b, p in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if b != bin_:
-                    if held:
-                        yield from told(held)
-                    bin_, held, size, over = b, [], 0, False
-                held.append(p.as_py())
-                size += unpacked_size(held[-1])
-                if over or size > limit:
-                    over = True
-                    yield pa.RecordBatch.from_pydict({"pack": pa.array(held, pa.binary())} | {n: pa.nulls(len(held), pa.int64()) for n in SCHEMA.names[:4]}).select(SCHEMA.names)
+                if b != bin_ and held:
+                    yield from told(held)
                     held = []
+                bin_ = b
+                held.append(p.as_py())
         if held:
             yield from told(held)
 
     def told(held):
-        doc, crc, first, after = ranges(held)
-        for i in range(0, len(doc), 1 << 16):
-            part = [pa.array(x[i : i + (1 << 16)], pa.int64()) for x in (doc, crc, first, after)]
-            yield pa.RecordBatch.from_arrays([*part, pa.nulls(len(part[0]), pa.binary())], schema=SCHEMA)
-
-    parts = min(bins, 20_000)
-    packed = rows.mapInArrow(pack_all, "bin long, pack binary").repartition(parts, "bin").sortWithinPartitions("bin")
-    out = stored(packed.mapInArrow(settle, SPEC))
-    over = out.where("pack is not null").select("pack")
-    out = out.where("pack is null").drop("pack")
-    if over.isEmpty():
+        found = ranges(held)
+        for i in range(0, len(found[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)], pa.int64()) for x in found], ["doc_id", "crc", "first", "after"])
+
+    packed = rows.mapInArrow(pack_all, "bin long, pack binary").repartition(min(bins, PARTS), "bin").sortWithinPartitions("bin")
+    out = stored(packed.mapInArrow(settle, "doc_id long, crc long, first long, after long"))
+    if not len(hot):
         return out
 
-    def singles(batches):
-        for batch in batches:
-            for p in batch.column(0):
-                strings, string, doc, crc, start = unpack(p.as_py())
-                words = [s.split(b" ") for s in strings]
-                texts, ids, sums, firsts = [], [], [], []
-                for s, d, c, a in zip(string.tolist(), doc.tolist(), crc.tolist(), start.tolist(), strict=True):
-                    w = words[s]
-                    for i in range(len(w) - K + 1):
-                        texts.append(b" ".join(w[i : i + K]).decode())
-                        ids.append(d)
-                        sums.append(c)
-                        firsts.append(a + i)
-                    if len(texts) > 1 << 15:
-                        yield pa.RecordBatch.from_arrays([pa.array(texts), pa.array(ids), pa.array(sums), pa.array(firsts)], ["window", "doc_id", "crc", "first"])
-                        texts, ids, sums, firsts = [], [], [], []
-                if texts:
-                    yield pa.RecordBatch.from_arrays([pa.array(texts), pa.array(ids), pa.array(sums), pa.array(firsts)], ["window", "doc_id", "crc", "first"])
-
-    places = over.repartition(max(1, parts)).mapInArrow(singles, "window string, doc_id long, crc long, first long")
+    def single(batches):
+        yield from flushed(batches, lambda lines, doc, crc: single_windows(lines, doc, crc, bins, hot))
+
+    places = rows.mapInArrow(single, "window binary, doc_id long, crc long, first long")
     low = places.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     gone = places.join(low, "window").where("doc_id > least").select("doc_id", "crc", "first", (F.col("first") + K).alias("after"))
     return out.unionByName(gone)
 
 
-def unpacked_size(data: bytes) -> int:
-    return max(0, zstandard.frame_content_size(data))
-
-
 def kept(docs: DataFrame, ranges_of: DataFrame, text_out: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, and the kept words' SHA-256, or the words themselves."""
     lists = ranges_of.groupBy("doc_id", "crc").agg(F.sort_array(F.collect_set(F.struct("first", "after"))).alias("ranges"))
