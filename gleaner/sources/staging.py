@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; one of this machine only where that is unset, as in tests."""
+    """The cluster's shared folder, spark.checkpoint.dir; where that is unset, one of this machine, for which Spark must be local."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/") if base else f"file://{tempfile.gettempdir()}/gleaner-stages"
 
 
