@@ -12,7 +12,7 @@ one, are counted by a grouping with partial sums and joined back, both of which
 whatever the corpus. The numbers of such bins go to all tasks, 8 bytes for each LIMIT bytes of strings at most.
 
 Defined results: a null, empty or short text keeps its words; documents with equal doc_id don't remove each other's words
-and are told apart by the checksum of their text; a null doc_id is neither smaller nor larger than any, so such rows keep
+and are told apart by a 64-bit hash of their text; a null doc_id is neither smaller nor larger than any, so such rows keep
 all words and remove none; an empty table gives no rows; other columns are not read.
 """
 
@@ -57,10 +57,10 @@ def runs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray,
     return at[new], np.diff(np.append(new, len(at))), own[new]
 
 
-def pack(strings: list[bytes], string: np.ndarray, doc: np.ndarray, crc: np.ndarray, start: np.ndarray) -> bytes:
-    """Distinct strings and the places (string, doc_id, checksum, first word) where they stand, compressed."""
+def pack(strings: list[bytes], string: np.ndarray, doc: np.ndarray, mark: np.ndarray, start: np.ndarray) -> bytes:
+    """Distinct strings and the places (string, doc_id, hash of the text, first word) where they stand, compressed."""
     head = np.array([len(strings), len(string)], np.int64)
-    body = b"".join(x.tobytes() for x in (head, doc.astype(np.int64), string.astype(np.int32), crc.astype(np.uint32), start.astype(np.int32)))
+    body = b"".join(x.tobytes() for x in (head, doc.astype(np.int64), string.astype(np.int32), mark.astype(np.int64), start.astype(np.int32)))
     return zstandard.ZstdCompressor(level=1).compress(body + b"\n".join(strings))
 
 
@@ -68,11 +68,11 @@ def unpack(data: bytes):
     body = zstandard.ZstdDecompressor().decompress(data)
     _, n = np.frombuffer(body, np.int64, 2)
     n, at, out = int(n), 16, []
-    for kind, width in ((np.int64, 8), (np.int32, 4), (np.uint32, 4), (np.int32, 4)):
+    for kind, width in ((np.int64, 8), (np.int32, 4), (np.int64, 8), (np.int32, 4)):
         out.append(np.frombuffer(body, kind, n, at))
         at += n * width
-    doc, string, crc, start = out
-    return body[at:].split(b"\n"), string.astype(np.int64), doc, crc, start.astype(np.int64)
+    doc, string, mark, start = out
+    return body[at:].split(b"\n"), string.astype(np.int64), doc, mark, start.astype(np.int64)
 
 
 def strings_of(lines: list[bytes], bins: int):
@@ -89,7 +89,7 @@ def strings_of(lines: list[bytes], bins: int):
     return whole, buf, starts, ends, to, starts[first], ends[first + count + K - 2], row[first], first, first - begin, count
 
 
-def packs(lines: list[bytes], doc: np.ndarray, crc: np.ndarray, bins: int, hot: np.ndarray):
+def packs(lines: list[bytes], doc: np.ndarray, mark: np.ndarray, bins: int, hot: np.ndarray):
     """(bin, pack) for each bin, hot ones aside, that has strings of these texts."""
     if (got := strings_of(lines, bins)) is None:
         return
@@ -101,22 +101,22 @@ def packs(lines: list[bytes], doc: np.ndarray, crc: np.ndarray, bins: int, hot:
         mine = order[i:j]
         known: dict[bytes, int] = {}
         string = np.array([known.setdefault(whole[a[x] : b[x]], len(known)) for x in mine.tolist()])
-        yield int(to[mine[0]]), pack(list(known), string, doc[r[mine]], crc[r[mine]], word[mine])
+        yield int(to[mine[0]]), pack(list(known), string, doc[r[mine]], mark[r[mine]], word[mine])
 
 
 def sizes(lines: list[bytes], bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bins that have strings of these texts, and their bytes: each distinct string once, and 20 for each place."""
+    """The bins that have strings of these texts, and their bytes: each distinct string once, and 24 for each place."""
     if (got := strings_of(lines, bins)) is None:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     _, buf, _, _, to, a, b, *_ = got
     _, one = np.unique(word_hashes(buf, a, b), return_index=True)
     own, place = np.unique(to, return_inverse=True)
-    size = 20 * np.bincount(place) + np.bincount(place[one], weights=(b - a + 1)[one], minlength=len(own)).astype(np.int64)
+    size = 24 * np.bincount(place) + np.bincount(place[one], weights=(b - a + 1)[one], minlength=len(own)).astype(np.int64)
     return own, size
 
 
-def single_windows(lines: list[bytes], doc: np.ndarray, crc: np.ndarray, bins: int, hot: np.ndarray):
-    """(window, doc_id, checksum, first word) columns of all windows of hot bins."""
+def single_windows(lines: list[bytes], doc: np.ndarray, mark: np.ndarray, bins: int, hot: np.ndarray):
+    """(window, doc_id, hash of the text, first word) columns of all windows of hot bins."""
     if (got := strings_of(lines, bins)) is None:
         return
     whole, _, starts, ends, to, _, _, r, first, word, count = got
@@ -127,7 +127,7 @@ def single_windows(lines: list[bytes], doc: np.ndarray, crc: np.ndarray, bins: i
         nth = np.arange(len(of)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
         at = first[of] + nth
         texts = [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at + K - 1].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(doc[r[of]]), pa.array(crc[r[of]].astype(np.int64)), pa.array(word[of] + nth)], ["window", "doc_id", "crc", "first"])
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(doc[r[of]]), pa.array(mark[r[of]]), pa.array(word[of] + nth)], ["window", "doc_id", "mark", "first"])
 
 
 def least_docs(strings: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,14 +163,14 @@ def least_docs(strings: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def ranges(bin_packs: list[bytes]):
-    """(doc_id, checksum, first word, word after) of the words that the windows of a bin remove, in longest runs."""
+    """(doc_id, hash of the text, first word, word after) of the words that the windows of a bin remove, in longest runs."""
     strings: list[bytes] = []
     parts = []
     for data in bin_packs:
-        own, string, doc, crc, start = unpack(data)
-        parts.append((string + len(strings), doc, crc, start))
+        own, string, doc, mark, start = unpack(data)
+        parts.append((string + len(strings), doc, mark, start))
         strings += own
-    string, doc, crc, start = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    string, doc, mark, start = (np.concatenate([p[i] for p in parts]) for i in range(4))
     least = np.full(len(strings), np.iinfo(np.int64).max)
     np.minimum.at(least, string, doc)
     found, first, count = least_docs(strings, least)
@@ -184,12 +184,12 @@ def ranges(bin_packs: list[bytes]):
     new = np.concatenate([[True], (of[1:] != of[:-1]) | (word[1:] != word[:-1] + 1)]) if len(of) else np.zeros(0, bool)
     begin = np.flatnonzero(new)
     last = np.append(begin[1:], len(of)) - 1 if len(of) else begin
-    return doc[of[begin]], crc[of[begin]].astype(np.int64), word[begin], word[last] + K
+    return doc[of[begin]], mark[of[begin]], word[begin], word[last] + K
 
 
 def flushed(batches, told):
-    """What told makes of texts of at least K words, FLUSH bytes or one longer text at a time: lines, doc_ids, checksums."""
-    lines, doc, crc, held = [], [], [], 0
+    """What told makes of texts of at least K words, FLUSH bytes or one longer text at a time: lines, doc_ids, hashes of the texts."""
+    lines, doc, mark, held = [], [], [], 0
     for batch in batches:
         for d, t, c in zip(*(batch.column(i) for i in range(3)), strict=True):
             words = t.as_py().encode().split()
@@ -197,26 +197,26 @@ def flushed(batches, told):
                 continue
             lines.append(b" ".join(words))
             doc.append(d.as_py())
-            crc.append(c.as_py())
+            mark.append(c.as_py())
             held += len(lines[-1])
             if held >= FLUSH:
-                yield from told(lines, np.array(doc, np.int64), np.array(crc, np.uint32))
-                lines, doc, crc, held = [], [], [], 0
+                yield from told(lines, np.array(doc, np.int64), np.array(mark, np.int64))
+                lines, doc, mark, held = [], [], [], 0
     if lines:
-        yield from told(lines, np.array(doc, np.int64), np.array(crc, np.uint32))
+        yield from told(lines, np.array(doc, np.int64), np.array(mark, np.int64))
 
 
 def removed(docs: DataFrame, bin_bytes: int = BIN, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, crc, first, after): word ranges to remove from the text of that doc_id and checksum; they may overlap."""
+    """(doc_id, mark, first, after): word ranges to remove from the text of that doc_id and hash; they may overlap."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("doc_id is not null")
-    rows = rows.select("doc_id", "text", F.crc32(F.encode("text", "UTF-8")).alias("crc"))
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bins = max(1, int(3 * total // bin_bytes))
 
     def measure(batches):
-        def told(lines, doc, crc):
+        def told(lines, doc, mark):
             own, size = sizes(lines, bins)
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(size)], ["bin", "size"])
 
@@ -226,8 +226,8 @@ def removed(docs: DataFrame, bin_bytes: int = BIN, limit: int = LIMIT) -> DataFr
     hot = np.array(sorted(r[0] for r in large.select("bin").collect()), np.int64)
 
     def pack_all(batches):
-        def told(lines, doc, crc):
-            got = list(packs(lines, doc, crc, bins, hot))
+        def told(lines, doc, mark):
+            got = list(packs(lines, doc, mark, bins, hot))
             for i in range(0, len(got), 256):
                 yield pa.RecordBatch.from_pydict({"bin": pa.array([g[0] for g in got[i : i + 256]], pa.int64()), "pack": pa.array([g[1] for g in got[i : i + 256]], pa.binary())})
 
@@ -248,28 +248,28 @@ def removed(docs: DataFrame, bin_bytes: int = BIN, limit: int = LIMIT) -> DataFr
     def told(held):
         found = ranges(held)
         for i in range(0, len(found[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)], pa.int64()) for x in found], ["doc_id", "crc", "first", "after"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)], pa.int64()) for x in found], ["doc_id", "mark", "first", "after"])
 
     packed = rows.mapInArrow(pack_all, "bin long, pack binary").repartition(min(bins, PARTS), "bin").sortWithinPartitions("bin")
-    out = stored(packed.mapInArrow(settle, "doc_id long, crc long, first long, after long"))
+    out = stored(packed.mapInArrow(settle, "doc_id long, mark long, first long, after long"))
     if not len(hot):
         return out
 
     def single(batches):
-        yield from flushed(batches, lambda lines, doc, crc: single_windows(lines, doc, crc, bins, hot))
+        yield from flushed(batches, lambda lines, doc, mark: single_windows(lines, doc, mark, bins, hot))
 
-    places = rows.mapInArrow(single, "window binary, doc_id long, crc long, first long")
+    places = rows.mapInArrow(single, "window binary, doc_id long, mark long, first long")
     low = places.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    gone = places.join(low, "window").where("doc_id > least").select("doc_id", "crc", "first", (F.col("first") + K).alias("after"))
+    gone = places.join(low, "window").where("doc_id > least").select("doc_id", "mark", "first", (F.col("first") + K).alias("after"))
     return out.unionByName(gone)
 
 
 def kept(docs: DataFrame, ranges_of: DataFrame, text_out: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, and the kept words' SHA-256, or the words themselves."""
-    lists = ranges_of.groupBy("doc_id", "crc").agg(F.sort_array(F.collect_set(F.struct("first", "after"))).alias("ranges"))
+    lists = ranges_of.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.struct("first", "after"))).alias("ranges"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("crc", F.crc32(F.encode("text", "UTF-8")))
-    both = rows.join(lists.hint("shuffle_hash"), ["doc_id", "crc"], "left").select("doc_id", "text", "ranges")
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    both = rows.join(lists.hint("shuffle_hash"), ["doc_id", "mark"], "left").select("doc_id", "text", "ranges")
     id_type = dict(rows.dtypes)["doc_id"]
 
     def run(batches):
