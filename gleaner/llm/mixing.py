@@ -1,8 +1,8 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Each source's documents are dealt into BLOCKS hashed blocks. The blocks in hash order, over and over, are the draws of the
-source: disjoint blocks until all have been drawn once, then a second pass, then a third. A source's quota is the number
-of draws whose words come nearest its target. The tree splits the quotas of all sources among output shards: at each node,
+source: disjoint blocks until all have been drawn once, then a second pass, then a third. A source's quota is the
+number of draws that fit into its target, and one more where a block left in that pass brings the words nearer to it. The tree splits the quotas of all sources among output shards: at each node,
 the left half of the shards gets a multivariate-hypergeometric share of the draws, so that each shard is an unbiased
 sample of the mix. Each shard then takes its own run of draws of each source and orders its rows by a hash.
 
@@ -100,10 +100,16 @@ def plan(rows: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] = (1, 2
     laid = laid.withColumn("of", F.count("*").over(Window.partitionBy("source")))
     s = sources.withColumnRenamed("source", "__source")
     laid = laid.join(s, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    # A draw is taken if its middle is before the target, which leaves the sum within half a block of it.
-    passes = laid.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))))
-    middle = F.col("pass") * F.col("source_size") + F.col("before") + F.col("words") / 2
-    drawn = stored(passes.filter((F.col("source_size") > 0) & (middle < F.col("target"))).select("source", "block", "pass", (F.col("pass") * F.col("of") + F.col("nth")).alias("nth")))
+    # Draws are taken while they fit. The last one is, of the blocks that its pass has left, that which brings the sum nearest.
+    passes = laid.where("source_size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))))
+    passes = passes.withColumn("nth", F.col("pass") * F.col("of") + F.col("nth"))
+    of, fits = Window.partitionBy("source"), F.col("pass") * F.col("source_size") + F.col("before") + F.col("words") <= F.col("target")
+    laid = passes.withColumn("fits", fits).withColumn("left", F.col("target") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("words"))).over(of), F.lit(0)))
+    laid = laid.withColumn("first_free", F.count_if("fits").over(of)).withColumn("gap", F.abs(F.col("words") - F.col("left")))
+    may_end = ~F.col("fits") & (F.col("pass") == F.floor(F.col("target") / F.col("source_size"))) & (F.col("gap") < F.col("left"))
+    laid = laid.withColumn("ends", F.min(F.when(may_end, F.struct("gap", "nth"))).over(of)["nth"])
+    place = F.when(F.col("fits"), F.col("nth")).when(F.col("nth") == F.col("ends"), F.col("first_free"))
+    drawn = stored(laid.select("source", "block", "pass", place.alias("nth")).where("nth is not null"))
     quota = {r[0]: r[1] for r in drawn.groupBy("source").count().collect()}
     have = split(np.array([quota.get(n, 0) for n in names], np.int64), shards, np.random.default_rng(SEED))
     ends = np.cumsum(have, axis=0)

@@ -46,6 +46,29 @@ def test_report(docs, rows):
     assert key(m.report(docs).collect()) == key(got)
 
 
+@pytest.mark.parametrize("blocks", [5, m.BLOCKS])
+def test_draws_against_brute_force(docs, blocks):
+    """Draws, source by source: blocks over and over while they fit, then the one left that comes nearest."""
+    rows = m.sized(docs, blocks)
+    words, taken = {}, {}
+    for r in rows.collect():
+        words.setdefault(r.source, {}).setdefault(r.block, 0)
+        words[r.source][r.block] += r.size
+    want = m.targets({s: sum(w.values()) for s, w in words.items()})
+    for s, of in words.items():
+        left, order = want[s], [(turn, b) for turn in range(m.MOST) for b in sorted(of)]
+        while sum(of.values()) and order and of[order[0][1]] <= left:
+            left -= of[order[0][1]]
+            taken[s, order[0][1], order.pop(0)[0]] = 1
+        if sum(of.values()) and order:
+            turn, b = min((x for x in order if x[0] == order[0][0]), key=lambda x: abs(of[x[1]] - left))
+            if abs(of[b] - left) < left:
+                taken[s, b, turn] = 1
+    draws, _ = m.plan(rows)
+    got = [(r.source, r.block, r["pass"]) for r in draws.collect()]
+    assert len(got) == len(set(got)) and set(got) == set(taken)
+
+
 def test_mix_has_the_draws(docs):
     times = {}
     for r in m.report(docs).collect():
