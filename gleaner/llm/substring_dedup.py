@@ -61,7 +61,7 @@ def pack(strings: list[bytes], string: np.ndarray, doc: np.ndarray, mark: np.nda
     """Distinct strings and the places (string, doc_id, hash of the text, first word) where they stand, compressed."""
     head = np.array([len(strings), len(string)], np.int64)
     body = b"".join(x.tobytes() for x in (head, doc.astype(np.int64), string.astype(np.int32), mark.astype(np.int64), start.astype(np.int32)))
-    return zstandard.ZstdCompressor(level=1).compress(body + b"\n".join(strings))
+    return zstandard.ZstdCompressor(level=3).compress(body + b"\n".join(strings))
 
 
 def unpack(data: bytes):
