@@ -29,6 +29,8 @@ SEED = 20240229
 MOST = 3
 #: Words that a part of a shard should hold while its rows are put in order.
 PART_WORDS = 250_000
+#: Words that one task should move at most; a mix of more than the session's shuffle partitions can hold gets more of them.
+TASK_WORDS = 20_000_000
 
 
 def block_key(blocks: int) -> tuple[Column, Column]:
@@ -118,10 +120,13 @@ def plan(rows: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] = (1, 2
     return drawn.join(runs, F.col("source").eqNullSafe(F.col("__source")) & (F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("end"))).select("source", "block", "pass", "shard"), sources
 
 
-def parts_of(sources: DataFrame, shards: int, part: int = PART_WORDS) -> int:
-    """Into how many parts a shard's rows are dealt while they move, so that each holds about so many words."""
-    words = sources.agg(F.sum("target")).first()[0] or 0
-    return max(1, int(words // (shards * part)))
+def dealt(rows: DataFrame, words: float, shards: int, shard: str, place: str, part: int = PART_WORDS, task: int = TASK_WORDS) -> DataFrame:
+    """The rows moved by shard and by part of it, so that a part holds about so many words and a task no more than it should."""
+    keys = shard, F.pmod(F.xxhash64(F.lit(SEED + 2), place), F.lit(max(1, int(words // (shards * part)))))
+    tasks = int(words // task) + 1
+    if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return rows.repartition(tasks, *keys)
+    return rows.repartition(*keys)
 
 
 def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -132,8 +137,8 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     d = draws.select(F.col("source").alias(s), F.col("block").alias(b), F.col("pass").alias(turn), F.col("shard").alias(shard))
     out = docs.withColumn(block, block_key(BLOCKS)[1]).join(d, F.col("source").eqNullSafe(F.col(s)) & (F.col(block) == F.col(b)))
     out = out.withColumn(place, F.xxhash64(F.lit(SEED + 1), F.col("doc_id"), F.col(turn)))
-    spread = out.repartition(shard, F.pmod(F.xxhash64(F.lit(SEED + 2), place), F.lit(parts_of(sources, shards))))
-    return spread.sortWithinPartitions(shard, place).select(*names)
+    words = sources.agg(F.sum("target")).first()[0] or 0
+    return dealt(out, words, shards, shard, place).sortWithinPartitions(shard, place).select(*names)
 
 
 def report(docs: DataFrame) -> DataFrame:

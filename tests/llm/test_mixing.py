@@ -82,6 +82,17 @@ def test_mix_has_the_draws(docs):
     assert got == {k: v for k, v in times.items() if v}
 
 
+def test_tasks_grow_with_the_words(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).select(F.col("id"), (F.col("id") % 4).alias("shard"), F.xxhash64("id").alias("place"))
+    out = m.dealt(rows, 40_000, 4, "shard", "place", part=100, task=1000)
+    counts = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert out.rdd.getNumPartitions() == 41 and sum(counts) == 5000 and max(counts) < 500
+    few = m.dealt(rows, 40_000, 4, "shard", "place", part=100)
+    assert sorted(r.id for r in few.collect()) == list(range(5000))
+
+
 def test_empty(none):
     assert m.report(none).count() == 0 and m.mix(none).count() == 0
 
