@@ -47,4 +47,12 @@ OP10 = f"""with d as (select doc_id, {_WORDS} w from documents), p as (select do
   z as (select doc_id, count(*) filter (gone) n, coalesce(string_agg(x, ' ' order by j) filter (not gone), '') t from y group by 1)
   select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n, 0) as bigint) n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join z on d.doc_id = z.doc_id"""
 
-SQL = {"op1_quality_rules": OP1, "rule_ablations": RULE_ABLATIONS, "op2_warc": OP2, "op5_decontamination": OP5, "op10_substring_dedup": OP10}
+OP13 = rf"""with d as (select row_number() over () r, doc_id, {_LETTERS} l from documents), b as (select row_number() over () q, item_id, {_LETTERS} l from benchmark),
+  t as (select count(*) filter (len(l) > 0) n_docs, sum(len(l)) n_terms from d), a as (select q, item_id, term, count(*) times from (select q, item_id, unnest(l) term from b) group by all),
+  p as (select r, doc_id, n, term, count(*) tf from (select r, doc_id, len(l) n, unnest(l) term from d) semi join a using (term) group by all),
+  w as (select term, cast(floor(1000 * ln((2.0::double * n_docs + 2) / (2.0::double * count(*) + 1))) as bigint) w from p, t group by term, n_docs),
+  i as (select r, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)) impact from p, t),
+  s as (select q, item_id, r, doc_id, cast(sum(times * w * impact) as bigint) score from a join w using (term) join i using (term) group by all)
+  select item_id, cast(k as integer) rank, doc_id, score from (select *, row_number() over (partition by q order by score desc, doc_id) k from s where score > 0) where k <= 10"""
+
+SQL = {"op1_quality_rules": OP1, "rule_ablations": RULE_ABLATIONS, "op2_warc": OP2, "op5_decontamination": OP5, "op10_substring_dedup": OP10, "op13_ranked_search": OP13}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import decontamination, license_scan, mixing, oracles, ppm, quality_classifier, quality_rules, sharding, simhash_dedup, substring_dedup, warc
+from gleaner.llm import decontamination, license_scan, mixing, oracles, packing, ppm, quality_classifier, quality_rules, ranked_search, sharding, simhash_dedup, substring_dedup, warc, whitening
 from gleaner.llm.common import table
 
 
@@ -50,6 +50,20 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark, sf_dir):
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
