@@ -38,9 +38,9 @@ LENGTH = 2048
 END = 1
 QUADRATIC = 12_288
 GROUP = 1 << 21
-#: Bytes of text encoded at a time, and how many short words' ids a worker remembers.
-CHUNK = 4 << 20
-REMEMBERED, SHORT = 1 << 18, 64
+#: Bytes of text encoded at a time, and how many of its words are encoded as one text.
+CHUNK = 16 << 20
+LINES = 512
 
 
 def cost(tokens):
@@ -64,7 +64,14 @@ def cuts(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     ends[1:] |= tail[1:] & two[:-1]
     ends[2:] |= tail[2:] & tail[1:-1] & three[:-2]
     inner = np.flatnonzero(blank[1:-1] & ends[:-2] & begins[2:]) + 1
-    return np.union1d(at, inner)
+    edge = np.zeros(len(buf) + 1, bool)
+    edge[at] = edge[inner] = True
+    return np.flatnonzero(edge)
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1 and so on, n[0] of them, then those of first[1], ..."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 class Encoder:
@@ -76,21 +83,31 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.of = Tokenizer.from_file(path)
         self.of.encode_special_tokens = True
-        self.known: dict[bytes, list[int]] = {}
-
-    def encoded(self, units: list[bytes]) -> list[list[int]]:
-        """The ids of each unit; those of short ones are remembered."""
-        out = [self.known.get(u) for u in units]
-        new = [i for i, ids in enumerate(out) if ids is None]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        for k in range(0, len(new), 1 << 14):
-            part = new[k : k + (1 << 14)]
-            for i, got in zip(part, self.of.encode_batch_fast([units[i].decode(errors="replace") for i in part], add_special_tokens=False), strict=True):
-                out[i] = got.ids
-                if len(units[i]) <= SHORT and len(self.known) < REMEMBERED:
-                    self.known[units[i]] = out[i]
-        return out
+        self.breaks = self.of.encode("\n", add_special_tokens=False).ids
+
+    def encoded(self, units: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units end to end, and how many each has.
+
+        Words with one space before them at most are encoded many at a time, a line each: a line break between them is a
+        token of its own, which no word holds.
+        """
+        buf, at = text_bytes(units)
+        first = at[:-1]
+        odd = (buf <= 0x20) | (buf == 0x7F) | (buf == 0xC2) | ((buf >= 0xE1) & (buf <= 0xE3))
+        odd[first] &= buf[first] != 0x20
+        plain = ~np.logical_or.reduceat(odd, first) if len(self.breaks) == 1 else np.zeros(len(units), bool)
+        words, rest = (units.filter(pa.array(m)).to_pylist() for m in (plain, ~plain))
+        lines = [b"\n".join([*words[i : i + LINES], b""]).decode(errors="replace") for i in range(0, len(words), LINES)]
+        flat = np.fromiter(chain.from_iterable(x.ids for x in self.of.encode_batch_fast(lines, add_special_tokens=False)), np.uint32)
+        ends = np.flatnonzero(flat == self.breaks[0])
+        alone = [x.ids for x in self.of.encode_batch_fast([u.decode(errors="replace") for u in rest], add_special_tokens=False)]
+        size, ids = np.empty(len(units), np.int64), np.delete(flat, ends)
+        size[plain], size[~plain] = np.diff(ends, prepend=-1) - 1, [len(x) for x in alone]
+        begin = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.uint32)
+        for mask, own in ((plain, ids), (~plain, np.fromiter(chain.from_iterable(alone), np.uint32))):
+            out[spread(begin[mask], size[mask])] = own
+        return out, size
 
     def ids(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts laid end to end, each with the end token, and the offsets of the texts among them."""
@@ -99,18 +116,14 @@ class Encoder:
         if len(edges) < 2:
             return np.full(rows, END, np.uint32), np.arange(rows + 1)
         units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(np.ascontiguousarray(edges, np.int64)), pa.py_buffer(buf)]).dictionary_encode()
-        of, lists = units.indices.to_numpy(), self.encoded(units.dictionary.to_pylist())
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
-        first, n = (np.cumsum(size) - size)[of], size[of]
+        of, (flat, size) = units.indices.to_numpy(), self.encoded(units.dictionary)
+        n = size[of]
         before = np.concatenate([[0], np.cumsum(n)])
-        body = flat[np.repeat(first - before[:-1], n) + np.arange(before[-1])]
         own = before[np.searchsorted(edges, at)]
-        ends = own[1:] + np.arange(rows)
-        out = np.full(len(body) + rows, END, np.uint32)
+        out = np.full(int(before[-1]) + rows, END, np.uint32)
         kept = np.ones(len(out), bool)
-        kept[ends] = False
-        out[kept] = body
+        kept[own[1:] + np.arange(rows)] = False
+        out[kept] = flat[spread((np.cumsum(size) - size)[of], n)]
         return out, own + np.arange(rows + 1)
 
 
