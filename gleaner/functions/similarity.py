@@ -134,6 +134,10 @@ def tags_of(shown: list[str], tag_cutoff: float = Settings.tag_cutoff, channel_c
     return out
 
 
+def tag_of(shown: str, tag_cutoff: float = Settings.tag_cutoff, channel_cutoff: float = Settings.channel_cutoff) -> str | None:
+    return tags_of([shown], tag_cutoff, channel_cutoff)[0]
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _resolved(shown: pd.Series) -> pd.Series:
     words = sorted({w for x in shown if x is not None for w in x})

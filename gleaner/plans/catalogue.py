@@ -99,7 +99,7 @@ def bracketed_words(spark, sf_dir):
 
 
 def read_tags(spark, sf_dir):
-    """Tags of damaged brackets; likeness by matching blocks has no SQL."""
+    """Tags of damaged brackets."""
     part = _table(spark, sf_dir, "part")
     line = F.concat(F.lit("[Pany]["), "p_type", F.lit("][Arrnor Pierced]["), "p_name", F.lit("]"))
     return part.select("p_partkey", F.array_join(similarity.tags(line), "|").alias("tags"))
@@ -296,7 +296,7 @@ def escaped_html(spark, sf_dir):
 
 
 def fuzzy_names(spark, sf_dir):
-    """Canonical names of parts' words; greedy folding by matching blocks has no SQL."""
+    """Canonical names of parts' words."""
     p = _table(spark, sf_dir, "part")
     who = F.translate(F.get(F.split("p_name", " "), F.lit(1)), "l", "1")
     df = p.select(F.col("p_brand").alias("clip_id"), F.col("p_partkey").alias("seq"), F.when(F.col("p_partkey") % 9 == 0, who).otherwise(F.get(F.split("p_name", " "), F.lit(1))).alias("who"), F.lit("You").alias("target"))
@@ -430,12 +430,12 @@ NAMES = (
 
 
 def queries():
-    from gleaner.plans import chains
+    from gleaner.plans import chains, likeness
 
-    return {name: globals()[name] for name in NAMES} | chains.queries()
+    return {name: globals()[name] for name in NAMES} | chains.queries() | likeness.queries()
 
 
 def oracle_sql():
-    from gleaner.plans import chains
+    from gleaner.plans import chains, likeness
 
-    return SQL | chains.SQL
+    return SQL | chains.SQL | likeness.SQL
