@@ -10,9 +10,9 @@ than a sequence) joins the next one. What tasks leave at their end, less than a
 gathered into groups of the same size and packed once more; the last tokens of such a group, less than a sequence too, fill
 sequences whose lengths are powers of two. So no sequence is padded.
 
-Tokenizing: before a text is encoded it is cut at single blanks between two characters that aren't blanks, where the
-tokenizer's own pattern always begins a new token; so words that a batch holds often are encoded once, and the ids are those
-of the whole text. A stretch without such a blank is encoded as a whole.
+Tokenizing: before a text is encoded it is cut at single blanks between two characters that aren't blanks, and between letters
+and marks, where the tokenizer's own pattern always begins a new token; so words that a batch holds often are encoded once, and
+the ids are those of the whole text. A stretch without such a place is encoded as a whole.
 
 Defined results: a null text counts as an empty one, which is the end token alone; rows that stand more than once are
 documents of their own, as are those without a doc_id; an empty table gives no rows; other columns are not read.
@@ -49,7 +49,8 @@ def cost(tokens):
 
 
 def cuts(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Offsets of the units that can be encoded apart: rows, cut before single blanks between two characters that are none.
+    """Offsets of the units that can be encoded apart: rows, cut before single blanks between two characters that are none, and
+    before marks after letters a-z.
 
     Characters whose first byte is C2, E1, E2 or E3 may be blanks of Unicode, so they don't count as others.
     """
@@ -63,9 +64,12 @@ def cuts(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     ends = plain.copy()
     ends[1:] |= tail[1:] & two[:-1]
     ends[2:] |= tail[2:] & tail[1:-1] & three[:-2]
-    inner = np.flatnonzero(blank[1:-1] & ends[:-2] & begins[2:]) + 1
+    letter = ((buf | 0x20) >= 0x61) & ((buf | 0x20) <= 0x7A)
+    mark = plain & ~letter & ~((buf >= 0x30) & (buf <= 0x39))
     edge = np.zeros(len(buf) + 1, bool)
-    edge[at] = edge[inner] = True
+    edge[1 : len(buf) - 1] = blank[1:-1] & ends[:-2] & begins[2:]
+    edge[1 : len(buf)] |= letter[:-1] & mark[1:]
+    edge[at] = True
     return np.flatnonzero(edge)
 
 
