@@ -131,3 +131,20 @@ def frame_time(name: Column, fps: float) -> Column:
 
 def is_combat_line(c: Column) -> Column:
     return c.rlike(X.COMBAT_LINE)
+
+
+def tenths(x: Column) -> Column:
+    """A number at one decimal, halves to even, judged by its exact binary value.
+
+    8 x and 2 x are exact; their sum is rounded, and what that loses is worked out, so that a sum that looks like a half is told
+    from one just beside it.
+    """
+    a, b = x * 8.0, x * 2.0
+    s = a + b
+    part = s - a
+    lost = (a - (s - part)) + (b - part)
+    whole = F.rint(s)
+    off = s - whole
+    up, down = (off == 0.5) & (lost > 0), (off == -0.5) & (lost < 0)  # rounded down, or up, but in truth beyond the half
+    # a half that was rounded to the even side, but lies beyond it
+    return (whole + F.when(up, 1.0).when(down, -1.0).otherwise(0.0)) / 10.0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.config import Settings
-from gleaner.functions.text import day_shift
+from gleaner.functions.text import day_shift, tenths
 from gleaner.operators.statistics import islands, nearest_of, upper_median
 from gleaner.sources.staging import staged
 
@@ -48,5 +48,5 @@ def aligned(readings: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     fallback = mid.select("clip_id", F.element_at("centres", (F.size("centres") / 2).cast("int") + 1).alias("__back"))
     df = readings.join(of, same & F.col("exact"), "left").join(fallback, "clip_id", "left")
     centre, day = F.coalesce("centre", "__back"), F.when(F.col("centre").isNotNull(), F.col("day")).otherwise(0)
-    moved = F.when(F.col("exact") & centre.isNotNull(), F.bround(F.col("t") + day * 86400.0 - centre, 1)).otherwise(F.col("t"))
+    moved = F.when(F.col("exact") & centre.isNotNull(), tenths(F.col("t") + day * 86400.0 - centre)).otherwise(F.col("t"))
     return df.withColumn("t", moved).select(*readings.columns)

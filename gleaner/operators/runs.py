@@ -1,17 +1,22 @@
 """Runs: the many readings of one hit, cut into stretches, and each stretch into the lines that made it.
 
-A stretch holds the readings of one line in view, which are few whatever the clip's length, so a stretch is one array; the
-work on it is done by array expressions.
+Nothing here gathers a stretch's readings: runs are put together by a scan that carries one row's state, readings meet the line
+nearest in time by two passes in order of time, and lines are summed up in two levels.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.config import Settings
 from gleaner.functions import fixed as X
+from gleaner.functions.text import tenths
+from gleaner.operators.scan import carried
 from gleaner.operators.statistics import islands
+from gleaner.sources.staging import staged
 
 HIT = ("clip_id", "kind", "dir", "amount", "fighter")
 
@@ -27,55 +32,99 @@ def stretches(readings: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     return islands(df, HIT, "read_at", cfg.visible, ("t", "seq"), "run")
 
 
-def rejoined(df: DataFrame, by: tuple[str, ...] = HIT, horizon: float = 24.0) -> DataFrame:
-    """Readings with runs put together again: with the one before if both show a common second, or if this shows none, that
-    shows some, and no more than horizon lies between.
+def joined(left: DataFrame, right: DataFrame, keys: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """A join by keys of which nulls are equal, with the left frame's columns and the right one's others."""
+    other = right.select(*[F.col(c).alias(f"__{c}") for c in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys])
+    return left.join(other, same, how).select(*left.columns, *[c for c in right.columns if c not in keys])
 
-    The fold carries the seconds and the last reading of what has been joined so far.
-    """
-    run = df.groupBy(*by, "run").agg(F.min("read_at").alias("first_at"), F.max("read_at").alias("last_at"), F.collect_set("second").alias("seconds"))
-    one = F.struct("run", "first_at", "last_at", "seconds")
-    per = run.groupBy(*by).agg(F.sort_array(F.collect_list(one)).alias("runs"))
-    none = F.struct(F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("double").alias("last_at"), F.array().cast("array<double>").alias("seconds"), F.array().cast("array<struct<run:bigint,id:bigint>>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        common = F.arrays_overlap(acc["seconds"], r["seconds"])
-        adrift = (F.size(r["seconds"]) == 0) & (F.size(acc["seconds"]) > 0) & (r["first_at"] - acc["last_at"] <= horizon)
-        join = acc["id"].isNotNull() & (common | adrift)
-        id_ = F.when(join, acc["id"]).otherwise(r["run"])
-        seconds = F.when(join, F.array_union(acc["seconds"], r["seconds"])).otherwise(r["seconds"])
-        return F.struct(id_.alias("id"), r["last_at"].alias("last_at"), seconds.alias("seconds"), F.concat(acc["out"], F.array(F.struct(r["run"].alias("run"), id_.alias("id")))).alias("out"))
-
-    fold = per.select(*by, F.explode(F.aggregate("runs", none, step, lambda acc: acc["out"])).alias("x")).select(*by, F.col("x.run").alias("run"), F.col("x.id").alias("stretch"))
-    other = fold.select(*[F.col(c).alias(f"__{c}") for c in (*by, "run")], "stretch")
-    same = F.lit(True)
-    for c in (*by, "run"):
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return df.join(other, same).select(*df.columns, "stretch")
-
-
-def copies(lines: Column, frames: Column, most: Column, apart: float = 2.0) -> Column:
-    """The times of a stretch's lines with those that only copies in a frame witness.
-
-    lines: times known so far; frames: array of (at, n), how many copies a frame shows at most, in order of time. For each k up
-    to the most copies the first frame with k of them adds a line, unless it is near a known one or there are enough.
+
+def _rejoin(horizon: float):
+    def step(state, run, first_at, last_at, linked, timed):
+        """state: the first run of what was joined so far, the last of its runs with a second, the last reading."""
+        first, shown, at = state
+        back = linked if timed else shown if first_at - at <= horizon else -1
+        if first < 0 or back is None or back < first:
+            first, shown = run, -1
+        return (first, run if timed else shown, last_at), int(first)
+
+    return step
+
+
+def rejoined(df: DataFrame, by: tuple[str, ...] = HIT, horizon: float = 24.0, parts: int | None = None) -> DataFrame:
+    """Readings with runs put together again: with the ones before if both show a common second, or if this shows none, those
+    show some, and no more than horizon lies between.
+
+    A run shows a second that those before it, as far as they are joined, show as well, if the last run that showed one of its
+    seconds is among them; so the scan needs no sets of seconds. A stretch is called by its first run.
     """
+    run = df.groupBy(*by, "run").agg(F.min("read_at").alias("first_at"), F.max("read_at").alias("last_at"), F.max(F.col("second").isNotNull()).alias("timed"))
+    shown = df.where("second is not null").select(*by, "run", "second").distinct()
+    shown = shown.withColumn("linked", F.lag("run").over(Window.partitionBy(*by, "second").orderBy("run")))
+    run = joined(run, shown.groupBy(*by, "run").agg(F.max("linked").alias("linked")), (*by, "run"), "left")
+    fold = carried(run, list(by), "run", ["first_at", "last_at", "linked", "timed"], _rejoin(horizon), (-1, -1, 0.0), "stretch", parts)
+    return joined(df, fold.select(*by, "run", "stretch"), (*by, "run"))
 
-    def step(acc: Column, k: Column) -> Column:
-        at = F.array_min(F.transform(F.filter(frames, lambda f: f["n"] >= k), lambda f: f["at"]))
-        fresh = (F.size(acc) < most) & at.isNotNull() & ~F.exists(acc, lambda x: F.abs(at - x) <= apart)
-        return F.when(fresh, F.concat(acc, F.array(at))).otherwise(acc)
 
-    return F.when(F.coalesce(most, F.lit(0)) > F.size(lines), F.aggregate(F.sequence(F.lit(1), F.coalesce(most, F.lit(1)).cast("int")), lines, step)).otherwise(lines)
+def known_tags(flags: Column) -> Column:
+    return F.size(F.array_except(flags, F.array(*[F.lit(t) for t in X.TAGS]))) == 0
 
 
-def voted_flags(readings: Column) -> Column:
-    """The most frequent list of tags, of lists of known tags alone if there are any; of equals the one met first."""
-    known = F.filter(readings, lambda r: F.size(F.array_except(r["flags"], F.array(*[F.lit(t) for t in X.TAGS]))) == 0)
-    pool = F.when(F.size(known) > 0, known).otherwise(readings)
-    lists = F.transform(pool, lambda r: r["flags"])
-    ranked = F.transform(F.array_distinct(lists), lambda x, i: F.struct((-F.size(F.filter(lists, lambda y: y == x))).alias("votes"), i.alias("i"), x.alias("x")))
-    return F.array_min(ranked)["x"]
+def summed(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """For each line's readings and each list of tags: how many, from when to when, and the first reading of all."""
+    order = F.struct("read_at", "t", "seq")
+    base = F.struct("t", "read_at", "seq", F.struct("pass", "ft", "wall_s", "exact", "who", "target", "ability", "raw").alias("r"))
+    return df.groupBy(*key, "flags").agg(F.count("*").alias("votes"), F.min(order).alias("met"), F.min(base).alias("base"), F.min("read_at").alias("from"), F.max("read_at").alias("to"))
+
+
+def told(parts: DataFrame, key: tuple[str, ...], mark: str) -> DataFrame:
+    """A row for each line from its sums by lists of tags: the most frequent list, of known tags alone if there are any such, of
+    equals the one met first."""
+    parts = parts.groupBy(*key, "flags").agg(F.sum("votes").alias("votes"), F.min("met").alias("met"), F.min("base").alias("base"), F.min("from").alias("from"), F.max("to").alias("to"))
+    best = F.min(F.struct(~F.coalesce(known_tags(F.col("flags")), F.lit(False)), -F.col("votes"), "met", F.col("flags").alias("flags")))["flags"]
+    return parts.groupBy(*key).agg(F.struct(F.min("base").alias("base"), best.alias("flags"), F.sum("votes").alias("seen"), F.min("from").alias("from"), F.max("to").alias("to")).alias(mark))
+
+
+def copies(frames: DataFrame, known: DataFrame, key: tuple[str, ...], apart: float = 2.0) -> DataFrame:
+    """(key, at): lines that only copies in a frame witness.
+
+    frames (key, at, n) says how many copies a frame shows at most, known (key, at) which lines there are. For each k up to the
+    most copies the first frame with k of them adds a line, unless it is near another one or there are as many lines as copies.
+    """
+    most = frames.groupBy(*key).agg(F.max("n").alias("most"))
+    lines = joined(most, known.groupBy(*key).agg(F.count("*").alias("lines")), key, "left").withColumn("lines", F.coalesce("lines", F.lit(0))).where("most > lines")
+    first = joined(frames, lines, key).select(*key, "most", "lines", "at", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
+    first = staged(first.groupBy(*key, "most", "lines", "k").agg(F.min("at").alias("at")))
+    # those near a line that is known need no place; a line meets the cells of time beside its own alone
+    cell = lambda d: F.floor((F.col("at") + d) / (apart + 1))
+    around = joined(known, first.select(*key).distinct(), key).select(*key, F.col("at").alias("line"), F.explode(F.array(*[cell(d) for d in (-apart - 1, 0.0, apart + 1)])).alias("cell"))
+    near = joined(first.withColumn("cell", cell(0.0)), around, (*key, "cell")).where(F.abs(F.col("at") - F.col("line")) <= apart).select(*key, "k").distinct()
+    free = joined(first, near.withColumn("near", F.lit(True)), (*key, "k"), "left").where("near is null").select(*key, "most", "lines", "k", "at")
+    # the rest of a stretch are as many as copies in one frame: the added lines are numbered by k, each far from those before it
+    out, left = None, staged(free)
+    while not left.isEmpty():
+        head = left.groupBy(*key, "most", "lines").agg(F.min(F.struct("k", "at")).alias("x")).where("lines < most").select(*key, "most", "lines", "x.k", "x.at")
+        head = staged(head)
+        out = head.select(*key, "at") if out is None else out.unionByName(head.select(*key, "at"))
+        rest = joined(left.drop("lines"), head.select(*key, F.col("k").alias("taken"), F.col("at").alias("line"), (F.col("lines") + 1).alias("lines")), key)
+        left = staged(rest.where((F.col("k") > F.col("taken")) & (F.abs(F.col("at") - F.col("line")) > apart)).select(*key, "most", "lines", "k", "at"))
+    return out if out is not None else free.select(*key, "at")
+
+
+def nearest_line(readings: DataFrame, lines: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Readings with the number (nth) of the line (key, at, nth) nearest to t, of two as near the earlier; null without lines.
+
+    Readings and lines stand in one order of time: the last line before a reading, and from the other end the first one after it.
+    """
+    spots = lines.groupBy(*key, "at").agg(F.min("nth").alias("nth"))
+    line = spots.select(*key, F.col("at").alias("t"), F.struct("at", "nth").alias("line"))
+    both = readings.withColumn("line", F.lit(None).cast(line.schema["line"].dataType)).unionByName(line, allowMissingColumns=True)
+    is_line = F.col("line").isNotNull()
+    up = Window.partitionBy(*key).orderBy("t", F.when(is_line, 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*key).orderBy(F.desc("t"), F.when(is_line, 1).otherwise(0)).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("before", F.last("line", ignorenulls=True).over(up)).withColumn("after", F.last("line", ignorenulls=True).over(down)).where(~is_line)
+    later = F.col("before").isNull() | (F.abs(F.col("after.at") - F.col("t")) < F.abs(F.col("before.at") - F.col("t")))
+    return met.select(*readings.columns, F.when(F.coalesce(later, F.lit(False)), F.col("after.nth")).otherwise(F.col("before.nth")).alias("nth"))
 
 
 def merged(df: DataFrame, cfg: Settings = Settings()) -> DataFrame:
@@ -85,40 +134,31 @@ def merged(df: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     line's event comes from the readings of its second, and how often and long it was seen from the readings nearest to it; a
     line of copies alone comes from those nearest to it. A stretch without either is one event.
     """
-    fields = ["t", "read_at", "seq", "ft", "exact", "second", "pass", "flags", "raw", "who", "target", "ability", "wall_s"]
-    runs = df.groupBy(*HIT, "stretch").agg(F.sort_array(F.collect_list(F.struct("read_at", "t", "seq", *[f for f in fields if f not in ("read_at", "t", "seq")]))).alias("rows"))
-    rows = F.col("rows")
-    timed = F.filter(rows, lambda r: r["second"].isNotNull())
-    known = F.transform(F.array_distinct(F.transform(timed, lambda r: r["second"])), lambda s: F.struct(F.array_min(F.transform(F.filter(rows, lambda r: r["second"] == s), lambda r: r["t"])).alias("at"), s.alias("second")))
-    runs = runs.withColumn("known", F.array_sort(known)).withColumn("framed", F.filter(rows, lambda r: r["ft"].isNotNull()))
-    seen = F.transform(F.array_sort(F.array_distinct(F.transform("framed", lambda r: r["ft"]))), lambda at: F.struct(
-        at.alias("at"),
-        F.array_max(F.transform(F.array_distinct(F.transform("framed", lambda r: r["pass"])), lambda p: F.size(F.filter("framed", lambda r: (r["ft"] == at) & (r["pass"].eqNullSafe(p)))))).alias("n"),
-    ))
-    runs = runs.withColumn("frames", seen).withColumn("most", F.array_max(F.transform("frames", lambda f: f["n"]))).withColumn("times", F.transform("known", lambda k: k["at"]))
-    runs = runs.withColumn("all", copies(F.col("times"), F.col("frames"), F.col("most"), cfg.copy_apart))
-    extra = F.transform(F.slice("all", F.size("times") + 1, F.greatest(F.size("all") - F.size("times"), F.lit(0))), lambda a: F.struct(a.alias("at"), F.lit(None).cast("double").alias("second")))
-    # as a timed line comes before a line of copies at the same time
-    lines = F.array_sort(F.transform(F.concat("known", extra), lambda x: F.struct(x["at"].alias("at"), x["second"].isNull().alias("bare"), x["second"].alias("second"))))
-    runs = runs.withColumn("lines", lines)
-    near = F.transform("rows", lambda r: F.array_min(F.transform("lines", lambda x, i: F.struct(F.abs(x["at"] - r["t"]).alias("far"), i.alias("i"))))["i"])
-    runs = runs.withColumn("near", near)
-    one = F.array(F.struct(F.lit(None).cast("double").alias("at"), F.lit(True).alias("bare"), F.lit(None).cast("double").alias("second")))
-    line = runs.select(*HIT, "stretch", "rows", "near", F.posexplode(F.when(F.size("lines") > 0, F.col("lines")).otherwise(one)).alias("nth", "line"))
-    mine = F.transform(F.filter(F.arrays_zip(rows.alias("r"), F.col("near").alias("i")), lambda z: z["i"].isNull() | (z["i"] == F.col("nth"))), lambda z: z["r"])
-    line = line.withColumn("mine", mine)
-    own = F.filter(rows, lambda r: r["second"] == F.col("line.second"))
-    source = F.when(~F.col("line.bare"), own).when(F.size("mine") > 0, F.col("mine")).otherwise(rows)
-    line = line.withColumn("source", source).withColumn("basis", F.when(F.size("mine") > 0, F.col("mine")).otherwise(F.col("source")))
-    line = line.withColumn("base", F.array_min(F.transform("source", lambda r: F.struct(r["t"].alias("t"), r["read_at"].alias("read_at"), r["seq"].alias("seq"), r.alias("r"))))["r"])
-    times = F.transform("basis", lambda r: r["read_at"])
-    t = F.when(F.col("line.bare") & F.col("line.at").isNotNull(), F.bround("line.at", 1)).otherwise(F.col("base.t"))
+    key = (*HIT, "stretch")
+    df = staged(df)
+    known = staged(df.where("second is not null").groupBy(*key, "second").agg(F.min("t").alias("at")))
+    frames = df.where("ft is not null").groupBy(*key, "ft", "pass").agg(F.count("*").alias("n")).groupBy(*key, F.col("ft").alias("at")).agg(F.max("n").alias("n"))
+    extra = copies(frames, known.select(*key, "at"), key, cfg.copy_apart)
+    lines = known.select(*key, "at", "second").unionByName(extra.withColumn("second", F.lit(None).cast("double")))
+    # a timed line comes before a line of copies at the same time
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("at", F.col("second").isNull(), "second")) - 1
+    lines = staged(lines.withColumn("nth", nth))
+    near = nearest_line(df, lines, key).withColumn("nth", F.coalesce("nth", F.lit(0)))
+    by_line = staged(summed(near, (*key, "nth")))
+    mine, whole = told(by_line, (*key, "nth"), "mine"), told(by_line, key, "whole")
+    own = told(summed(df.where("second is not null"), (*key, "second")), (*key, "second"), "own")
+    line = joined(whole, lines, key, "left").withColumn("nth", F.coalesce("nth", F.lit(0)))
+    line = joined(joined(line, mine, (*key, "nth"), "left"), own, (*key, "second"), "left")
+    source, basis = F.coalesce("own", "mine", "whole"), F.coalesce("mine", "own", "whole")
+    line = line.withColumn("s", source).withColumn("b", basis).withColumn("base", F.col("s.base.r"))
+    bare = F.col("second").isNull() & F.col("at").isNotNull()
     return line.select(
-        "clip_id", F.col("base.seq").alias("seq"), F.col("base.pass").alias("pass"), F.col("base.ft").alias("ft"), F.col("base.wall_s").alias("wall_s"), t.alias("t"),
+        "clip_id", F.col("s.base.seq").alias("seq"), F.col("base.pass").alias("pass"), F.col("base.ft").alias("ft"), F.col("base.wall_s").alias("wall_s"),
+        F.when(bare, tenths(F.col("at"))).otherwise(F.col("s.base.t")).alias("t"),
         F.col("base.exact").alias("exact"), "kind", "dir", F.when(F.col("dir") == "in", F.col("fighter")).otherwise(F.col("base.who")).alias("who"),
         F.when(F.col("dir") == "in", F.col("base.target")).otherwise(F.col("fighter")).alias("target"), "fighter", "amount", F.col("base.ability").alias("ability"),
-        voted_flags(F.col("source")).alias("flags"), F.col("base.raw").alias("raw"), F.size("basis").cast("long").alias("seen"),
-        F.bround(F.array_max(times) - F.array_min(times), 1).alias("span"), F.array_max(times).alias("last"),
+        F.col("s.flags").alias("flags"), F.col("base.raw").alias("raw"), F.col("b.seen").alias("seen"),
+        tenths(F.col("b.to") - F.col("b.from")).alias("span"), F.col("b.to").alias("last"),
     )
 
 

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.config import Settings
 from gleaner.functions.text import one_glyph_off
-from gleaner.operators.statistics import islands
+from gleaner.operators.scan import in_groups
 from gleaner.sources.staging import staged
 
 COMPANY = ["clip_id", "kind", "dir", "fighter"]
+#: How many times as long as the reach of settling a stretch of time is that one group holds.
+REACHES = 50
 
 
 def _fair(amount: Column, n: Column, flags: Column, other: Column, m: Column) -> Column:
@@ -45,69 +47,102 @@ def settled_by_join(readings: DataFrame, visible: float = 12.0, company: list[st
     return out.select(*readings.columns)
 
 
-def _off(a: str, b: str) -> bool:
-    if len(a) < len(b):
-        a, b = b, a
-    if len(a) == len(b):
-        return len(a) > 1 and sum(x != y for x, y in zip(a, b, strict=True)) == 1
-    return len(a) == len(b) + 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
-
-
-def _settle(rows: pd.DataFrame, mine: np.ndarray, visible: float) -> np.ndarray:
-    """The amounts of rows (in order of reading) with those of mine settled one after the other, each from what stands by then.
-
-    Column n says how often each amount was read in the whole company. A row meets those near it in time alone, found by
-    their place in the order of times.
-    """
-    amounts, times, n = rows["amount"].to_numpy().copy(), rows["t"].to_numpy(float), rows["__n"].to_numpy()
-    count = dict(zip(amounts.tolist(), n.tolist(), strict=True))
-    bare = rows["flags"].map(lambda f: f is None or len(f) == 0).to_numpy(bool)
-    by_time = np.argsort(times, kind="stable")
-    ordered = times[by_time]
-    lo, hi = np.searchsorted(ordered, times - visible - 1e-6), np.searchsorted(ordered, times + visible + 1e-6, "right")
-    for i in np.flatnonzero(mine & ((n == 1) | bare)).tolist():
-        near = np.sort(by_time[lo[i] : hi[i]])
-        near = near[np.abs(times[near] - times[i]) <= visible]
-        own, k = str(amounts[i]), n[i]
-        best, votes = None, 0
-        for other in dict.fromkeys(amounts[near].tolist()):
-            m = count[other]
-            fits = m >= 2 and _off(own, str(other)) if k == 1 else m >= 2 * k + 1 and own[:-1] == str(other)
-            if fits and m > votes:
-                best, votes = other, m
-        if best is not None:
-            amounts[i] = best
-    return amounts
-
-
-def settled(readings: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Readings with amounts settled in the order of reading: named fighters' first, then those of "Unknown" among all.
-
-    The order matters, as a settled row counts for those after it. What a row may become depends on the counts of its whole
-    company, which are a window's, and on rows near it in time; so a company (one fighter's readings in one clip; for the
-    second step all of a clip's that have a fighter) falls into islands that no row of another can touch, and a task holds
-    one of these. Readings without a fighter take no part.
+def near_numbers(number: Column) -> Column:
+    """All digit strings one glyph off a number's: one digit less, more, or other (not of a number of one digit)."""
+    n, digits = F.length(number), F.array(*[F.lit(str(d)) for d in range(10)])
+    at = F.sequence(F.lit(1), n)
+    without = lambda i: F.concat(F.left(number, i - 1), F.substr(number, i + 1))
+    less = F.filter(F.transform(at, without), lambda x: x != "")
+    more = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.transform(digits, lambda d: F.concat(F.left(number, i), d, F.substr(number, i + 1)))))
+    other = F.when(n > 1, F.flatten(F.transform(at, lambda i: F.transform(digits, lambda d: F.concat(F.left(number, i - 1), d, F.substr(number, i + 1)))))).otherwise(F.array().cast("array<string>"))
+    return F.array_except(F.concat(less, more, other), F.array(number))
+
+
+def chances(readings: DataFrame, by: list[str]) -> DataFrame:
+    """(by, amount, __n, __chances): how often each amount was read, and the amounts that a row of it may yield to, as (m, other)."""
+    tally = staged(readings.groupBy(*by, "amount").agg(F.count("*").alias("__n")).withColumn("__s", F.col("amount").cast("string")))
+    once = tally.where("__n = 1").withColumn("__o", F.explode(near_numbers(F.col("__s"))))
+    often = tally.where("__n > 1 and length(__s) > 1").withColumn("__o", F.expr("left(__s, length(__s) - 1)"))
+    to = tally.where("__n > 1").select(*by, F.col("__s").alias("__o"), F.col("__n").alias("__m"), F.col("amount").alias("__other"))
+    met = once.unionByName(often).join(to, [*by, "__o"]).where((F.col("__n") == 1) | (F.col("__m") >= 2 * F.col("__n") + 1))
+    # a number has a few dozen neighbours at most
+    return met.groupBy(*by, "amount", "__n").agg(F.collect_list(F.struct("__m", F.col("__other").cast("long").alias("__other"))).alias("__chances"))
+
+
+def _fold(rows: pa.Table, cuts: np.ndarray, visible: float) -> pa.RecordBatch:
+    """Settles the open rows of each group in order; columns: seq, t, amount, now, own, chances."""
+    seq, times, amount = (rows[c].to_numpy() for c in ("seq", "t", "amount"))
+    now, own, chance = rows["now"].to_numpy(), rows["own"].to_numpy(zero_copy_only=False), rows["chances"].combine_chunks()
+    known, live = ~np.isnan(now), np.diff(chance.offsets.to_numpy()) > 0
+    current, out = amount.astype(np.int64), []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        t, value = times[lo:hi], current[lo:hi]
+        by_time = np.argsort(t, kind="stable")
+        ordered = t[by_time]
+        for i in np.flatnonzero(np.where(own[lo:hi], live[lo:hi], known[lo:hi])).tolist():
+            if not own[lo + i]:  # settled by its own group, and so it stands for rows after it
+                value[i] = int(now[lo + i])
+                continue
+            first, last = np.searchsorted(ordered, t[i] - visible - 1e-6), np.searchsorted(ordered, t[i] + visible + 1e-6, "right")
+            near = by_time[first:last]
+            near = near[np.abs(t[near] - t[i]) <= visible]
+            votes = {c["__other"]: c["__m"] for c in chance[lo + i].as_py()}
+            fit = near[np.isin(value[near], np.fromiter(votes, np.int64, len(votes)))]
+            if len(fit):
+                value[i] = value[max(fit.tolist(), key=lambda k: (votes[int(value[k])], -k))]
+            out.append(lo + i)
+    at = np.array(out, np.int64)
+    return pa.RecordBatch.from_arrays([rows["by"].combine_chunks().take(pa.array(at)), pa.array(seq[at]), pa.array(current[at])], ["by", "seq", "now"])
+
+
+def step(df: DataFrame, by: list[str], mine: Column, visible: float, reaches: int = REACHES) -> DataFrame:
+    """Rows of the groups of by with amounts settled one after the other; mine tells the rows to settle.
+
+    What a row may become depends on how often each amount was read, and on the rows near it in time as they stand by then. So
+    time is cut into stretches, of which each also sees the rows within reach of its ends, with what these have become in their
+    own stretch; a stretch is settled again where that has changed. As a row depends on rows before it alone, this ends with what
+    one fold over all would give, mostly after two rounds, and no group holds more than a stretch.
     """
+    width = reaches * visible
+    rows = df.join(chances(df, by), [*by, "amount"], "left")
+    bare = F.coalesce(F.size("flags"), F.lit(0)) == 0
+    rows = rows.select(
+        F.to_json(F.struct(*by)).alias("by"), "seq", F.col("t").cast("double").alias("t"), F.col("amount").cast("long").alias("amount"),
+        F.when(F.coalesce(mine, F.lit(False)) & ((F.col("__n") == 1) | bare), F.col("__chances")).alias("chances"), F.floor(F.col("t") / width).alias("cell"),
+    )
+    rows = staged(rows.where("amount is not null and t is not null"))
+    open_ = rows.where("chances is not null").select("by", "cell").distinct()
+    touched = F.array_distinct(F.array(*[F.floor((F.col("t") + d) / width) for d in (0.0, -visible - 1e-6, visible + 1e-6)]))
+    seen = rows.withColumn("__home", F.col("cell")).withColumn("cell", F.explode(touched)).join(open_, ["by", "cell"], "left_semi")
+    seen = staged(seen.withColumn("own", F.col("cell") == F.col("__home")).drop("__home"))
+
+    def folded(cells: DataFrame, now: DataFrame | None) -> DataFrame:
+        given = cells.withColumn("now", F.lit(None).cast("double")) if now is None else cells.join(now.select("by", "seq", F.col("now").cast("double").alias("now")), ["by", "seq"], "left")
+        given = given.select("by", "seq", "t", "amount", F.when(~F.col("own"), F.col("now")).alias("now"), "own", F.coalesce("chances", F.array().cast(seen.schema["chances"].dataType)).alias("chances"), "cell")
+        return in_groups(given, ["by", "cell"], ["seq"], lambda table, cuts: _fold(table, cuts, visible), f"by string, seq {dict(seen.dtypes)['seq']}, now long")
+
+    now = staged(folded(seen, None))
+    before = rows.select("by", "seq", F.col("amount").alias("was"))
+    while True:
+        changed = now.join(before, ["by", "seq"]).where("now <> was").select("by", "seq")
+        again = seen.where("not own").join(changed, ["by", "seq"], "left_semi").select("by", "cell").distinct()
+        again = staged(again)
+        if again.isEmpty():
+            break
+        cells = staged(folded(seen.join(again, ["by", "cell"], "left_semi"), now))
+        before = now.select("by", "seq", F.col("now").alias("was"))
+        now = staged(now.join(cells, ["by", "seq"], "left_anti").unionByName(cells))
+    better = now.join(rows.select("by", "seq", "amount"), ["by", "seq"]).where("now <> amount").select(F.col("by").alias("__by"), F.col("seq").alias("__seq"), "now")
+    same = (F.to_json(F.struct(*by)) == F.col("__by")) & (F.col("seq") == F.col("__seq"))
+    return df.join(better, same, "left").withColumn("amount", F.coalesce(F.col("now").cast(df.schema["amount"].dataType), "amount")).select(*df.columns)
+
+
+def settled(readings: DataFrame, cfg: Settings = Settings(), reaches: int = REACHES) -> DataFrame:
+    """Readings with amounts settled in the order of reading: named fighters' first, then those of "Unknown" among all of a clip
+    that have a fighter. Readings without a fighter take no part. seq must tell a clip's readings apart."""
     named = F.col("fighter").isNotNull() & (F.col("fighter") != "")
-
-    def step(df: DataFrame, by: list[str], mine: str) -> DataFrame:
-        """One fold over each island of the groups of by; mine tells the rows to settle."""
-        n = F.count("*").over(Window.partitionBy(*by, "amount"))
-        names = df.columns
-        parted = islands(df.withColumn("__n", n), tuple(by), "t", cfg.visible, ("seq",), "__island")
-
-        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("seq")
-            return pdf.assign(amount=_settle(pdf, (pdf["fighter"] == "Unknown").to_numpy() == (mine == "Unknown"), cfg.visible))[names]
-
-        # an island without a row to settle, or without a number read twice, stays as it is
-        open_ = (F.col("fighter") == "Unknown").eqNullSafe(F.lit(mine == "Unknown")) & ((F.col("__n") == 1) | (F.coalesce(F.size("flags"), F.lit(0)) == 0))
-        island = Window.partitionBy(*by, "__island")
-        parted = parted.withColumn("__busy", F.coalesce(F.max(open_).over(island) & (F.max("__n").over(island) >= 2) & (F.count("*").over(island) > 1), F.lit(False)))
-        return parted.where(~F.col("__busy")).select(*names).unionByName(parted.where("__busy").groupBy(*by, "__island").applyInPandas(fold, df.schema))
-
-    known = staged(step(readings.where(named), COMPANY, "named"))
+    known = staged(step(readings.where(named), COMPANY, F.col("fighter") != "Unknown", cfg.visible, reaches))
     clips = known.where("fighter = 'Unknown'").select("clip_id").distinct()
-    with_any = step(known.join(clips, "clip_id", "left_semi").select(*readings.columns), ["clip_id"], "Unknown")
+    with_any = step(known.join(clips, "clip_id", "left_semi").select(*readings.columns), ["clip_id"], F.col("fighter") == "Unknown", cfg.visible, reaches)
     rest = known.join(clips, "clip_id", "left_anti").select(*readings.columns)
     return readings.where(~named | named.isNull()).unionByName(rest).unionByName(with_any)

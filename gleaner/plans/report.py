@@ -108,7 +108,7 @@ def envelopes(events: DataFrame, clips: DataFrame, ocr_lines: DataFrame, cfg: Se
     df = clips.join(n, "clip_id", "left").join(players(events), "clip_id", "left").join(listed, "clip_id", "left")
     path = F.lit(None).cast("string") if cfg.no_path else F.col("path")
     return df.select(
-        "clip_id", F.regexp_extract("path", r"([^/\\]*)$", 1).alias("source"), path.alias("source_path"), F.bround("duration", 1).alias("duration"), F.lit(cfg.fps).alias("fps_sampled"), F.lit(ocr).alias("ocr"),
+        "clip_id", F.regexp_extract("path", r"([^/\\]*)$", 1).alias("source"), path.alias("source_path"), text.tenths(F.col("duration")).alias("duration"), F.lit(cfg.fps).alias("fps_sampled"), F.lit(ocr).alias("ocr"),
         F.coalesce("frames", F.lit(0)).alias("frames"), F.coalesce("ocr_lines", F.lit(0)).alias("ocr_lines"),
         F.coalesce("players", F.array().cast("array<string>")).alias("players"), F.col("events"),
     )
