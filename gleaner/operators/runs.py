@@ -6,19 +6,21 @@ nearest in time by two passes in order of time, and lines are summed up in two l
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.config import Settings
 from gleaner.functions import fixed as X
 from gleaner.functions.text import tenths
-from gleaner.operators.scan import carried
+from gleaner.operators.scan import carried, in_groups, key_of
 from gleaner.operators.statistics import islands
 from gleaner.sources.staging import staged
 
 HIT = ("clip_id", "kind", "dir", "amount", "fighter")
+#: Runs of one key beyond which they are scanned in many parts.
+LONG = 1 << 20
 
 
 def second(cfg: Settings) -> Column:
@@ -32,13 +34,6 @@ def stretches(readings: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     return islands(df, HIT, "read_at", cfg.visible, ("t", "seq"), "run")
 
 
-def joined(left: DataFrame, right: DataFrame, keys: tuple[str, ...], how: str = "inner") -> DataFrame:
-    """A join by keys of which nulls are equal, with the left frame's columns and the right one's others."""
-    other = right.select(*[F.col(c).alias(f"__{c}") for c in keys], *[c for c in right.columns if c not in keys])
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys])
-    return left.join(other, same, how).select(*left.columns, *[c for c in right.columns if c not in keys])
-
-
 def _rejoin(horizon: float):
     def step(state, run, first_at, last_at, linked, timed):
         """state: the first run of what was joined so far, the last of its runs with a second, the last reading."""
@@ -51,77 +46,83 @@ def _rejoin(horizon: float):
     return step
 
 
-def rejoined(df: DataFrame, by: tuple[str, ...] = HIT, horizon: float = 24.0, parts: int | None = None) -> DataFrame:
+def rejoined(df: DataFrame, by: tuple[str, ...] = HIT, horizon: float = 24.0, parts: int = 0) -> DataFrame:
     """Readings with runs put together again: with the ones before if both show a common second, or if this shows none, those
     show some, and no more than horizon lies between.
 
     A run shows a second that those before it, as far as they are joined, show as well, if the last run that showed one of its
     seconds is among them; so the scan needs no sets of seconds. A stretch is called by its first run.
     """
-    run = df.groupBy(*by, "run").agg(F.min("read_at").alias("first_at"), F.max("read_at").alias("last_at"), F.max(F.col("second").isNotNull()).alias("timed"))
-    shown = df.where("second is not null").select(*by, "run", "second").distinct()
-    shown = shown.withColumn("linked", F.lag("run").over(Window.partitionBy(*by, "second").orderBy("run")))
-    run = joined(run, shown.groupBy(*by, "run").agg(F.max("linked").alias("linked")), (*by, "run"), "left")
-    fold = carried(run, list(by), "run", ["first_at", "last_at", "linked", "timed"], _rejoin(horizon), (-1, -1, 0.0), "stretch", parts)
-    return joined(df, fold.select(*by, "run", "stretch"), (*by, "run"))
+    df = df.withColumn("__key", key_of(*by))
+    run = df.groupBy("__key", "run").agg(F.min("read_at").alias("first_at"), F.max("read_at").alias("last_at"), F.max(F.col("second").isNotNull()).alias("timed"))
+    shown = df.where("second is not null").select("__key", "run", "second").distinct()
+    shown = shown.withColumn("linked", F.lag("run").over(Window.partitionBy("__key", "second").orderBy("run"))).where("linked is not null")
+    run = staged(run.join(shown.groupBy("__key", "run").agg(F.max("linked").alias("linked")), ["__key", "run"], "left"))
+    if not parts and (run.agg(F.max("run")).first()[0] or 0) >= LONG:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fold = carried(run, "__key", "run", ["first_at", "last_at", "linked", "timed"], _rejoin(horizon), (-1, -1, 0.0), "stretch", parts)
+    return df.join(fold.select("__key", "run", "stretch"), ["__key", "run"]).drop("__key")
 
 
 def known_tags(flags: Column) -> Column:
     return F.size(F.array_except(flags, F.array(*[F.lit(t) for t in X.TAGS]))) == 0
 
 
-def summed(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
+def summed(df: DataFrame, *key: str) -> DataFrame:
     """For each line's readings and each list of tags: how many, from when to when, and the first reading of all."""
-    order = F.struct("read_at", "t", "seq")
-    base = F.struct("t", "read_at", "seq", F.struct("pass", "ft", "wall_s", "exact", "who", "target", "ability", "raw").alias("r"))
-    return df.groupBy(*key, "flags").agg(F.count("*").alias("votes"), F.min(order).alias("met"), F.min(base).alias("base"), F.min("read_at").alias("from"), F.max("read_at").alias("to"))
+    base = F.struct("t", "read_at", "seq", F.struct(*HIT, "pass", "ft", "wall_s", "exact", "who", "target", "ability", "raw").alias("r"))
+    return df.groupBy(*key, "flags").agg(F.count("*").alias("votes"), F.min(F.struct("read_at", "t", "seq")).alias("met"), F.min(base).alias("base"), F.min("read_at").alias("from"), F.max("read_at").alias("to"))
 
 
-def told(parts: DataFrame, key: tuple[str, ...], mark: str) -> DataFrame:
+def told(parts: DataFrame, name: str, *key: str) -> DataFrame:
     """A row for each line from its sums by lists of tags: the most frequent list, of known tags alone if there are any such, of
     equals the one met first."""
-    parts = parts.groupBy(*key, "flags").agg(F.sum("votes").alias("votes"), F.min("met").alias("met"), F.min("base").alias("base"), F.min("from").alias("from"), F.max("to").alias("to"))
     best = F.min(F.struct(~F.coalesce(known_tags(F.col("flags")), F.lit(False)), -F.col("votes"), "met", F.col("flags").alias("flags")))["flags"]
-    return parts.groupBy(*key).agg(F.struct(F.min("base").alias("base"), best.alias("flags"), F.sum("votes").alias("seen"), F.min("from").alias("from"), F.max("to").alias("to")).alias(mark))
+    return parts.groupBy(*key).agg(F.struct(F.min("base").alias("base"), best.alias("flags"), F.sum("votes").alias("seen"), F.min("from").alias("from"), F.max("to").alias("to")).alias(name))
 
 
-def copies(frames: DataFrame, known: DataFrame, key: tuple[str, ...], apart: float = 2.0) -> DataFrame:
+def copies(frames: DataFrame, known: DataFrame, key: str, apart: float = 2.0) -> DataFrame:
     """(key, at): lines that only copies in a frame witness.
 
     frames (key, at, n) says how many copies a frame shows at most, known (key, at) which lines there are. For each k up to the
     most copies the first frame with k of them adds a line, unless it is near another one or there are as many lines as copies.
     """
-    most = frames.groupBy(*key).agg(F.max("n").alias("most"))
-    lines = joined(most, known.groupBy(*key).agg(F.count("*").alias("lines")), key, "left").withColumn("lines", F.coalesce("lines", F.lit(0))).where("most > lines")
-    first = joined(frames, lines, key).select(*key, "most", "lines", "at", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
-    first = staged(first.groupBy(*key, "most", "lines", "k").agg(F.min("at").alias("at")))
-    # those near a line that is known need no place; a line meets the cells of time beside its own alone
+    most = frames.groupBy(key).agg(F.max("n").alias("most")).join(known.groupBy(key).agg(F.count("*").alias("lines")), key, "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
+    first = frames.join(most.where("most > lines"), key).select(key, "most", "lines", "at", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
+    first = first.groupBy(key, "most", "lines", "k").agg(F.min("at").alias("at"))
+    # a line meets the cells of time beside its own alone
     cell = lambda d: F.floor((F.col("at") + d) / (apart + 1))
-    around = joined(known, first.select(*key).distinct(), key).select(*key, F.col("at").alias("line"), F.explode(F.array(*[cell(d) for d in (-apart - 1, 0.0, apart + 1)])).alias("cell"))
-    near = joined(first.withColumn("cell", cell(0.0)), around, (*key, "cell")).where(F.abs(F.col("at") - F.col("line")) <= apart).select(*key, "k").distinct()
-    free = joined(first, near.withColumn("near", F.lit(True)), (*key, "k"), "left").where("near is null").select(*key, "most", "lines", "k", "at")
-    # the rest of a stretch are as many as copies in one frame: the added lines are numbered by k, each far from those before it
-    out, left = None, staged(free)
-    while not left.isEmpty():
-        head = left.groupBy(*key, "most", "lines").agg(F.min(F.struct("k", "at")).alias("x")).where("lines < most").select(*key, "most", "lines", "x.k", "x.at")
-        head = staged(head)
-        out = head.select(*key, "at") if out is None else out.unionByName(head.select(*key, "at"))
-        rest = joined(left.drop("lines"), head.select(*key, F.col("k").alias("taken"), F.col("at").alias("line"), (F.col("lines") + 1).alias("lines")), key)
-        left = staged(rest.where((F.col("k") > F.col("taken")) & (F.abs(F.col("at") - F.col("line")) > apart)).select(*key, "most", "lines", "k", "at"))
-    return out if out is not None else free.select(*key, "at")
-
-
-def nearest_line(readings: DataFrame, lines: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    around = known.select(key, F.col("at").alias("__line"), F.explode(F.array(*[cell(d) for d in (-apart - 1, 0.0, apart + 1)])).alias("__cell"))
+    near = (F.col("__line") - F.col("at") <= apart) & (F.col("at") - F.col("__line") <= apart)
+    free = first.withColumn("__cell", cell(0.0)).alias("f").join(around.alias("a"), (F.col(f"f.{key}") == F.col(f"a.{key}")) & (F.col("f.__cell") == F.col("a.__cell")) & near, "left_anti")
+
+    def fold(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        """The rest are as many as copies in one frame: each is far from those that were added before it, or goes."""
+        at, room = rows["at"].to_numpy(), rows["room"].to_numpy()
+        out = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            added: list[int] = []
+            for i in range(lo, hi):
+                if len(added) < room[i] and all(abs(at[i] - at[j]) > apart for j in added):
+                    added.append(i)
+            out += added
+        kept = pa.array(out, pa.int64())
+        return pa.RecordBatch.from_arrays([rows[key].combine_chunks().take(kept), rows["at"].combine_chunks().take(kept)], [key, "at"])
+
+    return in_groups(free.select(key, "k", "at", (F.col("most") - F.col("lines")).alias("room")), [key], ["k"], fold, f"{key} string, at double")
+
+
+def nearest_line(readings: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     """Readings with the number (nth) of the line (key, at, nth) nearest to t, of two as near the earlier; null without lines.
 
     Readings and lines stand in one order of time: the last line before a reading, and from the other end the first one after it.
     """
-    spots = lines.groupBy(*key, "at").agg(F.min("nth").alias("nth"))
-    line = spots.select(*key, F.col("at").alias("t"), F.struct("at", "nth").alias("line"))
+    spots = lines.groupBy(key, "at").agg(F.min("nth").alias("nth"))
+    line = spots.select(key, F.col("at").alias("t"), F.struct("at", "nth").alias("line"))
     both = readings.withColumn("line", F.lit(None).cast(line.schema["line"].dataType)).unionByName(line, allowMissingColumns=True)
     is_line = F.col("line").isNotNull()
-    up = Window.partitionBy(*key).orderBy("t", F.when(is_line, 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*key).orderBy(F.desc("t"), F.when(is_line, 1).otherwise(0)).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(key).orderBy("t", F.when(is_line, 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(key).orderBy(F.desc("t"), F.when(is_line, 1).otherwise(0)).rowsBetween(Window.unboundedPreceding, 0)
     met = both.withColumn("before", F.last("line", ignorenulls=True).over(up)).withColumn("after", F.last("line", ignorenulls=True).over(down)).where(~is_line)
     later = F.col("before").isNull() | (F.abs(F.col("after.at") - F.col("t")) < F.abs(F.col("before.at") - F.col("t")))
     return met.select(*readings.columns, F.when(F.coalesce(later, F.lit(False)), F.col("after.nth")).otherwise(F.col("before.nth")).alias("nth"))
@@ -134,30 +135,29 @@ def merged(df: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     line's event comes from the readings of its second, and how often and long it was seen from the readings nearest to it; a
     line of copies alone comes from those nearest to it. A stretch without either is one event.
     """
-    key = (*HIT, "stretch")
-    df = staged(df)
-    known = staged(df.where("second is not null").groupBy(*key, "second").agg(F.min("t").alias("at")))
-    frames = df.where("ft is not null").groupBy(*key, "ft", "pass").agg(F.count("*").alias("n")).groupBy(*key, F.col("ft").alias("at")).agg(F.max("n").alias("n"))
-    extra = copies(frames, known.select(*key, "at"), key, cfg.copy_apart)
-    lines = known.select(*key, "at", "second").unionByName(extra.withColumn("second", F.lit(None).cast("double")))
+    df = staged(df.withColumn("key", key_of(*HIT, "stretch")))
+    known = df.where("second is not null").groupBy("key", "second").agg(F.min("t").alias("at"))
+    frames = df.where("ft is not null").groupBy("key", "ft", "pass").agg(F.count("*").alias("n")).groupBy("key", F.col("ft").alias("at")).agg(F.max("n").alias("n"))
+    extra = copies(frames, known.select("key", "at"), "key", cfg.copy_apart)
+    lines = known.select("key", "at", "second").unionByName(extra.withColumn("second", F.lit(None).cast("double")))
     # a timed line comes before a line of copies at the same time
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("at", F.col("second").isNull(), "second")) - 1
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("at", F.col("second").isNull(), "second")) - 1
     lines = staged(lines.withColumn("nth", nth))
-    near = nearest_line(df, lines, key).withColumn("nth", F.coalesce("nth", F.lit(0)))
-    by_line = staged(summed(near, (*key, "nth")))
-    mine, whole = told(by_line, (*key, "nth"), "mine"), told(by_line, key, "whole")
-    own = told(summed(df.where("second is not null"), (*key, "second")), (*key, "second"), "own")
-    line = joined(whole, lines, key, "left").withColumn("nth", F.coalesce("nth", F.lit(0)))
-    line = joined(joined(line, mine, (*key, "nth"), "left"), own, (*key, "second"), "left")
-    source, basis = F.coalesce("own", "mine", "whole"), F.coalesce("mine", "own", "whole")
-    line = line.withColumn("s", source).withColumn("b", basis).withColumn("base", F.col("s.base.r"))
+    by_line = staged(summed(nearest_line(df, lines, "key").withColumn("nth", F.coalesce("nth", F.lit(0))), "key", "nth"))
+    mine = told(by_line, "mine", "key", "nth")
+    own = told(summed(df.where("second is not null"), "key", "second"), "own", "key", "second")
+    line = lines.join(mine, ["key", "nth"], "full").join(own, ["key", "second"], "left")
+    # a line of copies to which no reading is nearest tells of the whole stretch
     bare = F.col("second").isNull() & F.col("at").isNotNull()
+    alone = by_line.groupBy("key", "flags").agg(F.sum("votes").alias("votes"), F.min("met").alias("met"), F.min("base").alias("base"), F.min("from").alias("from"), F.max("to").alias("to"))
+    line = line.join(told(alone, "whole", "key"), "key", "left")
+    line = line.withColumn("s", F.coalesce("own", "mine", "whole")).withColumn("b", F.coalesce("mine", "own", "whole")).withColumn("base", F.col("s.base.r"))
+    fighter, incoming = F.col("base.fighter"), F.col("base.dir") == "in"
     return line.select(
-        "clip_id", F.col("s.base.seq").alias("seq"), F.col("base.pass").alias("pass"), F.col("base.ft").alias("ft"), F.col("base.wall_s").alias("wall_s"),
-        F.when(bare, tenths(F.col("at"))).otherwise(F.col("s.base.t")).alias("t"),
-        F.col("base.exact").alias("exact"), "kind", "dir", F.when(F.col("dir") == "in", F.col("fighter")).otherwise(F.col("base.who")).alias("who"),
-        F.when(F.col("dir") == "in", F.col("base.target")).otherwise(F.col("fighter")).alias("target"), "fighter", "amount", F.col("base.ability").alias("ability"),
-        F.col("s.flags").alias("flags"), F.col("base.raw").alias("raw"), F.col("b.seen").alias("seen"),
+        "base.clip_id", F.col("s.base.seq").alias("seq"), F.col("base.pass").alias("pass"), "base.ft", "base.wall_s",
+        F.when(bare, tenths(F.col("at"))).otherwise(F.col("s.base.t")).alias("t"), "base.exact", "base.kind", "base.dir",
+        F.when(incoming, fighter).otherwise(F.col("base.who")).alias("who"), F.when(incoming, F.col("base.target")).otherwise(fighter).alias("target"),
+        fighter.alias("fighter"), "base.amount", "base.ability", F.col("s.flags").alias("flags"), "base.raw", F.col("b.seen").alias("seen"),
         tenths(F.col("b.to") - F.col("b.from")).alias("span"), F.col("b.to").alias("last"),
     )
 

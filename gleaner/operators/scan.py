@@ -7,12 +7,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.sources.staging import staged
 
 
+def key_of(*by: str) -> Column:
+    """One column that is equal where all the columns are, nulls included."""
+    return F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
+
+
 def in_groups(df: DataFrame, by: list[str], order: list[str], fold: Callable[[pa.Table, np.ndarray], pa.RecordBatch], spec: str) -> DataFrame:
     """What fold makes of whole groups, which must be small, in the given order of their rows.
 
@@ -44,49 +49,47 @@ def in_groups(df: DataFrame, by: list[str], order: list[str], fold: Callable[[pa
                 held = [batch]
         yield from told(held)
 
-    keyed = df.withColumn("__key", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}))
+    keyed = df.withColumn("__key", key_of(*by))
     return keyed.repartition("__key").sortWithinPartitions("__key", *order).mapInArrow(run, spec)
 
 
-def carried(df: DataFrame, by: list[str], order: str, values: list[str], step: Callable, none: tuple, name: str, parts: int | None = None) -> DataFrame:
+def carried(df: DataFrame, key: str, order: str, values: list[str], step: Callable, none: tuple, name: str, parts: int = 0) -> DataFrame:
     """The rows with one more column (long): what a fold over each group's rows in order gives for each of them.
 
     step(state, order, *values) gives (state, result), where a state is a tuple of numbers and none the state before a group's
-    first row. Rows are dealt out by ranges of group and order, so a long group lies in many parts, and each is scanned with the
-    state of one row. A part goes by the state that the one before it ended with; as that is only known once it was scanned, parts
-    are scanned again until no state that is handed on changes. A group's later rows seldom depend on how its earlier ones went,
-    so that mostly happens at once.
+    first row. Without parts, a group is scanned by one task, with the state of one row. With parts, rows are dealt out by ranges
+    of group and order, so a long group lies in many of them. A part goes by the state that the one before it ended with; as that
+    is only known once it was scanned, parts are scanned again until no state that is handed on changes. A group's later rows
+    seldom depend on how its earlier ones went, so that mostly happens at once.
     """
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn("__key", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}))
-    dealt = staged(keyed.repartitionByRange(parts, "__key", order).withColumn("__part", F.spark_partition_id()))
     kept = df.columns
     at = [kept.index(c) for c in (order, *values)]
     before: dict[int, tuple] = {}
+    dealt = df.repartition(key).withColumn("__part", F.lit(0)) if not parts else staged(df.repartitionByRange(parts, key, order).withColumn("__part", F.spark_partition_id()))
+    spec = ", ".join([f"c{i} {t}" for i, (_, t) in enumerate(dealt.dtypes)] + [f"c{len(kept) + 1} long, c{len(kept) + 2} array<double>"])
     while True:
 
         def scan(batches: Iterator[pa.RecordBatch], before=before) -> Iterator[pa.RecordBatch]:
-            part, key, state = None, None, none
+            part, own, state = None, None, none
             for batch in batches:
-                keys, of = batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist()
-                rows = zip(keys, of, *(batch.column(i).to_pylist() for i in at), strict=True)
+                rows = zip(*(batch.column(i).to_pylist() for i in (kept.index(key), len(kept), *at)), strict=True)
                 results, states = [], []
                 for k, p, *row in rows:
                     if p != part:
-                        part, (key, state) = p, before.get(p, (None, none))
-                    if k != key:
-                        key, state = k, none
+                        part, (own, state) = p, before.get(p, (None, none))
+                    if k != own:
+                        own, state = k, none
                     state, result = step(state, *row)
                     results.append(result)
-                    states.append([float(x) for x in state])
-                columns = [batch.column(i) for i in range(len(kept) + 2)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(results, pa.int64()), pa.array(states, pa.list_(pa.float64()))], [f"c{i}" for i in range(len(kept) + 4)])
-
-        out = ", ".join([f"c{i} {t}" for i, (_, t) in enumerate(df.dtypes)] + [f"c{len(kept)} string, c{len(kept) + 1} int, c{len(kept) + 2} long, c{len(kept) + 3} array<double>"])
-        done = staged(dealt.repartition("__part").sortWithinPartitions("__part", "__key", order).mapInArrow(scan, out).toDF(*kept, "__key", "__part", name, "__state"))
-        ends = F.max_by(F.struct("__key", "__state"), F.struct("__key", order)).alias("x")
-        told = {r[0]: r for r in done.groupBy("__part").agg(F.min("__key").alias("first"), ends).select("__part", "first", "x.*").collect()}  # a row a part
+                    states.append(state)
+                states = pa.array([[float(x) for x in s] for s in states] if parts else [None] * len(states), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(results, pa.int64()), states], [f"c{i}" for i in range(len(kept) + 3)])
+
+        if not parts:
+            return dealt.sortWithinPartitions(key, order).mapInArrow(scan, spec).toDF(*kept, "__part", name, "__state").select(*kept, name)
+        done = staged(dealt.repartition("__part").sortWithinPartitions("__part", key, order).mapInArrow(scan, spec).toDF(*kept, "__part", name, "__state"))
+        ends = F.max_by(F.struct(key, "__state"), F.struct(key, order)).alias("x")
+        told = {r[0]: r for r in done.groupBy("__part").agg(F.min(key).alias("first"), ends).select("__part", "first", "x.*").collect()}  # a row a part
         handed, state = {}, None
         for p in sorted(told):
             if state is not None and state[0] == told[p]["first"]:
