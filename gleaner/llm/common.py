@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.sources import staging
+
 #: ASCII whitespace, as the class [\x20\x09-\x0D] has it.
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -52,25 +52,20 @@ def numbered(df: DataFrame, *more: Column) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder path under spark.checkpoint.dir; where that is unset, one of this machine, for which Spark must be local."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = os.path.join(tempfile.gettempdir(), "gleaner-shared")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder path for what is stored; see sources.staging, which says where and how it is removed."""
+    return staging.new_path(spark)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The frame written to the shared folder and read again, so that a lost executor costs no lineage."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return staging.staged(df)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts can hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+def sliced(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, as whole texts need more memory to work on than to hold. The session's settings stay as they are."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, most):
+            yield batch if batch.num_rows <= most else batch.take(pa.array(np.arange(i, min(i + most, batch.num_rows))))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

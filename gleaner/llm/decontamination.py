@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import LOWER, NOT_WORD, chunks, fresh, mixed, numbered, own_columns, small_batches, spans, text_bytes, word_hashes
+from gleaner.llm.common import LOWER, NOT_WORD, chunks, fresh, mixed, numbered, own_columns, sliced, spans, text_bytes, word_hashes
 
 SHINGLE = 5
 LEAST = 0.8
@@ -183,7 +183,6 @@ def blocks_of(items: DataFrame):
 def annotated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """All columns of the documents, and a last one: array of (item_id, containment)."""
     spark = docs.sparkSession
-    small_batches(spark)
     item = T.ArrayType(T.StructType([T.StructField("item_id", items.schema["item_id"].dataType), T.StructField("containment", T.DoubleType())]))
     empty = F.array().cast(item)
     out = numbered(docs, empty)
@@ -194,7 +193,7 @@ def annotated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFr
 
         def run(batches, shared=shared):
             own = Items(shared.value)
-            for batch in batches:
+            for batch in sliced(batches):
                 column = batch.column(at)
                 kind = batch.schema.field(batch.num_columns - 1)
                 before = batch.column(batch.num_columns - 1).to_pylist()

@@ -20,7 +20,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gleaner.llm.common import LOWER, NOT_WORD, small_batches
+from gleaner.llm.common import LOWER, NOT_WORD, sliced
 
 #: The phrases that the contract names, and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -207,10 +207,9 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base",
 
 def scanned(docs: DataFrame) -> DataFrame:
     """A row for each document with what its whole text shows."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = [scan(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | {n: [x[n] for x in found] for n in SCHEMA.names[1:]}, schema=SCHEMA)
 

@@ -136,7 +136,7 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     block, place, shard, s, b, turn = (fresh(docs, x) for x in ("block", "place", "shard", "s", "b", "pass"))
     d = draws.select(F.col("source").alias(s), F.col("block").alias(b), F.col("pass").alias(turn), F.col("shard").alias(shard))
     out = docs.withColumn(block, block_key(BLOCKS)[1]).join(d, F.col("source").eqNullSafe(F.col(s)) & (F.col(block) == F.col(b)))
-    out = out.withColumn(place, F.xxhash64(F.lit(SEED + 1), F.col("doc_id"), F.col(turn)))
+    out = out.withColumn(place, F.xxhash64(F.lit(SEED + 1), F.col("doc_id"), F.col(turn), F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))))
     words = sources.agg(F.sum("target")).first()[0] or 0
     return dealt(out, words, shards, shard, place).sortWithinPartitions(shard, place).select(*names)
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import MUL, small_batches, stored
+from gleaner.llm.common import MUL, sliced, stored
 
 ORDER = 5
 #: Most grams that are broadcast.
@@ -70,7 +70,6 @@ def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarra
 
 def gram_sums(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, n) of what each task has read, added up before anything moves; a gram has several rows."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         keys, sums, parts, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], [], 0
@@ -83,7 +82,7 @@ def gram_sums(docs: DataFrame, order: int = ORDER) -> DataFrame:
             for i in range(0, len(keys), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)]), pa.array(sums[i : i + (1 << 16)])], ["gram", "n"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for t in batch.column(0):
                 held.append(lowered(t.as_py()))
                 size += len(held[-1])
@@ -290,11 +289,10 @@ def least_kept(cost: DataFrame, most: int) -> float:
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token, n) over all texts, ends counted."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         count: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for t in batch.column(0):
                 count.update(lowered(t.as_py()).split())
                 count[b""] += 1
@@ -339,7 +337,6 @@ def coded(fast: Table, texts: list[bytes], order: int = ORDER) -> tuple[np.ndarr
 def report(docs: DataFrame) -> DataFrame:
     """The digest of the query: word counts' and the byte model's log10 probabilities of each text."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     train = rows.where(~held_out())
     counts = stored(token_counts(train))
@@ -356,7 +353,7 @@ def report(docs: DataFrame) -> DataFrame:
     def run(batches):
         often, fast = shared.value
         cost = {w: np.log10((c + 0.5) / whole) for w, c in often.items()}
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [lowered(t.as_py()) for t in batch.column(1)]
             scores, codes, repeats = coded(fast, texts)
             tokens, known, base, words, times = [], [], [], [], []

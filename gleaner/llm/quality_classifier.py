@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import BLANK, MUL, chunks, fresh, mixed, numbered, own_columns, small_batches, spans, text_bytes, word_hashes
+from gleaner.llm.common import BLANK, MUL, chunks, fresh, mixed, numbered, own_columns, sliced, spans, text_bytes, word_hashes
 
 BITS = 18
 DIM = 1 << BITS
@@ -122,11 +122,10 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
     got = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", F.col("__y").cast("int").alias("y"))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = [f.tobytes() for f in feature_lists(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "y", "features"])
 
-    small_batches(docs.sparkSession)
     id_type = dict(got.dtypes)["doc_id"]
     # One row for each doc_id, so that no more than the sample reaches the driver however often a doc_id stands.
     one = got.mapInArrow(run, f"doc_id {id_type}, y int, features binary").groupBy("doc_id", "y").agg(F.min("features").alias("features"))
@@ -137,13 +136,12 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
 def scored(docs: DataFrame, model) -> DataFrame:
     """All columns of the documents, and a last one, the score: the estimate that the label is 1."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(tuple(x.astype(np.float32) if isinstance(x, np.ndarray) else x for x in model))
     at = docs.columns.index("text")
     out = numbered(docs, F.lit(0.0))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             margin = margins(shared.value, batch.column(at))
             score = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
             yield batch.set_column(batch.num_columns - 1, batch.schema.field(batch.num_columns - 1), pa.array(score))

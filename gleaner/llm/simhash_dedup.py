@@ -18,7 +18,7 @@ other; an empty table gives no rows; other columns, whatever their names, are pa
 
 The pipeline's stage, survivors(), takes five-word shingles and a similarity of 0.8. SimHash of 64 bits tells this from
 chance too badly, so it uses wide fingerprints of 256 bits and several tries of 64 of these, chosen at random; the pair is
-found that agrees at the top of one. Measured recall and precision are in the README.
+found that agrees at the top of one. Links found so are verified on the shingles themselves. Measured recall is in the README.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import LOWER, chunks, fresh, mixed, numbered, own_columns, small_batches, spans, stored, text_bytes, word_hashes
+from gleaner.llm.common import LOWER, chunks, fresh, mixed, numbered, own_columns, sliced, spans, stored, text_bytes, word_hashes
 
 SHINGLE = 4
 SEED = 42
@@ -63,11 +63,10 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint (64 bits in a long) of each row."""
-    small_batches(docs.sparkSession)
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
 
@@ -114,13 +113,31 @@ def united(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return label
 
 
+def forest(label: np.ndarray, u: np.ndarray, v: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels after linking u and v, and the places of pairs that link as much as all of them, the nearest ones first."""
+    picked, alive = [], np.arange(len(u))
+    while True:
+        a, b = label[u[alive]], label[v[alive]]
+        apart = a != b
+        alive, a, b = alive[apart], a[apart], b[apart]
+        if not len(alive):
+            return label, np.concatenate(picked) if picked else alive
+        both, of = np.concatenate([a, b]), np.concatenate([alive, alive])
+        order = np.lexsort((far[of], both))
+        first = np.flatnonzero(np.concatenate([[True], both[order][1:] != both[order][:-1]]))
+        picked.append(np.unique(of[order[first]]))
+        label = united(label, u[picked[-1]], v[picked[-1]])
+
+
 def walk(a: np.ndarray, b: np.ndarray | None, depth: int, dist: int, budget: int = BUDGET, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Each path's component from the walk below one level of a trie: the paths, and the root path of each.
 
     Without b, every node of that level is walked with itself, its paths being the sorted distinct a that share their first
     depth bits. With b, the one node of a is walked with the one node of b, whose first depth bits differ in dist places.
-    With wide, the whole fingerprints of the paths a, pairs of paths within budget are linked if these differ in REACH bits at most.
+    With wide, the whole fingerprints of the paths a, pairs of paths within budget are linked if these differ in REACH bits at most;
+    the result is then pairs that link as much as all of them.
     """
+    picked = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     most = FRONTIER if wide is None else FRONTIER >> 4
     own = b is None
     x = a if own else np.concatenate([a, b])
@@ -152,8 +169,13 @@ def walk(a: np.ndarray, b: np.ndarray | None, depth: int, dist: int, budget: int
                 near &= i < j
             if wide is not None:
                 i, j = i[near], j[near]
-                near = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64) <= REACH
-            label = united(label, i[near], j[near] + base)
+                far_ = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64)
+                near = far_ <= REACH
+                i, j = i[near], j[near]
+                label, some = forest(label, i, j, far_[near])
+                picked.append((i[some], j[some]))
+            else:
+                label = united(label, i[near], j[near] + base)
         alo, ahi, blo, bhi, far = (v[~small] for v in (alo, ahi, blo, bhi, far))
         if not len(alo):
             continue
@@ -166,6 +188,8 @@ def walk(a: np.ndarray, b: np.ndarray | None, depth: int, dist: int, budget: int
         live = [(p[1] > p[0]) & (p[3] > p[2]) & (p[4] <= budget) for p in down]
         live[3] &= ~same  # a node with itself: its two children meet once
         stack.append((d + 1, *(np.concatenate([p[k][ok] for p, ok in zip(down, live, strict=True)]) for k in range(5))))
+    if wide is not None:
+        return np.concatenate([p[0] for p in picked]), np.concatenate([p[1] for p in picked])
     return x, x[label]
 
 
@@ -287,7 +311,9 @@ def report(docs: DataFrame) -> DataFrame:
 #: Words of a shingle; the most differing bits of WIDE_BITS that link; those of a path's 64 bits that the walk allows.
 NEAR_SHINGLE = 5
 WIDE_BITS = 256
-REACH, PATH_REACH = 48, 22
+REACH, PATH_REACH = 60, 22
+#: The least similarity of near copies.
+LEAST = 0.8
 #: The share of bits in which two equally long texts of similarity 0.8 are expected to agree, and the recall wanted of it.
 AGREE, RECALL = 1 - float(np.arccos(8 / 9) / np.pi), 0.97
 #: Fingerprints that a node below the top of a trie should hold.
@@ -296,20 +322,26 @@ _ODD = mixed(np.arange(301, 301 + NEAR_SHINGLE, dtype=np.uint64)) | np.uint64(1)
 _WORD_ODD = mixed(np.arange(401, 401 + WIDE_BITS // 64, dtype=np.uint64)) | np.uint64(1)
 
 
+def near_shingles(buf: np.ndarray, at: np.ndarray, k: int = NEAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit code and the row of each shingle of texts laid end to end; a text of fewer words is one shingle."""
+    starts, ends, row = spans(LOWER[buf], at)
+    if not len(starts):
+        return np.zeros(0, np.uint64), row
+    w = word_hashes(LOWER[buf], starts, ends)
+    code, size = np.zeros(len(w), np.uint64), len(w)
+    for i in range(min(k, size)):
+        code[: size - i] += np.where(row[: size - i] == row[i:], w[i:] * _ODD[i], 0)
+    whole = np.zeros(size, bool)
+    whole[: max(0, size - k + 1)] = row[: max(0, size - k + 1)] == row[k - 1 :]
+    whole[np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))] = True
+    return mixed(code[whole]), row[whole]
+
+
 def wide_prints(buf: np.ndarray, at: np.ndarray, k: int = NEAR_SHINGLE) -> np.ndarray:
     """(rows x 32) bytes: the fingerprints of WIDE_BITS bits of texts laid end to end; zero without words."""
-    starts, ends, row = spans(LOWER[buf], at)
     counts, n = np.zeros((len(at) - 1, WIDE_BITS), np.int64), np.zeros(len(at) - 1, np.int64)
-    if len(starts):
-        w = word_hashes(LOWER[buf], starts, ends)
-        code, size = np.zeros(len(w), np.uint64), len(w)
-        for i in range(min(k, size)):
-            code[: size - i] += np.where(row[: size - i] == row[i:], w[i:] * _ODD[i], 0)
-        whole = np.zeros(size, bool)
-        whole[: max(0, size - k + 1)] = row[: max(0, size - k + 1)] == row[k - 1 :]
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        whole[first] = True  # a text of fewer words is one shingle
-        code, row = mixed(code[whole]), row[whole]
+    code, row = near_shingles(buf, at, k)
+    if len(code):
         step = 1 << 14
         for i in range(0, len(code), step):
             part, of = code[i : i + step], row[i : i + step]
@@ -329,8 +361,20 @@ def wide_of(column: pa.Array) -> pa.Array:
 
 
 def as_words(column: pa.Array) -> np.ndarray:
-    """Fingerprints as rows of 64-bit words."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE_BITS // 64)
+    """Values of a column of equally many bytes as rows of 64-bit words."""
+    whole = column.to_pylist()
+    return np.frombuffer(b"".join(whole), np.uint64).reshape(len(whole), -1)
+
+
+def node_of(texts: pa.Array, hashes: pa.Array) -> pa.Array:
+    """What a text is in the tries: its fingerprint, and a hash that tells texts of one fingerprint apart."""
+    return pa.array([fp + h for fp, h in zip(wide_of(texts).to_pylist(), (x.tobytes() for x in hashes.to_numpy()), strict=True)], pa.binary())
+
+
+def parts_of(nodes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints as rows of 64-bit words, and the texts' hashes."""
+    rows = as_words(nodes)
+    return np.ascontiguousarray(rows[:, :-1]), rows[:, -1].view(np.int64)
 
 
 def tries_for(n: int) -> tuple[int, list[np.ndarray]]:
@@ -346,16 +390,17 @@ def tries_for(n: int) -> tuple[int, list[np.ndarray]]:
 
 
 def near_links(distinct: DataFrame, node: int = NODE) -> DataFrame:
-    """(fp, root): links between distinct wide fingerprints that differ in REACH bits or fewer, found in one of several tries.
+    """(fp, root, h, root_h): pairs of texts whose wide fingerprints differ in REACH bits or fewer, found in one of several tries,
+    as many as connect what can be connected, the nearest first; with the texts' hashes.
 
     A node that holds more than node fingerprints gives way to its children, 4 bits further down: members of so large a
-    group still meet many of its other members in every trie. Fingerprints of one path meet the first of them alone.
+    group still meet many of its other members in every trie. Fingerprints of one path meet the first of them and the one before.
     """
     top, bits_of = tries_for(distinct.count())
 
     def lay(batches):
         for batch in batches:
-            bits = np.unpackbits(as_words(batch.column(0)).view(np.uint8), axis=1)
+            bits = np.unpackbits(parts_of(batch.column(0))[0].view(np.uint8), axis=1)
             for i, order in enumerate(bits_of):
                 path = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u8").reshape(-1).astype(np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(path), i, np.int32)), pa.array(path.view(np.int64)), batch.column(0)], ["trie", "path", "fp"])
@@ -373,22 +418,20 @@ def near_links(distinct: DataFrame, node: int = NODE) -> DataFrame:
         depth = min(64, depth + 4)
         todo = level(todo.join(full, key, "left_semi").select("trie", "path", "fp"), depth)
 
-    def found(trie, depth, path, wide, raw):
+    def found(trie, depth, path, wide, hashes, raw):
         """Links of whole nodes, which are sorted by trie, depth, and path."""
         cut = np.flatnonzero(np.concatenate([[True], (trie[1:] != trie[:-1]) | (depth[1:] != depth[:-1])]))
         for lo, hi in zip(cut, np.append(cut[1:], len(trie))):
             a, w = path[lo:hi], wide[lo:hi]
             new = np.concatenate([[True], a[1:] != a[:-1]])
             first = np.flatnonzero(new)
-            lead = first[np.cumsum(new) - 1]
             x = np.flatnonzero(~new)
-            x = x[np.bitwise_count(w[x] ^ w[lead[x]]).sum(1, dtype=np.int64) <= REACH]
-            _, root = walk(a[first], None, int(depth[lo]), 0, PATH_REACH, w[first])
-            place = first[np.searchsorted(a[first], root)]
-            far = np.flatnonzero(place != first)
-            u, v = np.concatenate([x, first[far]]) + lo, np.concatenate([lead[x], place[far]]) + lo
+            u, v = np.concatenate([x, x]), np.concatenate([first[np.cumsum(new) - 1][x], x - 1])
+            near = np.bitwise_count(w[u] ^ w[v]).sum(1, dtype=np.int64) <= REACH
+            i, j = walk(a[first], None, int(depth[lo]), 0, PATH_REACH, w[first])
+            u, v = np.concatenate([u[near], first[i]]) + lo, np.concatenate([v[near], first[j]]) + lo
             if len(u):
-                yield pa.RecordBatch.from_arrays([raw.take(pa.array(u)), raw.take(pa.array(v))], ["fp", "root"])
+                yield pa.RecordBatch.from_arrays([raw.take(pa.array(u)), raw.take(pa.array(v)), pa.array(hashes[u]), pa.array(hashes[v])], ["fp", "root", "h", "root_h"])
 
     def join(batches):
         held: list[pa.RecordBatch] = []
@@ -411,42 +454,77 @@ def near_links(distinct: DataFrame, node: int = NODE) -> DataFrame:
         path = rows["path"].to_numpy().view(np.uint64)
         order = np.lexsort((path, rows["depth"].to_numpy(), rows["trie"].to_numpy()))
         raw = raw.take(pa.array(order))
-        yield from found(rows["trie"].to_numpy()[order], rows["depth"].to_numpy()[order], path[order], as_words(raw), raw)
+        yield from found(rows["trie"].to_numpy()[order], rows["depth"].to_numpy()[order], path[order], *parts_of(raw), raw)
 
     dealt = done.select(*key, "path", "fp").repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(join, "fp binary, root binary").distinct()
+    return dealt.mapInArrow(join, "fp binary, root binary, h long, root_h long").distinct()
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the linked pairs (fp, root, h, root_h) whose texts' sets of five-word shingles have a similarity of LEAST or more."""
+    ends = pairs.select("h").unionByName(pairs.select(F.col("root_h").alias("h"))).distinct()
+    texts = docs.select(text_hash().alias("h"), "text").join(ends, "h", "left_semi").dropDuplicates(["h"])
+
+    def codes(batches):
+        for batch in sliced(batches):
+            buf, at = text_bytes(batch.column(1))
+            sets = []
+            for i, j in chunks(at):
+                code, row = near_shingles(buf[at[i] : at[j]], at[i : j + 1] - at[i])
+                sets += [np.unique(x).tobytes() for x in np.split(code, np.searchsorted(row, np.arange(1, j - i)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["h", "codes"])
+
+    shingles = stored(texts.mapInArrow(codes, "h long, codes binary"))
+
+    def alike(batches):
+        for batch in sliced(batches):
+            kept = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(both >= LEAST * (len(x) + len(y) - both) - 1e-9)
+            yield batch.filter(pa.array(kept, pa.bool_())).select([0, 1])
+
+    met = pairs.join(shingles.withColumnRenamed("codes", "a"), "h").join(shingles.select(F.col("h").alias("root_h"), F.col("codes").alias("b")), "root_h")
+    return met.select("fp", "root", "a", "b").mapInArrow(alike, "fp binary, root binary")
 
 
 def survivors(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, that of the smallest doc_id, with all its columns.
 
-    Near copies are texts whose five-word shingles have a similarity of 0.8 or more, told by wide fingerprints: 256 bits
-    of which such texts differ in 39 on the average, and REACH at most.
+    Near copies are texts whose sets of five-word shingles have a similarity of LEAST or more. Candidates are told by wide
+    fingerprints: 256 bits of which such texts differ in 39 on the average, and REACH at most; each link is then verified on the
+    shingles, so a document goes only if it is linked, directly or through others, with the one that stays.
     """
-    small_batches(docs.sparkSession)
-    at, names = docs.columns.index("text"), own_columns(docs)
+    names = own_columns(docs)
     fp, doc = fresh(docs, "fp"), fresh(docs, "id")
-    wide = numbered(docs, F.lit(b""))
-
-    def run(batches):
-        for batch in batches:
-            yield batch.set_column(batch.num_columns - 1, batch.schema.field(batch.num_columns - 1), wide_of(batch.column(at)).cast(batch.schema.field(batch.num_columns - 1).type))
 
     def narrow(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), wide_of(batch.column(1))], ["doc_id", "fp"])
+        for batch in sliced(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), node_of(batch.column(1), batch.column(2))], ["doc_id", "fp"])
 
-    prints = stored(docs.select("doc_id", "text").mapInArrow(narrow, f"doc_id {dict(docs.dtypes)['doc_id']}, fp binary"))
+    prints = stored(docs.select("doc_id", "text", text_hash()).mapInArrow(narrow, f"doc_id {dict(docs.dtypes)['doc_id']}, fp binary"))
     distinct = stored(prints.select("fp").distinct())
-    label = labelled(near_links(distinct))
+    label = labelled(verified(stored(near_links(distinct)), docs))
     root = stored(distinct.join(label, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
     ids = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"))).alias("s")).join(root, "fp")
     kept = stored(ids.groupBy("root").agg(F.min(F.struct("s.n", "s.id", "fp")).alias("s")).select(F.col("s.id").alias(doc), F.col("s.fp").alias(fp)))
     if prints.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         gone = stored(prints.select(F.col("doc_id").alias(doc)).join(kept.select(doc), doc, "left_anti"))  # far fewer than the kept
         return docs.join(gone, F.col("doc_id") == F.col(doc), "left_anti").select(*names)
-    # doc_ids that are null or stand more than once: rows are told apart by their fingerprints too
-    mine = fresh(docs, "own")
-    rows = wide.mapInArrow(run, wide.schema).toDF(*docs.columns, mine)
+    # doc_ids that are null or stand more than once: rows are told apart by their texts too
+    mine, at = fresh(docs, "own"), docs.columns.index("text")
+    wide = numbered(docs, text_hash(), F.lit(None).cast("binary"))
+
+    def run(batches):
+        for batch in sliced(batches):
+            last = batch.num_columns - 1
+            yield batch.set_column(last, batch.schema.field(last), node_of(batch.column(at), batch.column(last - 1)).cast(batch.schema.field(last).type))
+
+    rows = wide.mapInArrow(run, wide.schema).toDF(*docs.columns, fresh(docs, "hash"), mine)
     rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(mine) == F.col(fp)))
     return rows.dropDuplicates([doc, fp]).select(*names)

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import MUL, mixed, small_batches, spans, stored, word_hashes
+from gleaner.llm.common import MUL, mixed, sliced, spans, stored, word_hashes
 
 K = 13
 #: Bytes of strings and places that a bin is meant for, and that it may have before its windows travel singly.
@@ -190,7 +190,7 @@ def ranges(bin_packs: list[bytes]):
 def flushed(batches, told):
     """What told makes of texts of at least K words, FLUSH bytes or one longer text at a time: lines, doc_ids, hashes of the texts."""
     lines, doc, mark, held = [], [], [], 0
-    for batch in batches:
+    for batch in sliced(batches):
         for d, t, c in zip(*(batch.column(i) for i in range(3)), strict=True):
             words = t.as_py().encode().split()
             if len(words) < K:
@@ -208,7 +208,6 @@ def flushed(batches, told):
 
 def removed(docs: DataFrame, bin_bytes: int = BIN, limit: int = LIMIT) -> DataFrame:
     """(doc_id, mark, first, after): word ranges to remove from the text of that doc_id and hash; they may overlap."""
-    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("doc_id is not null")
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("mark"))
@@ -235,7 +234,7 @@ def removed(docs: DataFrame, bin_bytes: int = BIN, limit: int = LIMIT) -> DataFr
 
     def settle(batches):
         bin_, held = None, []
-        for batch in batches:
+        for batch in sliced(batches):
             for b, p in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if b != bin_ and held:
                     yield from told(held)
@@ -273,7 +272,7 @@ def kept(docs: DataFrame, ranges_of: DataFrame, text_out: bool = False) -> DataF
     id_type = dict(rows.dtypes)["doc_id"]
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             n, less, digest, texts = [], [], [], []
             for t, r in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = t.as_py().encode().split()

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import shared_dir, small_batches
+from gleaner.llm.common import shared_dir, sliced
 
 VERSION = "WARC/1.1"
 SEGMENT = 2048
@@ -117,7 +117,6 @@ def parsed(data: bytes):
 def write(pages: DataFrame, path: str | None = None) -> str:
     """Writes all pages as archives and returns their folder."""
     path = path or shared_dir(pages.sparkSession)
-    small_batches(pages.sparkSession)
     url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
     html = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("payload"), F.sha1(html).alias("sha1"))
@@ -125,14 +124,14 @@ def write(pages: DataFrame, path: str | None = None) -> str:
     first = rows.groupBy("sha1").agg(F.max("page_id").alias("response_id"))
 
     def squeeze(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             small = [zlib.compress(p.as_py(), 1) for p in batch.column(2)]
             yield batch.set_column(2, "payload", pa.array(small, pa.binary()))
 
     packed = rows.mapInArrow(squeeze, rows.schema)
 
     def lay(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for i, u, z, r in zip(*(batch.column(n).to_pylist() for n in range(4)), strict=True):
                 payload = zlib.decompress(z)
