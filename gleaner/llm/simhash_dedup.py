@@ -129,13 +129,24 @@ def forest(label: np.ndarray, u: np.ndarray, v: np.ndarray, far: np.ndarray) ->
         label = united(label, u[picked[-1]], v[picked[-1]])
 
 
+def nearest_of_each(u: np.ndarray, v: np.ndarray, far: np.ndarray, most: int = 8) -> np.ndarray:
+    """The places of pairs that are among the nearest few of one of their two."""
+    both, of = np.concatenate([u, v]), np.tile(np.arange(len(u)), 2)
+    order = np.lexsort((far[of], both))
+    own = both[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    nth = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+    return np.unique(of[order[nth < most]])
+
+
 def walk(a: np.ndarray, b: np.ndarray | None, depth: int, dist: int, budget: int = BUDGET, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Each path's component from the walk below one level of a trie: the paths, and the root path of each.
 
     Without b, every node of that level is walked with itself, its paths being the sorted distinct a that share their first
     depth bits. With b, the one node of a is walked with the one node of b, whose first depth bits differ in dist places.
-    With wide, the whole fingerprints of the paths a, pairs of paths within budget are linked if these differ in REACH bits at most;
-    the result is then pairs that link as much as all of them.
+    With wide, the whole fingerprints of the paths a, pairs of paths within budget are linked if these differ in REACH bits at most.
+    The result is then pairs to be verified: of those within SURE bits as many as link what they link; of others, between what is
+    not linked so, the nearest few of each path.
     """
     picked = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     most = FRONTIER if wide is None else FRONTIER >> 4
@@ -171,9 +182,13 @@ def walk(a: np.ndarray, b: np.ndarray | None, depth: int, dist: int, budget: int
                 i, j = i[near], j[near]
                 far_ = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64)
                 near = far_ <= REACH
-                i, j = i[near], j[near]
-                label, some = forest(label, i, j, far_[near])
-                picked.append((i[some], j[some]))
+                i, j, far_ = i[near], j[near], far_[near]
+                sure = far_ <= SURE
+                label, some = forest(label, i[sure], j[sure], far_[sure])
+                picked.append((i[sure][some], j[sure][some]))
+                open_ = ~sure & (label[i] != label[j])
+                some = nearest_of_each(i[open_], j[open_], far_[open_])
+                picked.append((i[open_][some], j[open_][some]))
             else:
                 label = united(label, i[near], j[near] + base)
         alo, ahi, blo, bhi, far = (v[~small] for v in (alo, ahi, blo, bhi, far))
@@ -312,10 +327,12 @@ def report(docs: DataFrame) -> DataFrame:
 NEAR_SHINGLE = 5
 WIDE_BITS = 256
 REACH, PATH_REACH = 60, 22
+#: Bits in which texts differ of which it is all but certain that they are near copies.
+SURE = 24
 #: The least similarity of near copies.
 LEAST = 0.8
 #: The share of bits in which two equally long texts of similarity 0.8 are expected to agree, and the recall wanted of it.
-AGREE, RECALL = 1 - float(np.arccos(8 / 9) / np.pi), 0.97
+AGREE, RECALL = 1 - float(np.arccos(8 / 9) / np.pi), 0.99
 #: Fingerprints that a node below the top of a trie should hold.
 NODE_MEANT = 128
 _ODD = mixed(np.arange(301, 301 + NEAR_SHINGLE, dtype=np.uint64)) | np.uint64(1)
@@ -390,8 +407,8 @@ def tries_for(n: int) -> tuple[int, list[np.ndarray]]:
 
 
 def near_links(distinct: DataFrame, node: int = NODE) -> DataFrame:
-    """(fp, root, h, root_h): pairs of texts whose wide fingerprints differ in REACH bits or fewer, found in one of several tries,
-    as many as connect what can be connected, the nearest first; with the texts' hashes.
+    """(fp, root, h, root_h): pairs of texts that may be near copies, found in one of several tries, with the texts' hashes: as many
+    as it takes to connect what can be connected, the nearest first.
 
     A node that holds more than node fingerprints gives way to its children, 4 bits further down: members of so large a
     group still meet many of its other members in every trie. Fingerprints of one path meet the first of them and the one before.
