@@ -7,10 +7,11 @@ payloads of at least REVISIT_BYTES, the one of the largest page_id is the respon
 which have the HTTP head alone. Archives are plain concatenated records, written through Spark's text sink to the shared
 folder and compressed whole by it, so any file system will do.
 
-Reading. Files are split into records by Content-Length. Continuation records are grouped by the origin's identifier and
-put in order of their segment numbers; the sum of their lengths must be the total that the last one states, and no number
-may be missing. The block's chunked framing is then decoded and the payload's digest compared with the record's. Whatever
-fails is reported in the column fault, never dropped.
+Reading. Files (plain, or compressed in one member or one for each record) are split into records by Content-Length.
+Continuation records are grouped by the origin's identifier and put in order of their segment numbers; the sum of their
+lengths must be the total that the last one states, and no number may be missing. The block's chunked framing is then decoded
+and the payload's digest compared with the record's. Whatever of a page's record fails is reported in the column fault, never
+dropped: a record that can't be told from its neighbours, or a file that breaks off, as a row of its own that names file and byte.
 
 Segments move between tasks compressed, and each record's own segments only: no group is larger than one record.
 
@@ -22,7 +23,6 @@ one; an empty table gives no rows; other columns are not read, url may be missin
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import uuid
 import zlib
@@ -39,6 +39,8 @@ SEGMENT = 2048
 PIECE = 1000
 REVISIT_BYTES = 0
 FILE_RECORDS = 4000
+#: Kinds of records that pages come from; others, and files of other kinds, are passed over.
+KINDS = ("response", "revisit", "continuation")
 _END = b"\r\n\r\n"
 
 
@@ -98,20 +100,61 @@ def records(page_id, url: str | None, payload: bytes, response_id, is_response:
     return out
 
 
+def record_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
+    """Headers and block of the record that begins at a byte, and where it ends; ValueError if there is none or it is broken."""
+    end = data.find(_END, at)
+    if not data.startswith(b"WARC/", at) or end < 0:
+        raise ValueError(f"no record at byte {at}")
+    lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+    headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+    if not headers.get("content-length", "").isdecimal():
+        raise ValueError(f"the record at byte {at} has no length")
+    begin, size = end + 4, int(headers["content-length"])
+    if data[begin + size : begin + size + 4] != _END:
+        raise ValueError(f"the record at byte {at} is longer or shorter than it says")
+    return headers, data[begin : begin + size], begin + size + 4
+
+
 def parsed(data: bytes):
-    """(headers, block) of each record of an archive."""
+    """(headers, block) of each record of a sound archive."""
+    at = 0
+    while at < len(data):
+        headers, block, at = record_at(data, at)
+        yield headers, block
+
+
+def salvaged(data: bytes):
+    """(byte, headers, block, fault) of each record of any archive; after a fault it goes on at the next line that begins a record."""
     at = 0
     while at < len(data):
-        end = data.index(_END, at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        begin, size = end + 4, int(headers["content-length"])
-        if data[begin + size : begin + size + 4] != _END:
-            raise ValueError(f"the record at byte {at} is longer or shorter than it says")
-        yield headers, data[begin : begin + size]
-        at = begin + size + 4
+        try:
+            headers, block, after = record_at(data, at)
+            yield at, headers, block, None
+        except ValueError as e:
+            yield at, {}, b"", str(e)
+            after = data.find(b"\nWARC/", at) + 1 or len(data)
+        at = after
+
+
+def unpacked(data: bytes) -> tuple[bytes, str | None]:
+    """A file's bytes, whether it is compressed (in one member, or one for each record) or not, and what was wrong with it."""
+    if data[:2] != b"\x1f\x8b":
+        return data, None
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error as e:
+            return b"".join(out), f"compressed data: {e}"
+        if not member.eof:
+            return b"".join(out), "compressed data: cut off"
+        data = member.unused_data
+    return b"".join(out), None
+
+
+def number(text: str | None) -> int | None:
+    return int(text) if text is not None and text.removeprefix("-").isdecimal() and len(text) < 19 else None
 
 
 def write(pages: DataFrame, path: str | None = None) -> str:
@@ -147,37 +190,43 @@ def write(pages: DataFrame, path: str | None = None) -> str:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, target_uri, record_type, refers_to, payload_bytes, payload_digest and fault of each page in the archives."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
+    """page_id, target_uri, record_type, refers_to, payload_bytes, payload_digest and fault of each page, or fault, in the archives."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,txt.gz,warc,warc.gz}").load(path).select("content", "path")
 
     def take(batches):
         for batch in batches:
-            for content in batch.column(0):
-                data = content.as_py()
-                rows = []
-                for h, block in parsed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    rows.append({
-                        "origin": h.get("warc-segment-origin-id") or h["warc-record-id"], "segment": int(h.get("warc-segment-number", 0)),
-                        "total": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, "type": h["warc-type"],
-                        "target_uri": h.get("warc-target-uri"), "page_id": int(h["warc-page-id"]) if "warc-page-id" in h else None,
-                        "refers_to": int(h["warc-refers-to-page-id"]) if "warc-refers-to-page-id" in h else None,
-                        "stated": h.get("warc-payload-digest", "").removeprefix("sha1:"), "block": zlib.compress(block, 1),
-                    })
+            for content, name in zip(*batch.columns[:2], strict=True):
+                file, rows = name.as_py().rsplit("/", 1)[-1], []
+                data, torn = unpacked(content.as_py())
+                broken = lambda at, fault: {"origin": f"{name}#{at}", "fault": f"{file}: {fault}", "block": b""}  # noqa: E731, B023
+                for at, h, block, fault in salvaged(data):
+                    kind = h.get("warc-type")
+                    own = h.get("warc-segment-origin-id") if kind == "continuation" else h.get("warc-record-id")
+                    segment = number(h.get("warc-segment-number", "0"))
+                    if fault or kind in KINDS and (own is None or segment is None):
+                        rows.append(broken(at, fault or f"the record at byte {at} lacks its identifier or number"))
+                    elif kind in KINDS:
+                        rows.append({
+                            "origin": own, "segment": segment, "total": number(h.get("warc-segment-total-length")), "type": kind, "target_uri": h.get("warc-target-uri"),
+                            "page_id": number(h.get("warc-page-id")), "refers_to": number(h.get("warc-refers-to-page-id")), "stated": h.get("warc-payload-digest", "").removeprefix("sha1:"), "block": zlib.compress(block, 1),
+                        })
+                if torn:
+                    rows.append(broken(len(data), torn))
                 for i in range(0, len(rows), 2000):
                     yield pa.RecordBatch.from_pylist(rows[i : i + 2000], schema=parts)
 
-    parts = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("type", pa.string()), ("target_uri", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("stated", pa.string()), ("block", pa.binary())])
-    spec = "origin string, segment int, total long, type string, target_uri string, page_id long, refers_to long, stated string, block binary"
+    parts = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("type", pa.string()), ("target_uri", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("stated", pa.string()), ("block", pa.binary()), ("fault", pa.string())])
+    spec = "origin string, segment int, total long, type string, target_uri string, page_id long, refers_to long, stated string, block binary, fault string"
     segments = files.mapInArrow(take, spec)
     whole = segments.groupBy("origin").agg(
-        F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"),
+        F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"), F.max("fault").alias("fault"),
         *[F.max(F.when(F.col("type") != "continuation", F.col(c))).alias(c) for c in ("type", "target_uri", "page_id", "refers_to", "stated")],
     )
     out = "page_id long, target_uri string, record_type string, refers_to long, payload_bytes long, payload_digest string, fault string"
 
     def join(frames):
         for pdf in frames:
-            rows = [reassembled(*r) for r in zip(pdf["parts"], pdf["total"], pdf["type"], pdf["stated"], strict=True)]
+            rows = [(None, None, f) if f is not None else reassembled(*r) for f, *r in zip(pdf["fault"], pdf["parts"], pdf["total"], pdf["type"], pdf["stated"], strict=True)]
             got = pd.DataFrame(rows, columns=["payload_bytes", "payload_digest", "fault"], index=pdf.index)
             got = got.astype({"payload_bytes": "Int64"})
             ids = pdf[["page_id", "refers_to"]].astype("Int64")
@@ -199,7 +248,7 @@ def reassembled(parts, total, kind: str | None, stated: str | None) -> tuple[int
     head, _, body = block.partition(_END)
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])}
     if kind == "revisit":
-        return int(fields["content-length"]), stated, None
+        return number(fields.get("content-length")), stated, None
     try:
         payload = dechunked(body) if fields.get("transfer-encoding", "").lower() == "chunked" else body
     except ValueError as e:

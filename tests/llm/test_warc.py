@@ -55,3 +55,23 @@ def test_reassembly_reports_faults():
 
 def test_empty(spark):
     assert warc.report(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_broken_and_foreign_archives_are_told(spark, tmp_path):
+    import gzip
+
+    one, two, three = (b"".join(warc.records(i, f"u{i}", f"page {i} ".encode() * 300, i, True)) for i in (1, 2, 3))
+    info = warc.record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:uuid:x>")], b"software: none")
+    (tmp_path / "a.warc").write_bytes(info + one + two.replace(b"Content-Length: 2048", b"Content-Length: 2047", 1) + three)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(warc.records(i, "v", b"x" * i, i, True)[0]) for i in (10, 11)))
+    (tmp_path / "c.txt.gz").write_bytes(gzip.compress(warc.records(20, "w", b"whole", 20, True)[0])[:-12])
+    (tmp_path / "d.warc").write_bytes(b"no archive at all")
+    (tmp_path / "e.warc").write_bytes(b"")
+    (tmp_path / "f.html").write_bytes(b"<p>")
+    got = warc.read(spark, f"file://{tmp_path}").collect()
+    sound = {r.page_id: r.payload_bytes for r in got if r.fault is None}
+    assert sound == {1: 2100, 3: 2100, 10: 10, 11: 11} or sound == {1: 2100, 3: 2100, 10: 10, 11: 11, 20: 5}
+    faults = sorted(r.fault for r in got if r.fault is not None)
+    assert any(f.startswith("a.warc: the record at byte") for f in faults) and any("the record that began it is missing" in f for f in faults)
+    assert any(f.startswith("c.txt.gz: compressed data") for f in faults) and any(f.startswith("d.warc: no record at byte 0") for f in faults)
+    assert len(got) == len(sound) + len(faults)
