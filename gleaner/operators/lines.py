@@ -22,18 +22,49 @@ def first_distinct(lines: DataFrame, by: tuple[str, ...] = ("clip_id", "frame_no
     return lines.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
 
 
+def told_bodies(bodies: DataFrame) -> DataFrame:
+    """What bodies of lines tell (column body): number, shape of the grammar, names and tags; reason says why one tells nothing."""
+    df = computed(bodies, __found=text.amount_found(F.col("body")))
+    df = computed(df, amount=text.amount_in(F.col("__found")), __shape=F.when(F.col("__found").isNotNull(), shape(F.col("body"))))
+    df = told(df, "body", "__shape").withColumn("flags", similarity.tags(F.when(F.col("__shape").isNotNull() & F.col("amount").isNotNull(), F.col("body"))))
+    why = F.when(F.col("body") == "", "empty").when(F.col("__found").isNull(), "no amount").when(F.col("amount").isNull(), "unreadable amount").when(F.col("__shape").isNull(), "no shape")
+    return df.withColumn("reason", why)
+
+
+def read(lines: DataFrame) -> DataFrame:
+    """Every line with what it tells, and the reason why it is no reading (null if it is one).
+
+    A line is in view for seconds and is read again from frame to frame, so each distinct body is parsed once and joined back;
+    bodies are dealt out in as many parts as the session sets, as they are few bytes and much work. A stream's lines are parsed
+    as they come.
+    """
+    df = computed(lines, wall_s=text.clock_seconds(F.col("raw")), body=text.without_channels(text.after_clock(F.col("raw"))))
+    if lines.isStreaming:
+        df = told_bodies(df)
+    else:
+        parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        bodies = df.where("coalesce(wall_s, ft) is not null").select("body").distinct()
+        df = df.join(told_bodies(bodies.repartition(parts, "body")), "body", "left")
+    return df.withColumn("reason", F.when(F.col("raw").isNull(), "no text").when(F.coalesce("wall_s", "ft").isNull(), "no time").otherwise(F.col("reason")))
+
+
 def parsed(lines: DataFrame) -> DataFrame:
     """Readings of the lines that have a time, a number and a shape of the grammar; seq is the order of reading."""
-    wall = text.clock_seconds(F.col("raw"))
-    df = computed(lines, wall_s=wall, __body=text.without_channels(text.after_clock(F.col("raw"))))
-    df = computed(df.where("coalesce(wall_s, ft) is not null"), __found=text.amount_found(F.col("__body"))).where("__found is not null")
-    df = computed(df, amount=text.amount_in(F.col("__found")), __shape=shape(F.col("__body"))).where("amount is not null and __shape is not null")
-    df = told(df, "__body", "__shape").withColumn("flags", similarity.tags(F.col("__body")))
+    df = read(lines).where("reason is null")
     df = df.withColumn("t", F.coalesce("wall_s", F.col("ft"))).withColumn("exact", F.col("wall_s").isNotNull())
     seq = F.col("frame_no").cast("long") * 10_000_000 + F.col("pass") * 1_000_000 + F.col("line_no")
     return df.select("clip_id", seq.alias("seq"), "pass", "ft", "wall_s", "t", "exact", "kind", "dir", "who", "target", "fighter", "amount", "ability", "flags", "raw")
 
 
+def losses(lines: DataFrame, by: tuple[str, ...] = ("clip_id",)) -> DataFrame:
+    """(by, reason, lines): how many distinct lines of frames became readings (reason "read"), or why not; repeats of a frame's
+    line count as "repeated", so the numbers of a clip add up to all its lines."""
+    first = first_distinct(lines)
+    told_ = read(first).groupBy(*by, F.coalesce("reason", F.lit("read")).alias("reason")).agg(F.count("*").alias("lines"))
+    every = lines.groupBy(*by).agg(F.count("*").alias("n")).join(first.groupBy(*by).agg(F.count("*").alias("__m")), list(by))
+    return told_.unionByName(every.where("n > __m").select(*by, F.lit("repeated").alias("reason"), (F.col("n") - F.col("__m")).alias("lines")))
+
+
 def log_visible(lines: DataFrame, need: int = 3) -> DataFrame:
     """For each clip, whether its lines have the shape of combat often enough."""
     return lines.groupBy("clip_id").agg((F.count_if(text.is_combat_line(F.col("raw"))) >= need).alias("visible"))

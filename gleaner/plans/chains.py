@@ -52,11 +52,27 @@ def grammar_shapes(spark, sf_dir):
     return got.select(F.floor(F.col("seq") / 10_000_000).alias("event_id"), "exact", "t", "kind", "dir", "who", "target", "fighter", "amount", "ability", F.array_join("flags", ",").alias("tags"))
 
 
+def _with_gaps(spark, sf_dir):
+    """The lines of _numbered with some repeated in their frame, some without a time and some without text."""
+    log = _numbered(spark, sf_dir)
+    n = F.col("frame_no")
+    log = log.withColumn("raw", F.when(n % 7 == 0, F.lit(None)).when(n % 11 == 0, F.lit("[99:99:99 ")).when(n % 13 == 0, F.lit("You hit Bigilo for SSSSS")).otherwise(F.col("raw")))
+    log = log.withColumn("ft", F.when(n % 17 == 0, None).otherwise(F.col("ft")))
+    return log.unionByName(log.where(n % 3 == 0).withColumn("line_no", F.lit(1)).withColumn("raw", F.concat(F.lit(" "), "raw")))
+
+
+def line_losses(spark, sf_dir):
+    """What became of each clip's lines: readings, or the reason why not."""
+    return lines.losses(_with_gaps(spark, sf_dir))
+
+
 def _of(i: int) -> str:
     q = lambda v: "null" if v is None else "'" + v.replace("'", "''") + "'"
     return f"case event_id % {len(LINES)} " + " ".join(f"when {k} then {q(x[i])}" for k, x in enumerate(LINES)) + " end"
 
 
+#: Why each of LINES is no reading, where it never is.
+WHY = {13: "no amount", 14: "no shape", 15: "no shape"}
 _READ = f"case event_id % {len(LINES)} " + " ".join(f"when {k} then {x[1] or 'false'}" for k, x in enumerate(LINES)) + " end"
 
 
@@ -252,6 +268,10 @@ _LANGUAGE = "with recursive "
 SQL: dict[str, str] = {
     "grammar_shapes": f"""select event_id, event_id % 5 <> 0 exact, case when event_id % 5 = 0 then sec else {c._WALL} end t, {_of(2)} kind, {_of(3)} dir, {_of(4)} who, {_of(5)} target,
       case when {_of(3)} = 'in' then {_of(4)} else {_of(5)} end fighter, amount, {_of(6)} ability, {_of(7)} tags from {c.SQL_EVENTS} where {_READ}""",
+    "line_losses": f"""with x as (select *, event_id % 17 = 0 timeless, event_id % {len(LINES)} k from {c.SQL_EVENTS}),
+      y as (select clip_id, case when event_id % 7 = 0 then 'no text' when timeless and (event_id % 11 = 0 or event_id % 13 = 0 or event_id % 5 = 0) then 'no time' when event_id % 11 = 0 then 'empty' when event_id % 13 = 0 then 'unreadable amount'
+        when {_READ} then 'read' when k = 12 then 'unreadable amount' {" ".join(f"when k = {k} then '{why}'" for k, why in WHY.items())} end reason, 1 n from x union all select clip_id, 'repeated', 1 from x where event_id % 3 = 0)
+      select clip_id, reason, cast(sum(n) as bigint) "lines" from y group by all""",
     "settle_fold": f"""{_LANGUAGE}x as (select * from {SQL_COMPANY}), {_fold_sql("n", "(select * from x where fighter is not null)", "clip_id, kind, dir, fighter", "fighter <> 'Unknown'")},
       y as (select x.* exclude (amount), nr.amount from x join nr using (seq)), {_fold_sql("s", "y", "clip_id", "fighter = 'Unknown'")}
       select clip_id, seq, fighter, coalesce(sr.amount, x.amount) amount from x left join sr using (seq)""",
