@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from gleaner import schema
 from gleaner.config import Settings
 from gleaner.functions import similarity, text
 from gleaner.operators import clock, lines, names, prune, runs, settle
@@ -216,7 +215,7 @@ def written_envelopes(spark, sf_dir):
     df = staged(_fights(spark, sf_dir))
     sinks.write_envelopes(df, path)
     sinks.write_envelopes(df.where("clip_id like '%7'").withColumn("ocr", F.lit("again")), path)
-    got = spark.read.schema(f"{schema.ENVELOPE}, clip string").json(path).withColumn("name", text.stem(F.col("source")))
+    got = sinks.read_envelopes(spark, path).withColumn("name", text.stem(F.col("source")))
     hits = readers.hits_of(got).join(got.select("name", "ocr", "source_path", F.size("events").alias("n_events")), "name")
     return hits.select("name", "ocr", "source_path", "n_events", F.size("events").alias("n_hits"), F.aggregate("events", F.lit(0).cast("long"), lambda s, x: s + x["amount"]).alias("damage"))
 
@@ -227,7 +226,7 @@ def written_events(spark, sf_dir):
     e = c._told(spark, sf_dir).withColumn("seq", F.col("amount").cast("long")).select("clip_id", "t", "dir", "kind", "amount", "seq")
     sinks.write_events(e.withColumn("amount", F.lit(-1)), path)
     sinks.write_events(e, path)
-    return spark.read.schema("t double, dir string, kind string, amount int, seq long, clip_id string").parquet(path).groupBy("clip_id", "dir", "kind").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+    return spark.read.schema("t double, dir string, kind string, amount int, seq long, clip_id string, part int").parquet(path).groupBy("clip_id", "dir", "kind").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
 
 
 def peek_visible(spark, sf_dir):
@@ -252,7 +251,7 @@ def clock_labels(spark, sf_dir):
 
 def reader_lines(spark, sf_dir):
     """Lines that any reader of images finds, from the top and then from the left; where it fails there are none."""
-    d = c._table(spark, sf_dir, "documents").where("text is not null")
+    d = c._table(spark, sf_dir, "documents")
     images = d.select(F.lit("c").alias("clip_id"), F.col("doc_id").cast("int").alias("frame_no"), F.lit(0.0).alias("ft"), F.encode("text", "UTF-8").alias("content"))
 
     def reader(content: bytes):
@@ -264,6 +263,35 @@ def reader_lines(spark, sf_dir):
     return readers.read_frames(images, reader).select("frame_no", "line_no", F.md5("raw").alias("raw"))
 
 
+def reader_faults(spark, sf_dir):
+    """The frames that a reader fails on, and why."""
+    d = c._table(spark, sf_dir, "documents")
+    images = d.select(F.lit("c").alias("clip_id"), F.col("doc_id").cast("int").alias("frame_no"), F.lit(0.0).alias("ft"), F.encode("text", "UTF-8").alias("content"))
+
+    def reader(content: bytes):
+        if len(content) % 5 == 0:
+            raise ValueError(f"{len(content)} bytes")
+        return [(0.0, 0.0, "line")]
+
+    return readers.read_frames_told(images, reader).where("fault is not null").select("frame_no", F.regexp_extract("fault", "^(\\w+)", 1).alias("kind"), F.regexp_extract("fault", "^ValueError: (.*)$", 1).alias("said"))
+
+
+def sliced_frames(spark, sf_dir):
+    """Frames of pages as clips of a character for each tenth of a second, read slice by slice, cropped to three characters of five."""
+    p = c._table(spark, sf_dir, "pages").withColumn("html", F.coalesce("html", F.lit("")))
+    clips = p.select(F.col("page_id").cast("string").alias("clip_id"), (F.length("html") / 10).alias("duration"), F.encode("html", "UTF-8").alias("path"))
+
+    def opened(html, start, frames, fps, crop):
+        shown, step = bytes(html).decode(), int(10 / fps)
+        for i in range(frames):
+            at = round(start * 10) + i * step
+            if at < len(shown):
+                yield shown[at + crop[0] : min(at + step, at + crop[0] + crop[2])].encode()
+
+    got = readers.sampled_frames(clips, opened, 2.0, (1, 0, 3, 1))
+    return got.groupBy("clip_id").agg(F.count("*").alias("frames"), F.max("ft").alias("last"), F.count_distinct("frame_no").alias("distinct_frames"), F.max(F.md5("content")).alias("largest"))
+
+
 _LANGUAGE = "with recursive "
 SQL: dict[str, str] = {
     "grammar_shapes": f"""select event_id, event_id % 5 <> 0 exact, case when event_id % 5 = 0 then sec else {c._WALL} end t, {_of(2)} kind, {_of(3)} dir, {_of(4)} who, {_of(5)} target,
@@ -309,7 +337,11 @@ SQL: dict[str, str] = {
     "seen_between": f"""select clip_id, count(*) n, min(s) first, max(s) last from (select clip_id, floor(t % 86400) s, case when dir = 'in' then who else target end f from {c.SQL_TOLD}) where s between 20000 and 60000 and f <> 'errorer' group by 1""",
     "clock_labels": f"""select clip_id as name, strftime(max(ts), '%d %b, %H:%M') "when", cast(floor(max(sec % 5000) / 60) as bigint) || ':' || lpad(cast(cast(floor(max(sec % 5000) % 60) as bigint) as varchar), 2, '0') length, cast(count(*) as integer) events,
       cast(coalesce(sum(case when dir = 'out' then amount else -amount end) filter (kind = 'hit'), 0) as bigint) net from {c.SQL_EVENTS} group by 1""",
-    "reader_lines": """with d as (select doc_id, string_split(text, chr(10)) l from documents where text is not null and length(text) % 7 <> 0), x as (select doc_id, unnest(range(len(l))) i, unnest(l) raw from d)
+    "sliced_frames": """select cast(page_id as varchar) clip_id, count(*) frames, max(k / 2.0::double) as last, count(distinct k) distinct_frames, max(md5(substr(html, cast(5 * k + 2 as integer), 3))) largest
+      from (select page_id, html, unnest(range(cast(ceil(length(html) / 5.0) as bigint))) k from pages where html <> '') group by 1""",
+    "reader_faults": """select cast(doc_id as integer) frame_no, case when text is null then 'TypeError' else 'ValueError' end kind, case when text is null then '' else octet_length(encode(text)) || ' bytes' end said
+      from documents where text is null or octet_length(encode(text)) % 5 = 0""",
+    "reader_lines": """with d as (select doc_id, string_split(text, chr(10)) l from documents where length(text) % 7 <> 0), x as (select doc_id, unnest(range(len(l))) i, unnest(l) raw from d)
       select cast(doc_id as integer) frame_no, cast(row_number() over (partition by doc_id order by length(raw), i desc) - 1 as integer) line_no, md5(raw) raw from x""",
 }
 

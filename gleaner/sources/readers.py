@@ -13,6 +13,8 @@ from gleaner.functions.text import frame_time, is_combat_line, stem
 #: Segments of a clip, and the shortest clip that is cut.
 SEGMENT_SECONDS, MOST_SEGMENTS, LEAST_SECONDS = 10, 4, 20
 TAG_LINE = "##FILE"
+#: Slices that a task reads, where there are more of them than tasks.
+SLICES = 16
 
 
 def segments(clips: DataFrame, fps: float = 2.0) -> DataFrame:
@@ -31,8 +33,9 @@ def frames(spark: SparkSession, path: str, fps: float = 2.0) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("clip_id"), no.alias("frame_no"), frame_time(name, fps).alias("ft"), "content")
 
 
-def read_frames(images: DataFrame, reader: Callable[[bytes], list[tuple[float, float, str]]], pass_: int = 0) -> DataFrame:
-    """Lines of frames by any reader of images that gives (top, left, text); a frame that it fails on has none.
+def read_frames_told(images: DataFrame, reader: Callable[[bytes], list[tuple[float, float, str]]], pass_: int = 0) -> DataFrame:
+    """Lines of frames by any reader of images that gives (top, left, text), and column fault: a frame that it fails on is a row
+    without text that says why, one without lines has none.
 
     Lines are numbered from the top, those at one height from the left.
     """
@@ -42,13 +45,38 @@ def read_frames(images: DataFrame, reader: Callable[[bytes], list[tuple[float, f
             rows = []
             for clip, no, ft, content in zip(pdf["clip_id"], pdf["frame_no"], pdf["ft"], pdf["content"], strict=True):
                 try:
-                    found = sorted(reader(content))
-                except Exception:  # a reader may fail in any way, and the clip goes on
-                    found = []
-                rows += [(clip, no, ft, pass_, i, line) for i, (_, _, line) in enumerate(found)]
-            yield type(pdf)(rows, columns=["clip_id", "frame_no", "ft", "pass", "line_no", "raw"])
+                    rows += [(clip, no, ft, pass_, i, line, None) for i, (_, _, line) in enumerate(sorted(reader(content)))]
+                except Exception as e:  # a reader may fail in any way, and the clip goes on
+                    rows.append((clip, no, ft, pass_, 0, None, f"{type(e).__name__}: {e}"))
+            yield type(pdf)(rows, columns=["clip_id", "frame_no", "ft", "pass", "line_no", "raw", "fault"])
+
+    return images.select("clip_id", "frame_no", "ft", "content").mapInPandas(run, schema.OCR_LINES + ", fault string")
+
+
+def read_frames(images: DataFrame, reader: Callable[[bytes], list[tuple[float, float, str]]], pass_: int = 0) -> DataFrame:
+    """Lines of frames by any reader, without the faults."""
+    return read_frames_told(images, reader, pass_).where("fault is null").drop("fault")
+
+
+def sampled_frames(clips: DataFrame, opened: Callable, fps: float = 2.0, crop: tuple[int, int, int, int] | None = None, path: str = "path") -> DataFrame:
+    """Frames of clips, read slice by slice: clip_id, frame_no, ft, content.
+
+    The planned slices (segments) are rows that are dealt out, a few to a task where there are very many, and opened(path, start, frames, fps, crop) gives the
+    images of just the frames that are asked for; so a clip is read by several tasks, each of which reads its own stretch of it,
+    and neither other frames nor what lies outside of the crop is read. A slice's last frames may be missing where the clip ends.
+    """
+    planned = segments(clips, fps).join(clips.select("clip_id", F.col(path).alias("__path")), "clip_id")
+    planned = planned.select("clip_id", "__path", "first_frame", "frames", "start")
+    slices, parts = planned.count(), int(clips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = planned.repartition(max(1, min(slices, max(parts, slices // SLICES))), "clip_id", "first_frame")
+
+    def run(batches: Iterator):
+        for pdf in batches:
+            for clip, where, first, frames_, start in zip(*(pdf[c] for c in pdf.columns), strict=True):
+                rows = [(clip, int(first) + i, (int(first) + i - 1) / fps, image) for i, image in enumerate(opened(where, float(start), int(frames_), fps, crop))]
+                yield type(pdf)(rows, columns=["clip_id", "frame_no", "ft", "content"])
 
-    return images.select("clip_id", "frame_no", "ft", "content").mapInPandas(run, schema.OCR_LINES)
+    return each.mapInPandas(run, "clip_id string, frame_no int, ft double, content binary")
 
 
 def tagged_lines(spark: SparkSession, path: str, fps: float = 2.0, pass_: int = 0) -> DataFrame:
