@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import LOWER, chunks, fresh, mixed, numbered, own_columns, sliced, spans, stored, text_bytes, word_hashes
+from gleaner.llm.common import LOWER, chunks, fresh, mixed, numbered, own_columns, shared_dir, sliced, spans, stored, text_bytes, word_hashes
+from gleaner.sources import staging
 
 SHINGLE = 4
 SEED = 42
@@ -129,7 +130,7 @@ def forest(label: np.ndarray, u: np.ndarray, v: np.ndarray, far: np.ndarray) ->
         label = united(label, u[picked[-1]], v[picked[-1]])
 
 
-def nearest_of_each(u: np.ndarray, v: np.ndarray, far: np.ndarray, most: int = 8) -> np.ndarray:
+def nearest_of_each(u: np.ndarray, v: np.ndarray, far: np.ndarray, most: int = 3) -> np.ndarray:
     """The places of pairs that are among the nearest few of one of their two."""
     both, of = np.concatenate([u, v]), np.tile(np.arange(len(u)), 2)
     order = np.lexsort((far[of], both))
@@ -332,7 +333,7 @@ SURE = 24
 #: The least similarity of near copies.
 LEAST = 0.8
 #: The share of bits in which two equally long texts of similarity 0.8 are expected to agree, and the recall wanted of it.
-AGREE, RECALL = 1 - float(np.arccos(8 / 9) / np.pi), 0.99
+AGREE, RECALL = 1 - float(np.arccos(8 / 9) / np.pi), 0.98
 #: Fingerprints that a node below the top of a trie should hold.
 NODE_MEANT = 128
 _ODD = mixed(np.arange(301, 301 + NEAR_SHINGLE, dtype=np.uint64)) | np.uint64(1)
@@ -481,10 +482,9 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the linked pairs (fp, root, h, root_h) whose texts' sets of five-word shingles have a similarity of LEAST or more."""
-    ends = pairs.select("h").unionByName(pairs.select(F.col("root_h").alias("h"))).distinct()
-    texts = docs.select(text_hash().alias("h"), "text").join(ends, "h", "left_semi").dropDuplicates(["h"])
+def near_sets(docs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(h, codes): the distinct shingles of the texts that have these hashes (column h), as 32-bit codes."""
+    texts = docs.select(text_hash().alias("h"), "text").join(hashes, "h", "left_semi").dropDuplicates(["h"])
 
     def codes(batches):
         for batch in sliced(batches):
@@ -492,22 +492,44 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             sets = []
             for i, j in chunks(at):
                 code, row = near_shingles(buf[at[i] : at[j]], at[i : j + 1] - at[i])
+                code = (code >> np.uint64(32)).astype(np.uint32)
                 sets += [np.unique(x).tobytes() for x in np.split(code, np.searchsorted(row, np.arange(1, j - i)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["h", "codes"])
 
-    shingles = stored(texts.mapInArrow(codes, "h long, codes binary"))
+    return texts.mapInArrow(codes, "h long, codes binary")
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(fp, root, near): whether the texts of each pair (fp, root, h, root_h) have a similarity of LEAST or more."""
 
     def alike(batches):
         for batch in sliced(batches):
-            kept = []
+            near = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                x, y = np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(both >= LEAST * (len(x) + len(y) - both) - 1e-9)
-            yield batch.filter(pa.array(kept, pa.bool_())).select([0, 1])
+                near.append(both >= LEAST * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["fp", "root", "near"])
 
-    met = pairs.join(shingles.withColumnRenamed("codes", "a"), "h").join(shingles.select(F.col("h").alias("root_h"), F.col("codes").alias("b")), "root_h")
-    return met.select("fp", "root", "a", "b").mapInArrow(alike, "fp binary, root binary")
+    met = pairs.join(sets.withColumnRenamed("codes", "a"), "h").join(sets.select(F.col("h").alias("root_h"), F.col("codes").alias("b")), "root_h")
+    return met.select("fp", "root", "a", "b").mapInArrow(alike, "fp binary, root binary, near boolean")
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (fp, root) of texts whose sets of five-word shingles have a similarity of LEAST or more, which connect all that such
+    ones of the pairs (fp, root, h, root_h) connect.
+
+    In each group that the pairs make, all texts are compared with the one that has most pairs, which is linear in the group.
+    Only the pairs of a text that isn't a near copy of that one are compared one by one.
+    """
+    ends = stored(pairs.select("fp", "h").unionByName(pairs.select(F.col("root").alias("fp"), F.col("root_h").alias("h"))).groupBy("fp", "h").agg(F.count("*").alias("pairs")))
+    sets = stored(near_sets(docs, ends.select("h").distinct()))
+    group = ends.join(labelled(pairs).withColumnRenamed("root", "group"), "fp")
+    lead = group.groupBy("group").agg(F.max(F.struct("pairs", "fp", "h")).alias("x")).select("group", F.col("x.fp").alias("root"), F.col("x.h").alias("root_h"))
+    stars = stored(compared(group.join(lead, "group").where("fp <> root").select("fp", "root", "h", "root_h"), sets))
+    alone = stars.where("not near").select("fp")
+    rest = pairs.join(alone, "fp", "left_semi").unionByName(pairs.join(alone.withColumnRenamed("fp", "root"), "root", "left_semi").select(*pairs.columns)).distinct()
+    return stored(stars.where("near").select("fp", "root").unionByName(compared(rest, sets).where("near").select("fp", "root")))
 
 
 def survivors(docs: DataFrame) -> DataFrame:
@@ -524,15 +546,21 @@ def survivors(docs: DataFrame) -> DataFrame:
         for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), node_of(batch.column(1), batch.column(2))], ["doc_id", "fp"])
 
-    prints = stored(docs.select("doc_id", "text", text_hash()).mapInArrow(narrow, f"doc_id {dict(docs.dtypes)['doc_id']}, fp binary"))
-    distinct = stored(prints.select("fp").distinct())
-    label = labelled(verified(stored(near_links(distinct)), docs))
-    root = stored(distinct.join(label, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
-    ids = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"))).alias("s")).join(root, "fp")
-    kept = stored(ids.groupBy("root").agg(F.min(F.struct("s.n", "s.id", "fp")).alias("s")).select(F.col("s.id").alias(doc), F.col("s.fp").alias(fp)))
-    if prints.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        gone = stored(prints.select(F.col("doc_id").alias(doc)).join(kept.select(doc), doc, "left_anti"))  # far fewer than the kept
-        return docs.join(gone, F.col("doc_id") == F.col(doc), "left_anti").select(*names)
+    path = shared_dir(docs.sparkSession)
+    with staging.run(docs.sparkSession):  # what is stored on the way goes at its end; the outcome alone stays
+        prints = stored(docs.select("doc_id", "text", text_hash()).mapInArrow(narrow, f"doc_id {dict(docs.dtypes)['doc_id']}, fp binary"))
+        distinct = stored(prints.select("fp").distinct())
+        label = labelled(verified(stored(near_links(distinct)), docs))
+        root = stored(distinct.join(label, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+        ids = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"))).alias("s")).join(root, "fp")
+        kept = stored(ids.groupBy("root").agg(F.min(F.struct("s.n", "s.id", "fp")).alias("s")).select(F.col("s.id").alias(doc), F.col("s.fp").alias(fp)))
+        plain = prints.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+        if plain:
+            kept = prints.select(F.col("doc_id").alias(doc)).join(kept.select(doc), doc, "left_anti")  # those that go, which are far fewer
+        kept.write.parquet(path)
+        kept = docs.sparkSession.read.schema(kept.schema).parquet(path)
+    if plain:
+        return docs.join(kept, F.col("doc_id") == F.col(doc), "left_anti").select(*names)
     # doc_ids that are null or stand more than once: rows are told apart by their texts too
     mine, at = fresh(docs, "own"), docs.columns.index("text")
     wide = numbered(docs, text_hash(), F.lit(None).cast("binary"))
