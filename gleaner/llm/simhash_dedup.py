@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import LOWER, chunks, fresh, mixed, numbered, own_columns, shared_dir, sliced, spans, stored, text_bytes, word_hashes
+from gleaner.operators.scan import in_groups
 from gleaner.sources import staging
 
 SHINGLE = 4
@@ -130,24 +131,13 @@ def forest(label: np.ndarray, u: np.ndarray, v: np.ndarray, far: np.ndarray) ->
         label = united(label, u[picked[-1]], v[picked[-1]])
 
 
-def nearest_of_each(u: np.ndarray, v: np.ndarray, far: np.ndarray, most: int = 3) -> np.ndarray:
-    """The places of pairs that are among the nearest few of one of their two."""
-    both, of = np.concatenate([u, v]), np.tile(np.arange(len(u)), 2)
-    order = np.lexsort((far[of], both))
-    own = both[order]
-    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
-    nth = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
-    return np.unique(of[order[nth < most]])
-
-
 def walk(a: np.ndarray, b: np.ndarray | None, depth: int, dist: int, budget: int = BUDGET, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Each path's component from the walk below one level of a trie: the paths, and the root path of each.
 
     Without b, every node of that level is walked with itself, its paths being the sorted distinct a that share their first
     depth bits. With b, the one node of a is walked with the one node of b, whose first depth bits differ in dist places.
-    With wide, the whole fingerprints of the paths a, pairs of paths within budget are linked if these differ in REACH bits at most.
-    The result is then pairs to be verified: of those within SURE bits as many as link what they link; of others, between what is
-    not linked so, the nearest few of each path.
+    With wide, the whole fingerprints of the paths a and then b, pairs of paths within budget are linked if these differ in REACH
+    bits at most; paths may stand more than once. The result is then the places of pairs that link as much as all of them do.
     """
     picked = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     most = FRONTIER if wide is None else FRONTIER >> 4
@@ -171,6 +161,17 @@ def walk(a: np.ndarray, b: np.ndarray | None, depth: int, dist: int, budget: int
             stack += [(d, *(v[:half] for v in (alo, ahi, blo, bhi, far))), (d, *(v[half:] for v in (alo, ahi, blo, bhi, far)))]
             continue
         small = ((ahi - alo) * (bhi - blo) <= LEAF) | (d >= 64)
+        if d >= 64:  # equal paths: no more pairs at once than memory holds
+            many = ((ahi - alo) * (bhi - blo) > FRONTIER) & (ahi - alo > 1)
+            if many.any():
+                mid = (alo + ahi) // 2
+                stack += [(d, *(v[many] for v in (alo, mid, blo, bhi, far))), (d, *(v[many] for v in (mid, ahi, blo, bhi, far)))]
+            fits = ~many
+            later = fits & (np.cumsum(np.where(fits, (ahi - alo) * (bhi - blo), 0)) > 2 * FRONTIER)
+            if later.any() and (fits & ~later).any():
+                stack.append((d, *(v[later] for v in (alo, ahi, blo, bhi, far))))
+                fits &= ~later
+            alo, ahi, blo, bhi, far, small = (v[fits] for v in (alo, ahi, blo, bhi, far, small))
         if small.any():
             n, w = (ahi - alo)[small], (bhi - blo)[small]
             of = np.repeat(np.arange(len(n)), n * w)
@@ -180,16 +181,14 @@ def walk(a: np.ndarray, b: np.ndarray | None, depth: int, dist: int, budget: int
             if own:
                 near &= i < j
             if wide is not None:
-                i, j = i[near], j[near]
+                i, j = i[near], j[near] + base
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
                 far_ = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64)
                 near = far_ <= REACH
                 i, j, far_ = i[near], j[near], far_[near]
-                sure = far_ <= SURE
-                label, some = forest(label, i[sure], j[sure], far_[sure])
-                picked.append((i[sure][some], j[sure][some]))
-                open_ = ~sure & (label[i] != label[j])
-                some = nearest_of_each(i[open_], j[open_], far_[open_])
-                picked.append((i[open_][some], j[open_][some]))
+                label, some = forest(label, i, j, far_)
+                picked.append((i[some], j[some]))
             else:
                 label = united(label, i[near], j[near] + base)
         alo, ahi, blo, bhi, far = (v[~small] for v in (alo, ahi, blo, bhi, far))
@@ -328,8 +327,8 @@ def report(docs: DataFrame) -> DataFrame:
 NEAR_SHINGLE = 5
 WIDE_BITS = 256
 REACH, PATH_REACH = 60, 22
-#: Bits in which texts differ of which it is all but certain that they are near copies.
-SURE = 24
+#: Texts of a group, and bytes of their sets of shingles, that a task compares with as many others.
+BLOCK, BLOCK_BYTES = 2048, 1 << 24
 #: The least similarity of near copies.
 LEAST = 0.8
 #: The share of bits in which two equally long texts of similarity 0.8 are expected to agree, and the recall wanted of it.
@@ -411,8 +410,9 @@ def near_links(distinct: DataFrame, node: int = NODE) -> DataFrame:
     """(fp, root, h, root_h): pairs of texts that may be near copies, found in one of several tries, with the texts' hashes: as many
     as it takes to connect what can be connected, the nearest first.
 
-    A node that holds more than node fingerprints gives way to its children, 4 bits further down: members of so large a
-    group still meet many of its other members in every trie. Fingerprints of one path meet the first of them and the one before.
+    A node that holds more than node fingerprints first gives way to its children, 4 bits further down, which links the members of
+    a large group at once. Then its blocks of at most half of node meet each other, two in a task, but for those of what is linked
+    already; so no pair of a full node is left out.
     """
     top, bits_of = tries_for(distinct.count())
 
@@ -426,29 +426,69 @@ def near_links(distinct: DataFrame, node: int = NODE) -> DataFrame:
     paths = distinct.select("fp").mapInArrow(lay, "trie int, path long, fp binary")
     level = lambda df, depth: df.withColumn("depth", F.lit(depth)).withColumn("head", F.expr(f"shiftrightunsigned(path, {64 - depth})") if depth else F.lit(0).cast("long"))
     key, depth, done = ["trie", "depth", "head"], top, None
-    todo = level(paths, depth)  # paths are worked out again where they are used, which is cheaper than keeping them
+    todo = every = level(paths, depth)  # paths are worked out again where they are used, which is cheaper than keeping them
+    overfull = None
     while True:
         full = stored(todo.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > node).select(*key)) if depth < 64 else None
         fits = todo if full is None or full.isEmpty() else todo.join(full, key, "left_anti").select(*todo.columns)
         done = fits if done is None else done.unionByName(fits)
         if fits is todo:
             break
+        overfull = full if overfull is None else overfull
         depth = min(64, depth + 4)
         todo = level(todo.join(full, key, "left_semi").select("trie", "path", "fp"), depth)
-
-    def found(trie, depth, path, wide, hashes, raw):
-        """Links of whole nodes, which are sorted by trie, depth, and path."""
-        cut = np.flatnonzero(np.concatenate([[True], (trie[1:] != trie[:-1]) | (depth[1:] != depth[:-1])]))
+    if depth == 64 and overfull is not None:
+        done = done.where(F.col("depth") < 64)  # equal paths that are too many for a task meet in blocks alone
+    whole = done.select(*key, F.lit(0).alias("one"), F.lit(0).alias("other"), F.lit(0).alias("side"), "path", "fp")
+    found = _met(whole, node)
+    if overfull is None:
+        return found
+    found = stored(found)
+    return found.unionByName(_met(_block_pairs(every.join(overfull, key, "left_semi"), labelled(found), key, max(1, node // 2)), node)).distinct()
+
+
+def _block_pairs(rows: DataFrame, label: DataFrame, key: list[str], size: int) -> DataFrame:
+    """The rows of full nodes, once for each pair of blocks that they stand in: a block holds about size rows, and those of a large
+    linked group (label) stand in blocks of their own, which don't meet each other."""
+    none = F.lit(b"")
+    rows = stored(rows.join(label.withColumnRenamed("root", "group"), "fp", "left").withColumn("group", F.coalesce("group", none)))
+    large = rows.where(F.length("group") > 0).groupBy(*key, "group").count().where(F.col("count") > size).select(*key, "group", F.lit(True).alias("large"))
+    rows = rows.join(large, [*key, "group"], "left").withColumn("group", F.when(F.col("large"), F.col("group")).otherwise(none)).drop("large")
+    blocks = stored(rows.groupBy(*key, "group").agg(F.ceil(F.count("*") / size).cast("int").alias("n")))
+    rows = rows.join(blocks, [*key, "group"]).withColumn("nth", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")).drop("n")
+    spread = blocks.select(*key, "group", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("nth"))
+    spread = stored(spread.withColumn("block", F.xxhash64("group", "nth")))
+    second = spread.select(*key, F.col("group").alias("group_"), F.col("nth").alias("nth_"), F.col("block").alias("block_"))
+    pairs = spread.join(second, key).where("(group = group_ and group = X'' and nth <= nth_) or group < group_")
+    sides = pairs.select(*key, "group", "nth", F.col("block").alias("one"), F.col("block_").alias("other"), F.lit(0).alias("side"))
+    facing = pairs.where("block <> block_").select(*key, F.col("group_").alias("group"), F.col("nth_").alias("nth"), F.col("block").alias("one"), F.col("block_").alias("other"), F.lit(1).alias("side"))
+    met = rows.join(stored(sides.unionByName(facing)), [*key, "group", "nth"])
+    return met.select(*key, "one", "other", "side", "path", "fp")
+
+
+def _met(dealt: DataFrame, node: int) -> DataFrame:
+    """Links within each node (one = other), or between the two sides of each pair of blocks of a node."""
+    key = ["trie", "depth", "head", "one", "other"]
+
+    def found(rows: pa.Table):
+        """Links of whole nodes: those of one level of a trie are walked at once, pairs of blocks one by one."""
+        trie, depth, one, other, side = (rows[n].to_numpy() for n in ("trie", "depth", "one", "other", "side"))
+        head, path = rows["head"].to_numpy(), rows["path"].to_numpy().view(np.uint64)
+        order = np.lexsort((path, side, other, one, np.where(one == other, 0, head), depth, trie))
+        raw = rows["fp"].combine_chunks()
+        raw = (raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw).take(pa.array(order))
+        (wide, hashes), path = parts_of(raw), path[order]
+        trie, depth, head, one, other, side = (x[order] for x in (trie, depth, np.where(one == other, 0, head), one, other, side))
+        changes = np.logical_or.reduce([x[1:] != x[:-1] for x in (trie, depth, head, one, other)])
+        cut = np.flatnonzero(np.concatenate([[True], changes]))
         for lo, hi in zip(cut, np.append(cut[1:], len(trie))):
-            a, w = path[lo:hi], wide[lo:hi]
-            new = np.concatenate([[True], a[1:] != a[:-1]])
-            first = np.flatnonzero(new)
-            x = np.flatnonzero(~new)
-            u, v = np.concatenate([x, x]), np.concatenate([first[np.cumsum(new) - 1][x], x - 1])
-            near = np.bitwise_count(w[u] ^ w[v]).sum(1, dtype=np.int64) <= REACH
-            i, j = walk(a[first], None, int(depth[lo]), 0, PATH_REACH, w[first])
-            u, v = np.concatenate([u[near], first[i]]) + lo, np.concatenate([v[near], first[j]]) + lo
+            mid = lo + int(np.searchsorted(side[lo:hi], 1)) if one[lo] != other[lo] else hi
+            if mid in (lo, hi) and one[lo] != other[lo]:
+                continue
+            second = None if mid == hi else path[mid:hi]
+            u, v = walk(path[lo:mid], second, int(depth[lo]), 0, PATH_REACH, wide[lo:hi])
             if len(u):
+                u, v = u + lo, v + lo
                 yield pa.RecordBatch.from_arrays([raw.take(pa.array(u)), raw.take(pa.array(v)), pa.array(hashes[u]), pa.array(hashes[v])], ["fp", "root", "h", "root_h"])
 
     def join(batches):
@@ -461,21 +501,12 @@ def near_links(distinct: DataFrame, node: int = NODE) -> DataFrame:
                 same = np.logical_and.reduce([c == c[-1] for c in columns])
                 cut = int(np.argmax(same))  # the last node may go on
                 if cut:
-                    yield from told(whole.slice(0, cut))
+                    yield from found(whole.slice(0, cut))
                 held = whole.slice(cut).to_batches()
         if held:
-            yield from told(pa.Table.from_batches(held))
+            yield from found(pa.Table.from_batches(held))
 
-    def told(rows: pa.Table):
-        raw = rows["fp"].combine_chunks()
-        raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
-        path = rows["path"].to_numpy().view(np.uint64)
-        order = np.lexsort((path, rows["depth"].to_numpy(), rows["trie"].to_numpy()))
-        raw = raw.take(pa.array(order))
-        yield from found(rows["trie"].to_numpy()[order], rows["depth"].to_numpy()[order], path[order], *parts_of(raw), raw)
-
-    dealt = done.select(*key, "path", "fp").repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(join, "fp binary, root binary, h long, root_h long").distinct()
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(join, "fp binary, root binary, h long, root_h long").distinct()
 
 
 def text_hash() -> Column:
@@ -499,37 +530,92 @@ def near_sets(docs: DataFrame, hashes: DataFrame) -> DataFrame:
     return texts.mapInArrow(codes, "h long, codes binary")
 
 
+def _alike(a: pa.Scalar, b: pa.Scalar) -> bool:
+    """Whether two sets of codes have a similarity of LEAST or more."""
+    x, y = np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= LEAST * (len(x) + len(y) - both) - 1e-9
+
+
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(fp, root, near): whether the texts of each pair (fp, root, h, root_h) have a similarity of LEAST or more."""
 
     def alike(batches):
         for batch in sliced(batches):
-            near = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= LEAST * (len(x) + len(y) - both) - 1e-9)
+            near = [_alike(a, b) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["fp", "root", "near"])
 
     met = pairs.join(sets.withColumnRenamed("codes", "a"), "h").join(sets.select(F.col("h").alias("root_h"), F.col("codes").alias("b")), "root_h")
     return met.select("fp", "root", "a", "b").mapInArrow(alike, "fp binary, root binary, near boolean")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (fp, root) of texts whose sets of five-word shingles have a similarity of LEAST or more, which connect all that such
-    ones of the pairs (fp, root, h, root_h) connect.
+    ones within REACH bits connect in each group that the pairs (fp, root, h, root_h) make.
 
-    In each group that the pairs make, all texts are compared with the one that has most pairs, which is linear in the group.
-    Only the pairs of a text that isn't a near copy of that one are compared one by one.
+    All texts of a group are compared with the one that has most pairs, which is linear in the group. A text that is no near copy
+    of that one then meets all others, in blocks of a bounded number of texts and bytes, two in a task.
     """
     ends = stored(pairs.select("fp", "h").unionByName(pairs.select(F.col("root").alias("fp"), F.col("root_h").alias("h"))).groupBy("fp", "h").agg(F.count("*").alias("pairs")))
     sets = stored(near_sets(docs, ends.select("h").distinct()))
-    group = ends.join(labelled(pairs).withColumnRenamed("root", "group"), "fp")
+    group = stored(ends.join(labelled(pairs).withColumnRenamed("root", "group"), "fp"))
     lead = group.groupBy("group").agg(F.max(F.struct("pairs", "fp", "h")).alias("x")).select("group", F.col("x.fp").alias("root"), F.col("x.h").alias("root_h"))
     stars = stored(compared(group.join(lead, "group").where("fp <> root").select("fp", "root", "h", "root_h"), sets))
-    alone = stars.where("not near").select("fp")
-    rest = pairs.join(alone, "fp", "left_semi").unionByName(pairs.join(alone.withColumnRenamed("fp", "root"), "root", "left_semi").select(*pairs.columns)).distinct()
-    return stored(stars.where("near").select("fp", "root").unionByName(compared(rest, sets).where("near").select("fp", "root")))
+    links = stars.where("near").select("fp", "root")
+    # a group of two has been compared as a whole
+    alone = group.join(stars.where("not near").select("fp", F.lit(True).alias("alone")), "fp", "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
+    size = alone.groupBy("group").agg(F.count("*").alias("n"), F.count_if("alone").alias("a")).where("a > 0 and n > 2").select("group")
+    rows = stored(alone.join(size, "group").select("group", "alone", "fp", "h").join(sets, "h").drop("h"))
+    of = rows.groupBy("group").agg(*[F.greatest(F.lit(1), F.ceil(F.count_if(x) / block), F.ceil(F.sum(F.when(x, F.length("codes")).otherwise(0)) / BLOCK_BYTES)).cast("int").alias(n) for x, n in ((F.col("alone"), "a"), (~F.col("alone"), "s"))])
+    of = stored(of.withColumn("one", (F.col("a") == 1) & (F.col("s") == 1)))
+    rows = rows.join(of, "group").withColumn("nth", F.when(F.col("one"), 0).when(F.col("alone"), F.pmod(F.xxhash64("fp"), F.col("a"))).otherwise(F.col("a") + F.pmod(F.xxhash64("fp"), F.col("s"))).cast("int"))
+    # blocks of those alone meet themselves and all blocks after them, others only those
+    every = F.sequence(F.lit(0), F.when(F.col("one"), 0).otherwise(F.col("a") + F.col("s") - 1))
+    facing = F.when(F.col("nth") < F.col("a"), every).otherwise(F.sequence(F.lit(0), F.col("a") - 1))
+    met = rows.withColumn("facing", F.explode(facing)).withColumn("side", (F.col("nth") > F.col("facing")).cast("int"))
+    met = met.select("fp", "codes", "alone", "side", "group", F.least("nth", "facing").alias("i"), F.greatest("nth", "facing").alias("j"))
+    rest = in_groups(met, ["group", "i", "j"], ["side"], lambda table, cuts: _blocks_linked(table, cuts), "fp binary, root binary")
+    return stored(links.unionByName(rest))
+
+
+def _blocks_linked(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+    """Links of near copies within REACH bits, of each pair of blocks as many as connect them; those not alone are one already."""
+    fp, codes = (rows[n].combine_chunks() for n in ("fp", "codes"))
+    fp, codes = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (fp, codes))
+    wide, alone, side, i_, j_ = parts_of(fp)[0], *(rows[n].to_numpy() for n in ("alone", "side", "i", "j"))
+    size = np.fromiter((len(c.as_buffer()) // 4 for c in codes), np.int64, len(codes))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        own, n = i_[lo] == j_[lo], hi - lo
+        w, single, label = wide[lo:hi], alone[lo:hi], np.arange(n)
+        if (~single).any():
+            label[~single] = np.flatnonzero(~single)[0]
+        split = n if own else int(np.searchsorted(side[lo:hi], 1))
+        many = size[lo:hi]
+        for first in range(0, split, 128):  # a strip of rows at a time
+            a = np.arange(first, min(first + 128, split))
+            b = np.arange(first, n) if own else np.arange(split, n)
+            far = np.zeros((len(a), len(b)), np.int64)
+            for k in range(w.shape[1]):
+                far += np.bitwise_count(w[a, k][:, None] ^ w[b, k][None])
+            near = (far <= REACH) & (label[a][:, None] != label[b][None])
+            near &= np.minimum(many[a][:, None], many[b][None]) >= LEAST * np.maximum(many[a][:, None], many[b][None]) - 1e-9
+            if own:
+                near &= a[:, None] < b[None]
+            x, y = np.nonzero(near)
+            order = np.argsort(far[x, y], kind="stable")
+            x, y = a[x[order]], b[y[order]]
+            while len(x):  # a few at a time, as each link spares others
+                apart = label[x] != label[y]
+                x, y = x[apart], y[apart]
+                like = np.array([_alike(codes[lo + p], codes[lo + q]) for p, q in zip(x[:64].tolist(), y[:64].tolist())], bool)
+                u, v = x[:64][like], y[:64][like]
+                x, y = x[64:], y[64:]
+                if len(u):
+                    out.append((u + lo, v + lo))
+                    label = united(label, u, v)
+    u, v = (pa.array(np.concatenate([p[k] for p in out])) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([fp.take(u), fp.take(v)], ["fp", "root"])
 
 
 def survivors(docs: DataFrame) -> DataFrame:

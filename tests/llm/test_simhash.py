@@ -126,6 +126,67 @@ def test_near_copies_are_found_and_others_are_left(spark, words, node, monkeypat
         assert set(range(300)) <= kept and len(kept) <= 300 + 0.03 * 440
 
 
+def test_a_full_node_leaves_out_no_pair(spark, words):
+    """One trie, whose node is cut into many: what is linked is what one whole node links."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(90)]
+    for i in range(90):  # pairs, and a group in which others than the nearest link
+        for _ in range(1 if i % 3 else 2):
+            t = texts[i].split()
+            t[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(t))
+    for i in range(60):
+        t = texts[0].split()
+        for _ in range(rng.randrange(8)):
+            t[rng.randrange(60)] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    assert sd.tries_for(len(texts))[0] <= 1
+    raw = sd.node_of(pa.array(texts), pa.array(range(len(texts))))
+    wide, many = sd.parts_of(raw)[0], len(texts)
+    path = np.packbits(np.unpackbits(wide.view(np.uint8), axis=1)[:, sd.tries_for(many)[1][0]], axis=1)
+    near = lambda x, most: np.bitwise_count(x[:, None] ^ x[None]).sum(2, dtype=np.int64) <= most
+    linked = near(wide, sd.REACH) & near(path, sd.PATH_REACH)
+    label = sd.united(np.arange(many), *np.nonzero(linked))
+    for node in (12, 100, 20_000):
+        root = {bytes(r.fp): bytes(r.root) for r in sd.labelled(sd.near_links(spark.createDataFrame([(x,) for x in raw.to_pylist()], "fp binary"), node)).collect()}
+        of = [root.get(x, x) for x in raw.to_pylist()]
+        assert len(set(zip(of, label.tolist()))) == len(set(of)) == len(set(label.tolist())), node
+
+
+@pytest.mark.parametrize("block", [2048, 20])
+def test_verified_links_connect_all_that_is_near(spark, words, block):
+    """Texts of one group around the threshold, of which many are no near copy of the one that has most pairs."""
+    import random
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    base = [rng.choice(words) for _ in range(100)]
+    texts = [" ".join(base)]
+    for _ in range(119):
+        t = rng.choice(texts).split()
+        for _ in range(rng.randrange(1, 6)):
+            t[rng.randrange(100)] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashes = [r.h for r in docs.select("doc_id", sd.text_hash().alias("h")).orderBy("doc_id").collect()]
+    raw = sd.node_of(pa.array(texts), pa.array(hashes)).to_pylist()
+    pairs = spark.createDataFrame([(raw[i], raw[0], hashes[i], hashes[0]) for i in range(1, len(raw))], "fp binary, root binary, h long, root_h long")
+    root = {bytes(r.fp): bytes(r.root) for r in sd.labelled(sd.verified(pairs, docs, block)).collect()}
+    wide, sets = sd.parts_of(pa.array(raw))[0], [near_shingles(t) for t in texts]
+    u, v = np.nonzero(np.bitwise_count(wide[:, None] ^ wide[None]).sum(2, dtype=np.int64) <= sd.REACH)
+    like = np.array([len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in zip(u, v)])
+    label = sd.united(np.arange(len(raw)), u[like], v[like])
+    of = [root.get(x, x) for x in raw]
+    assert len(set(label.tolist())) > 3
+    assert len(set(zip(of, label.tolist()))) == len(set(of)) == len(set(label.tolist()))
+
+
 def test_no_document_goes_without_a_verified_link(spark):
     """Texts around the threshold: each that goes is connected with the one that stays by links of 0.8 or more."""
     import random
