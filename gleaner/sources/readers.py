@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,16 +14,19 @@ from gleaner.functions.text import frame_time, is_combat_line, stem
 #: Segments of a clip, and the shortest clip that is cut.
 SEGMENT_SECONDS, MOST_SEGMENTS, LEAST_SECONDS = 10, 4, 20
 TAG_LINE = "##FILE"
-#: Slices that a task reads, where there are more of them than tasks.
-SLICES = 16
+#: Slices that a task reads one after the other, where there are more of them than tasks.
+SLICES = 4096
+#: Images that a reader's task holds at once; frames, and bytes of them, that go on together.
+IMAGES, TOGETHER, TOGETHER_BYTES = 64, 4096, 1 << 22
 
 
-def segments(clips: DataFrame, fps: float = 2.0) -> DataFrame:
-    """The time segments in which a clip is read: clip_id, segment, first_frame, frames; numbers go on across segments."""
+def segments(clips: DataFrame, fps: float = 2.0, *more: str) -> DataFrame:
+    """The time segments in which a clip is read: clip_id, segment, first_frame, frames, and more of the clip's columns; numbers go
+    on across segments."""
     n = F.when(F.col("duration") >= LEAST_SECONDS, F.least(F.greatest(F.floor(F.col("duration") / SEGMENT_SECONDS), F.lit(1)), F.lit(MOST_SEGMENTS))).otherwise(F.lit(1)).cast("int")
     df = clips.withColumn("__n", n).withColumn("frames", F.ceil(F.col("duration") * fps / F.col("__n")).cast("int"))
-    df = df.select("clip_id", "frames", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("segment"))
-    return df.select("clip_id", "segment", (F.col("segment") * F.col("frames") + 1).alias("first_frame"), "frames", (F.col("segment") * F.col("frames") / F.lit(float(fps))).alias("start"))
+    df = df.select("clip_id", "frames", *more, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("segment"))
+    return df.select("clip_id", "segment", (F.col("segment") * F.col("frames") + 1).alias("first_frame"), "frames", (F.col("segment") * F.col("frames") / F.lit(float(fps))).alias("start"), *more)
 
 
 def frames(spark: SparkSession, path: str, fps: float = 2.0) -> DataFrame:
@@ -40,17 +44,26 @@ def read_frames_told(images: DataFrame, reader: Callable[[bytes], list[tuple[flo
     Lines are numbered from the top, those at one height from the left.
     """
 
-    def run(batches: Iterator):
-        for pdf in batches:
-            rows = []
-            for clip, no, ft, content in zip(pdf["clip_id"], pdf["frame_no"], pdf["ft"], pdf["content"], strict=True):
-                try:
-                    rows += [(clip, no, ft, pass_, i, line, None) for i, (_, _, line) in enumerate(sorted(reader(content)))]
-                except Exception as e:  # a reader may fail in any way, and the clip goes on
-                    rows.append((clip, no, ft, pass_, 0, None, f"{type(e).__name__}: {e}"))
-            yield type(pdf)(rows, columns=["clip_id", "frame_no", "ft", "pass", "line_no", "raw", "fault"])
+    names = ["clip_id", "frame_no", "ft", "pass", "line_no", "raw", "fault"]
+    types = pa.schema([(n, t) for n, t in zip(names, (pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)])
 
-    return images.select("clip_id", "frame_no", "ft", "content").mapInPandas(run, schema.OCR_LINES + ", fault string")
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for at in range(0, batch.num_rows, IMAGES):
+                rows = []
+                for clip, no, ft, content in zip(*(c.to_pylist() for c in batch.slice(at, IMAGES).columns), strict=True):
+                    try:
+                        rows += [(clip, no, ft, pass_, i, line, None) for i, (_, _, line) in enumerate(sorted(reader(content)))]
+                    except Exception as e:  # a reader may fail in any way, and the clip goes on
+                        rows.append((clip, no, ft, pass_, 0, None, f"{type(e).__name__}: {e}"))
+                yield _batch(rows, types)
+
+    return images.select("clip_id", F.col("frame_no").cast("int"), F.col("ft").cast("double"), "content").mapInArrow(run, schema.OCR_LINES + ", fault string")
+
+
+def _batch(rows: list[tuple], types: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, types, strict=True)], schema=types)
 
 
 def read_frames(images: DataFrame, reader: Callable[[bytes], list[tuple[float, float, str]]], pass_: int = 0) -> DataFrame:
@@ -65,18 +78,27 @@ def sampled_frames(clips: DataFrame, opened: Callable, fps: float = 2.0, crop: t
     images of just the frames that are asked for; so a clip is read by several tasks, each of which reads its own stretch of it,
     and neither other frames nor what lies outside of the crop is read. A slice's last frames may be missing where the clip ends.
     """
-    planned = segments(clips, fps).join(clips.select("clip_id", F.col(path).alias("__path")), "clip_id")
-    planned = planned.select("clip_id", "__path", "first_frame", "frames", "start")
+    planned = segments(clips.withColumn("__path", F.col(path)), fps, "__path").select(F.col("clip_id").cast("string"), "__path", "first_frame", "frames", "start")
     slices, parts = planned.count(), int(clips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = planned.repartition(max(1, min(slices, max(parts, slices // SLICES))), "clip_id", "first_frame")
 
-    def run(batches: Iterator):
-        for pdf in batches:
-            for clip, where, first, frames_, start in zip(*(pdf[c] for c in pdf.columns), strict=True):
-                rows = [(clip, int(first) + i, (int(first) + i - 1) / fps, image) for i, image in enumerate(opened(where, float(start), int(frames_), fps, crop))]
-                yield type(pdf)(rows, columns=["clip_id", "frame_no", "ft", "content"])
-
-    return each.mapInPandas(run, "clip_id string, frame_no int, ft double, content binary")
+    types = pa.schema([("clip_id", pa.string()), ("frame_no", pa.int32()), ("ft", pa.float64()), ("content", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        rows, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, IMAGES):
+                for clip, where, first, frames_, start in zip(*(c.to_pylist() for c in batch.slice(at, IMAGES).columns), strict=True):
+                    for i, image in enumerate(opened(where, float(start), int(frames_), fps, crop)):
+                        rows.append((clip, int(first) + i, (int(first) + i - 1) / fps, image))
+                        size += len(image or b"")
+                        if len(rows) >= TOGETHER or size >= TOGETHER_BYTES:
+                            yield _batch(rows, types)
+                            rows, size = [], 0
+        if rows:
+            yield _batch(rows, types)
+
+    return each.mapInArrow(run, "clip_id string, frame_no int, ft double, content binary")
 
 
 def tagged_lines(spark: SparkSession, path: str, fps: float = 2.0, pass_: int = 0) -> DataFrame:

@@ -76,3 +76,12 @@ def test_what_became_of_lines_adds_up(spark):
     got = {r.reason: r["lines"] for r in lines.losses(df).collect()}
     assert got == {"read": 1, "repeated": 1, "no text": 1, "no time": 1, "empty": 2, "unreadable amount": 1, "no shape": 1, "no amount": 1}
     assert lines.parsed(lines.first_distinct(df)).count() == 1
+
+
+def test_many_slices_are_few_tasks(spark):
+    """Tasks grow in what they read one after the other, not in number with the slices; a slice's frames go on a bounded number at once."""
+    clips = spark.range(400).selectExpr("cast(id as string) clip_id", "'x' path", "40.0D + if(id = 7, 20000.0D, 0.0D) duration")
+    got = readers.sampled_frames(clips, lambda path, start, frames, fps, crop: (b"" for _ in range(frames)), 2.0)
+    assert got.rdd.getNumPartitions() <= 4
+    n = {r.clip_id: (r.n, r.d, r.last) for r in got.groupBy("clip_id").agg(F.count("*").alias("n"), F.count_distinct("frame_no").alias("d"), F.max("ft").alias("last")).collect()}
+    assert n == {str(i): (80, 80, 39.5) if i != 7 else (40080, 40080, 20039.5) for i in range(400)}
