@@ -15,6 +15,12 @@ from gleaner.sources.staging import staged
 COMPANY = ["clip_id", "kind", "dir", "fighter"]
 #: How many times as long as the reach of settling a stretch of time is that one group holds.
 REACHES = 50
+DIGITS = "0123456789"
+
+
+def bare() -> Column:
+    """Whether a row has no tag."""
+    return F.coalesce(F.size("flags"), F.lit(0)) == 0
 
 
 def _fair(amount: Column, n: Column, flags: Column, other: Column, m: Column) -> Column:
@@ -47,9 +53,9 @@ def settled_by_join(readings: DataFrame, visible: float = 12.0, company: list[st
     return out.select(*readings.columns)
 
 
-def near_numbers(number: Column) -> Column:
-    """All digit strings one glyph off a number's: one digit less, more, or other (not of a number of one digit)."""
-    n, digits = F.length(number), F.array(*[F.lit(str(d)) for d in range(10)])
+def near_numbers(number: Column, glyphs: str = DIGITS) -> Column:
+    """All strings of glyphs one off a number's: one less, more, or other (not of a number of one digit)."""
+    n, digits = F.length(number), F.array(*[F.lit(d) for d in glyphs])
     at = F.sequence(F.lit(1), n)
     without = lambda i: F.concat(F.left(number, i - 1), F.substr(number, i + 1))
     less = F.filter(F.transform(at, without), lambda x: x != "")
@@ -58,11 +64,20 @@ def near_numbers(number: Column) -> Column:
     return F.array_except(F.concat(less, more, other), F.array(number))
 
 
-def chances(readings: DataFrame, by: list[str]) -> DataFrame:
-    """(by, amount, __n, __chances): how often each amount was read, and the amounts that a row of it may yield to, as (m, other)."""
-    tally = staged(readings.groupBy(*by, "amount").agg(F.count("*").alias("__n")).withColumn("__s", F.col("amount").cast("string")))
-    once = tally.where("__n = 1").withColumn("__o", F.explode(near_numbers(F.col("__s"))))
-    often = tally.where("__n > 1 and length(__s) > 1").withColumn("__o", F.expr("left(__s, length(__s) - 1)"))
+def chances(readings: DataFrame, by: list[str], mine: Column | None = None, glyphs: str = DIGITS) -> DataFrame:
+    """(by, amount, __n, __chances): how often each amount was read, and the amounts that a row of it may yield to, as (m, other).
+
+    With mine, which tells the rows to settle, amounts that no such row may leave are left out.
+    """
+    mine = F.lit(True) if mine is None else F.coalesce(mine, F.lit(False))
+    tally = readings.groupBy(*by, "amount").agg(F.count("*").alias("__n"), F.max(mine).alias("__any"), F.max(mine & bare()).alias("__bare"))
+    tally = staged(tally.withColumn("__s", F.col("amount").cast("string")))
+    # numbers are few beside the rows that hold them, so their neighbours are worked out once
+    once = tally.where("__n = 1 and __any")
+    near = once.select("__s").distinct().withColumn("__o", F.explode(near_numbers(F.col("__s"), glyphs)))
+    near = staged(near.join(tally.where("__n > 1").select(F.col("__s").alias("__o")).distinct(), "__o", "left_semi"))
+    once = once.join(near, "__s").select(*tally.columns, "__o")
+    often = tally.where("__n > 1 and __bare and length(__s) > 1").withColumn("__o", F.expr("left(__s, length(__s) - 1)"))
     to = tally.where("__n > 1").select(*by, F.col("__s").alias("__o"), F.col("__n").alias("__m"), F.col("amount").alias("__other"))
     met = once.unionByName(often).join(to, [*by, "__o"]).where((F.col("__n") == 1) | (F.col("__m") >= 2 * F.col("__n") + 1))
     # a number has a few dozen neighbours at most
@@ -92,57 +107,68 @@ def _fold(rows: pa.Table, cuts: np.ndarray, visible: float) -> pa.RecordBatch:
                 value[i] = value[max(fit.tolist(), key=lambda k: (votes[int(value[k])], -k))]
             out.append(lo + i)
     at = np.array(out, np.int64)
-    return pa.RecordBatch.from_arrays([rows["by"].combine_chunks().take(pa.array(at)), pa.array(seq[at]), pa.array(current[at])], ["by", "seq", "now"])
+    return pa.RecordBatch.from_arrays([rows["by"].combine_chunks().take(pa.array(at)), pa.array(seq[at]), pa.array(amount[at]), pa.array(current[at])], ["by", "seq", "amount", "now"])
 
 
-def step(df: DataFrame, by: list[str], mine: Column, visible: float, reaches: int = REACHES) -> DataFrame:
-    """Rows of the groups of by with amounts settled one after the other; mine tells the rows to settle.
+def changes(df: DataFrame, by: list[str], mine: Column, visible: float, reaches: int = REACHES) -> DataFrame:
+    """(by, seq, now): the rows of the groups of by that settle to another amount, one after the other; mine tells the rows to settle.
 
     What a row may become depends on how often each amount was read, and on the rows near it in time as they stand by then. So
     time is cut into stretches, of which each also sees the rows within reach of its ends, with what these have become in their
     own stretch; a stretch is settled again where that has changed. As a row depends on rows before it alone, this ends with what
-    one fold over all would give, mostly after two rounds, and no group holds more than a stretch.
+    one fold over all would give, mostly after two rounds, and no group holds more than a stretch. Only rows whose amount may
+    yield, or may be yielded to, travel, and from round to round those that have changed.
     """
     width = reaches * visible
-    rows = df.join(chances(df, by), [*by, "amount"], "left")
-    bare = F.coalesce(F.size("flags"), F.lit(0)) == 0
-    rows = rows.select(
-        F.to_json(F.struct(*by)).alias("by"), "seq", F.col("t").cast("double").alias("t"), F.col("amount").cast("long").alias("amount"),
-        F.when(F.coalesce(mine, F.lit(False)) & ((F.col("__n") == 1) | bare), F.col("__chances")).alias("chances"), F.floor(F.col("t") / width).alias("cell"),
+    met = staged(chances(df, by, mine))
+    others = met.select(*by, F.explode("__chances.__other").alias("amount")).withColumn("amount", F.col("amount").cast(df.schema["amount"].dataType))
+    listed = met.unionByName(others, allowMissingColumns=True).groupBy(*by, "amount").agg(F.max("__n").alias("__n"), F.first("__chances", ignorenulls=True).alias("__chances"))
+    rows = df.where("amount is not null and t is not null").select(*by, "seq", F.col("t").cast("double").alias("t"), "amount", F.coalesce(mine, F.lit(False)).alias("__mine"), bare().alias("__bare"))
+    rows = rows.join(listed, [*by, "amount"]).select(
+        F.to_json(F.array(*[F.col(c).cast("string") for c in by])).alias("by"), "seq", "t", F.col("amount").cast("long").alias("amount"),
+        F.when(F.expr("__mine and (__n = 1 or __bare)"), F.col("__chances")).alias("chances"), F.floor(F.col("t") / width).alias("cell"),
     )
-    rows = staged(rows.where("amount is not null and t is not null"))
-    open_ = rows.where("chances is not null").select("by", "cell").distinct()
+    rows = staged(rows)
     touched = F.array_distinct(F.array(*[F.floor((F.col("t") + d) / width) for d in (0.0, -visible - 1e-6, visible + 1e-6)]))
-    seen = rows.withColumn("__home", F.col("cell")).withColumn("cell", F.explode(touched)).join(open_, ["by", "cell"], "left_semi")
-    seen = staged(seen.withColumn("own", F.col("cell") == F.col("__home")).drop("__home"))
+    seen = rows.withColumn("__home", F.col("cell")).withColumn("cell", F.explode(touched)).withColumn("own", F.col("cell") == F.col("__home")).drop("__home")
 
     def folded(cells: DataFrame, now: DataFrame | None) -> DataFrame:
+        """The rows to settle of these stretches, with what they were read as and have become."""
         given = cells.withColumn("now", F.lit(None).cast("double")) if now is None else cells.join(now.select("by", "seq", F.col("now").cast("double").alias("now")), ["by", "seq"], "left")
-        given = given.select("by", "seq", "t", "amount", F.when(~F.col("own"), F.col("now")).alias("now"), "own", F.coalesce("chances", F.array().cast(seen.schema["chances"].dataType)).alias("chances"), "cell")
-        return in_groups(given, ["by", "cell"], ["seq"], lambda table, cuts: _fold(table, cuts, visible), f"by string, seq {dict(seen.dtypes)['seq']}, now long")
+        given = given.select("by", "seq", "t", "amount", F.when(~F.col("own"), F.col("now")).alias("now"), "own", F.coalesce("chances", F.array().cast(rows.schema["chances"].dataType)).alias("chances"), "cell")
+        return in_groups(given, ["by", "cell"], ["seq"], lambda table, cuts: _fold(table, cuts, visible), f"by string, seq {dict(rows.dtypes)['seq']}, amount long, now long")
 
-    now = staged(folded(seen, None))
-    before = rows.select("by", "seq", F.col("amount").alias("was"))
+    now = staged(folded(seen, None).where("now <> amount"))
+    changed = now.select("by", "seq")
     while True:
-        changed = now.join(before, ["by", "seq"]).where("now <> was").select("by", "seq")
-        again = seen.where("not own").join(changed, ["by", "seq"], "left_semi").select("by", "cell").distinct()
-        again = staged(again)
+        again = staged(seen.where("not own").join(changed, ["by", "seq"], "left_semi").select("by", "cell").distinct())
         if again.isEmpty():
             break
         cells = staged(folded(seen.join(again, ["by", "cell"], "left_semi"), now))
-        before = now.select("by", "seq", F.col("now").alias("was"))
-        now = staged(now.join(cells, ["by", "seq"], "left_anti").unionByName(cells))
-    better = now.join(rows.select("by", "seq", "amount"), ["by", "seq"]).where("now <> amount").select(F.col("by").alias("__by"), F.col("seq").alias("__seq"), "now")
-    same = (F.to_json(F.struct(*by)) == F.col("__by")) & (F.col("seq") == F.col("__seq"))
-    return df.join(better, same, "left").withColumn("amount", F.coalesce(F.col("now").cast(df.schema["amount"].dataType), "amount")).select(*df.columns)
+        was = now.select("by", "seq", F.col("now").alias("was"))
+        changed = staged(cells.join(was, ["by", "seq"], "left").where("now <> coalesce(was, amount)").select("by", "seq"))
+        now = staged(now.join(cells, ["by", "seq"], "left_anti").unionByName(cells.where("now <> amount")))
+    of = F.from_json("by", "array<string>")
+    return now.select(*[of[i].cast(df.schema[c].dataType).alias(c) for i, c in enumerate(by)], "seq", "now")
+
+
+def put(df: DataFrame, better: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with the amounts (by, seq, now) that they have settled to."""
+    return df.join(better, [*by, "seq"], "left").withColumn("amount", F.coalesce(F.col("now").cast(df.schema["amount"].dataType), "amount")).select(*df.columns)
+
+
+def step(df: DataFrame, by: list[str], mine: Column, visible: float, reaches: int = REACHES) -> DataFrame:
+    """Rows of the groups of by with amounts settled one after the other; mine tells the rows to settle."""
+    return put(df, changes(df, by, mine, visible, reaches), by)
 
 
 def settled(readings: DataFrame, cfg: Settings = Settings(), reaches: int = REACHES) -> DataFrame:
     """Readings with amounts settled in the order of reading: named fighters' first, then those of "Unknown" among all of a clip
-    that have a fighter. Readings without a fighter take no part. seq must tell a clip's readings apart."""
-    named = F.col("fighter").isNotNull() & (F.col("fighter") != "")
-    known = staged(step(readings.where(named), COMPANY, F.col("fighter") != "Unknown", cfg.visible, reaches))
-    clips = known.where("fighter = 'Unknown'").select("clip_id").distinct()
-    with_any = step(known.join(clips, "clip_id", "left_semi").select(*readings.columns), ["clip_id"], F.col("fighter") == "Unknown", cfg.visible, reaches)
-    rest = known.join(clips, "clip_id", "left_anti").select(*readings.columns)
-    return readings.where(~named | named.isNull()).unionByName(rest).unionByName(with_any)
+    that have a fighter. Readings without a fighter take no part. seq must tell a clip's readings apart.
+
+    Both folds go over a few columns alone; whole readings meet the amounts of both at the end.
+    """
+    known = readings.where("fighter is not null and fighter <> ''").select(*COMPANY, "seq", "t", "amount", "flags")
+    first = staged(changes(known, COMPANY, F.col("fighter") != "Unknown", cfg.visible, reaches).select("clip_id", "seq", "now"))
+    second = changes(put(known, first, ["clip_id"]), ["clip_id"], F.col("fighter") == "Unknown", cfg.visible, reaches)
+    return put(readings, staged(first.unionByName(second)), ["clip_id"])
