@@ -16,6 +16,8 @@ COMPANY = ["clip_id", "kind", "dir", "fighter"]
 #: How many times as long as the reach of settling a stretch of time is that one group holds.
 REACHES = 50
 DIGITS = "0123456789"
+#: Rows that one task of the band join holds, about.
+TASK_ROWS = 1 << 19
 
 
 def bare() -> Column:
@@ -23,7 +25,7 @@ def bare() -> Column:
     return F.coalesce(F.size("flags"), F.lit(0)) == 0
 
 
-def _fair(amount: Column, n: Column, flags: Column, other: Column, m: Column) -> Column:
+def _fair(amount: Column, n: Column, bare: Column, other: Column, m: Column) -> Column:
     """Whether a row of an amount read n times may be one of another read m times.
 
     A number read once yields to one a glyph off that was read twice; a repeated one without a tag yields to the number it
@@ -31,25 +33,30 @@ def _fair(amount: Column, n: Column, flags: Column, other: Column, m: Column) ->
     """
     a, b = amount.cast("string"), other.cast("string")
     longer = F.substring(a, 1, 9).startswith(b) & (F.length(a) == F.length(b) + 1)
-    return F.when(n == 1, one_glyph_off(a, b) & (m >= 2)).otherwise((F.coalesce(F.size(flags), F.lit(0)) == 0) & longer & (m >= 2 * n + 1))
+    return F.when(n == 1, one_glyph_off(a, b) & (m >= 2)).otherwise(bare & longer & (m >= 2 * n + 1))
 
 
 def settled_by_join(readings: DataFrame, visible: float = 12.0, company: list[str] | None = None, order: str = "seq", time: str = "t") -> DataFrame:
     """Readings with amounts settled from the counts as they were read, by a band join within each company.
 
-    Times are cut into cells as wide as the band, so that a row meets its own cell and both neighbours alone; equal rows of
-    a cell meet as one.
+    Only rows whose amount may yield meet others, and only those of an amount that it may yield to. Times are cut into cells as
+    wide as the band, so that a row meets its own cell and both neighbours alone; equal rows of a cell meet as one. Rows are
+    dealt out in parts by their number, so that a task's memory doesn't grow with the table.
     """
     company = company or COMPANY
-    named = F.col(company[-1]).isNotNull()
-    w = Window.partitionBy(*company, "amount")
-    df = readings.withColumn("__n", F.count("*").over(w)).withColumn("__cell", F.floor(F.col(time) / visible))
-    odd = df.where(named & ((F.col("__n") == 1) | (F.coalesce(F.size("flags"), F.lit(0)) == 0)))
-    odd = odd.select(*company, order, time, "amount", "flags", "__n", F.explode(F.array(*[F.col("__cell") + i for i in (-1, 0, 1)])).alias("__cell"))
-    others = df.where(named & (F.col("__n") >= 2)).groupBy(*company, "__cell", F.col("amount").alias("__o"), F.col(time).alias("__ot"), F.col("__n").alias("__m")).agg(F.min(order).alias("__oseq"))
-    met = odd.join(others, [*company, "__cell"]).where((F.abs(F.col(time) - F.col("__ot")) <= visible) & _fair(F.col("amount"), F.col("__n"), F.col("flags"), F.col("__o"), F.col("__m")))
-    best = met.groupBy(*company, order).agg(F.max_by("__o", F.struct("__m", -F.col("__oseq"))).alias("__best"))
-    out = df.join(best, [*company, order], "left").withColumn("amount", F.coalesce("__best", "amount"))
+    rows = readings.where(F.col(company[-1]).isNotNull()).select(*company, F.col(order).alias("__seq"), F.col(time).alias("__t"), "amount", "flags")
+    met = staged(chances(rows, company, glyphs="-" + DIGITS))
+    pairs = met.select(*company, "amount", "__n", F.explode("__chances").alias("__x")).select(*company, "amount", "__n", "__x.__m", "__x.__other")
+    parts = max(int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // TASK_ROWS + 1)
+    rows = rows.withColumn("__bare", bare()).drop("flags").withColumn("__cell", F.floor(F.col("__t") / visible))
+    odd = rows.join(pairs, [*company, "amount"]).where(_fair(F.col("amount"), F.col("__n"), F.col("__bare"), F.col("__other"), F.col("__m")))
+    odd = odd.select(*company, "__seq", "__t", "__m", "__other", F.explode(F.array(*[F.col("__cell") + i for i in (-1, 0, 1)])).alias("__cell"))
+    others = rows.join(pairs.select(*company, F.col("__other").cast(rows.schema["amount"].dataType).alias("amount")).distinct(), [*company, "amount"], "left_semi")
+    others = others.select(*company, "__seq", "__t", "__cell", F.col("amount").cast("long").alias("__other")).repartition(parts, *company, "__other", "__cell")
+    others = others.groupBy(*company, "__cell", "__other", F.col("__t").alias("__ot")).agg(F.min("__seq").alias("__oseq"))
+    near = odd.join(others, [*company, "__other", "__cell"]).where(F.abs(F.col("__t") - F.col("__ot")) <= visible)
+    best = staged(near.groupBy(*company, F.col("__seq").alias(order)).agg(F.max_by("__other", F.struct("__m", -F.col("__oseq"))).alias("__best")))
+    out = readings.join(best, [*company, order], "left").withColumn("amount", F.coalesce(F.col("__best").cast(readings.schema["amount"].dataType), "amount"))
     return out.select(*readings.columns)
 
 

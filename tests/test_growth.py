@@ -37,3 +37,26 @@ def test_settling_passes_on_what_may_change_alone(spark, monkeypatch):
     assert max(written) <= 5
 
 
+def test_the_band_join_meets_what_may_change_alone(spark, monkeypatch):
+    written = counted(monkeypatch, settle)
+    got = settle.settled_by_join(company(spark))
+    assert got.where("clip_id = 'odd'").select("amount").distinct().collect() == [(47,)] and got.count() == 303
+    assert max(written) <= 5
+
+
+def test_the_band_join_is_dealt_out_by_the_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(settle, "TASK_ROWS", 10)
+    assert {r.amount for r in settle.settled_by_join(company(spark)).where("clip_id = 'odd'").collect()} == {47}
+    parts = []
+    repartition = type(company(spark)).repartition
+    monkeypatch.setattr(type(company(spark)), "repartition", lambda self, n, *cols: parts.append(n) or repartition(self, n, *cols))
+    settle.settled_by_join(company(spark))
+    assert parts == [31]
+
+
+def test_signs_and_repeated_orders_in_the_band_join(spark):
+    rows = [("c", 0, 1.0, 5, []), ("c", 0, 1.0, 900, []), ("c", 1, 1.0, -5, []), ("c", 2, 1.0, -5, [])]
+    df = spark.createDataFrame(rows, "k string, seq long, t double, amount int, flags array<string>")
+    assert sorted(r.amount for r in settle.settled_by_join(df, company=["k"]).collect()) == [-5, -5, -5, -5]
+
+
