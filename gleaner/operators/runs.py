@@ -48,20 +48,21 @@ def _rejoin(horizon: float):
 
 def rejoined(df: DataFrame, by: tuple[str, ...] = HIT, horizon: float = 24.0, parts: int = 0) -> DataFrame:
     """Readings with runs put together again: with the ones before if both show a common second, or if this shows none, those
-    show some, and no more than horizon lies between.
+    show some, and no more than horizon lies between; alone tells the readings that are all of their stretch.
 
     A run shows a second that those before it, as far as they are joined, show as well, if the last run that showed one of its
     seconds is among them; so the scan needs no sets of seconds. A stretch is called by its first run.
     """
-    df = df.withColumn("__key", key_of(*by))
-    run = df.groupBy("__key", "run").agg(F.min("read_at").alias("first_at"), F.max("read_at").alias("last_at"), F.max(F.col("second").isNotNull()).alias("timed"))
+    df = staged(df.withColumn("__key", key_of(*by)))
+    run = df.groupBy("__key", "run").agg(F.count("*").alias("readings"), F.min("read_at").alias("first_at"), F.max("read_at").alias("last_at"), F.max(F.col("second").isNotNull()).alias("timed"))
     shown = df.where("second is not null").select("__key", "run", "second").distinct()
     shown = shown.withColumn("linked", F.lag("run").over(Window.partitionBy("__key", "second").orderBy("run"))).where("linked is not null")
     run = staged(run.join(shown.groupBy("__key", "run").agg(F.max("linked").alias("linked")), ["__key", "run"], "left"))
     if not parts and (run.agg(F.max("run")).first()[0] or 0) >= LONG:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fold = carried(run, "__key", "run", ["first_at", "last_at", "linked", "timed"], _rejoin(horizon), (-1, -1, 0.0), "stretch", parts)
-    return df.join(fold.select("__key", "run", "stretch"), ["__key", "run"]).drop("__key")
+    alone = F.sum("readings").over(Window.partitionBy("__key", "stretch")) == 1
+    return df.join(staged(fold.withColumn("alone", alone).select("__key", "run", "stretch", "alone")), ["__key", "run"]).drop("__key")
 
 
 def known_tags(flags: Column) -> Column:
@@ -135,7 +136,7 @@ def merged(df: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     line's event comes from the readings of its second, and how often and long it was seen from the readings nearest to it; a
     line of copies alone comes from those nearest to it. A stretch without either is one event.
     """
-    df = staged(df.withColumn("key", key_of(*HIT, "stretch")))
+    df = df.withColumn("key", key_of(*HIT, "stretch"))
     known = df.where("second is not null").groupBy("key", "second").agg(F.min("t").alias("at"))
     frames = df.where("ft is not null").groupBy("key", "ft", "pass").agg(F.count("*").alias("n")).groupBy("key", F.col("ft").alias("at")).agg(F.max("n").alias("n"))
     extra = copies(frames, known.select("key", "at"), "key", cfg.copy_apart)
@@ -147,10 +148,11 @@ def merged(df: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     mine = told(by_line, "mine", "key", "nth")
     own = told(summed(df.where("second is not null"), "key", "second"), "own", "key", "second")
     line = lines.join(mine, ["key", "nth"], "full").join(own, ["key", "second"], "left")
-    # a line of copies to which no reading is nearest tells of the whole stretch
+    # a line of copies to which no reading is nearest tells of the whole stretch; there are few such
     bare = F.col("second").isNull() & F.col("at").isNotNull()
-    alone = by_line.groupBy("key", "flags").agg(F.sum("votes").alias("votes"), F.min("met").alias("met"), F.min("base").alias("base"), F.min("from").alias("from"), F.max("to").alias("to"))
-    line = line.join(told(alone, "whole", "key"), "key", "left")
+    lost = staged(lines.where("second is null").join(by_line.select("key", "nth"), ["key", "nth"], "left_anti").select("key").distinct())
+    every = by_line.join(lost, "key", "left_semi").groupBy("key", "flags").agg(F.sum("votes").alias("votes"), F.min("met").alias("met"), F.min("base").alias("base"), F.min("from").alias("from"), F.max("to").alias("to"))
+    line = line.join(staged(told(every, "whole", "key")), "key", "left")
     line = line.withColumn("s", F.coalesce("own", "mine", "whole")).withColumn("b", F.coalesce("mine", "own", "whole")).withColumn("base", F.col("s.base.r"))
     fighter, incoming = F.col("base.fighter"), F.col("base.dir") == "in"
     return line.select(
@@ -162,7 +164,21 @@ def merged(df: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     )
 
 
+def single(df: DataFrame) -> DataFrame:
+    """The events of stretches of one reading, as merged() would have them: an untimed reading's line is a copy in its frame."""
+    bare, incoming = F.col("second").isNull() & F.col("ft").isNotNull(), F.col("dir") == "in"
+    return df.select(
+        "clip_id", "seq", "pass", "ft", "wall_s", F.when(bare, tenths(F.col("ft"))).otherwise(F.col("t")).alias("t"), "exact", "kind", "dir",
+        F.when(incoming, F.col("fighter")).otherwise(F.col("who")).alias("who"), F.when(incoming, F.col("target")).otherwise(F.col("fighter")).alias("target"),
+        "fighter", "amount", "ability", "flags", "raw", F.lit(1).cast("long").alias("seen"), tenths(F.col("read_at") - F.col("read_at")).alias("span"), F.col("read_at").alias("last"),
+    )
+
+
 def events(readings: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """The events that the readings tell of; those without a fighter go."""
-    out = merged(rejoined(stretches(readings, cfg), HIT, 2 * cfg.visible), cfg)
-    return out.where("fighter is not null and fighter <> ''")
+    """The events that the readings tell of; those without a fighter go.
+
+    A stretch of one reading, of which a fast fight has most, is its event as it stands; only the others are summed up.
+    """
+    df = stretches(readings.where("fighter is not null and fighter <> ''"), cfg)
+    df = staged(rejoined(df, HIT, 2 * cfg.visible))
+    return single(df.where("alone")).unionByName(merged(df.where("not alone"), cfg))

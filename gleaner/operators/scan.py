@@ -15,7 +15,7 @@ from gleaner.sources.staging import staged
 
 def key_of(*by: str) -> Column:
     """One column that is equal where all the columns are, nulls included."""
-    return F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*[F.col(c).alias(str(i)) for i, c in enumerate(by)]), {"ignoreNullFields": "false"})
 
 
 def in_groups(df: DataFrame, by: list[str], order: list[str], fold: Callable[[pa.Table, np.ndarray], pa.RecordBatch], spec: str) -> DataFrame:

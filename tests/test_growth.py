@@ -60,3 +60,45 @@ def test_signs_and_repeated_orders_in_the_band_join(spark):
     assert sorted(r.amount for r in settle.settled_by_join(df, company=["k"]).collect()) == [-5, -5, -5, -5]
 
 
+def lone(spark):
+    """Readings that stand alone: timed or not, without a time of their frame or of the clip, without a direction, with tags."""
+    rows = []
+    for i in range(64):
+        ft = None if i % 5 == 0 else 100.0 * i + 0.25
+        t = None if i % 7 == 0 and ft is not None else 100.0 * i + 0.75
+        way = (None, "in", "out")[i % 3]
+        rows.append((f"c{i % 4}", i, i % 2, ft, 5.0 if i % 6 == 0 else None, t, i % 4 == 0, "hit", way, "Ith", "You", "Ith", i, None, ["Torso", "odd"][: i % 3], f"raw{i}"))
+    return spark.createDataFrame(rows, schema.READING)
+
+
+@pytest.mark.parametrize("cfg", [Settings(), Settings(exact_second_key=True)])
+def test_stretches_of_one_reading_are_events_as_merged(spark, cfg):
+    df = runs.rejoined(runs.stretches(lone(spark), cfg), runs.HIT, 24.0)
+    assert df.where("not alone").isEmpty()
+    got, want = runs.single(df), runs.merged(df, cfg)
+    assert got.columns == want.columns and [t for _, t in got.dtypes] == [t for _, t in want.dtypes]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_only_stretches_of_several_readings_are_summed_up(spark, monkeypatch):
+    met, nearest = [], runs.nearest_line
+
+    def told(readings, *rest):
+        met.append(readings.count())
+        return nearest(readings, *rest)
+
+    monkeypatch.setattr(runs, "nearest_line", told)
+    several = lone(spark).where("seq = 1").withColumn("seq", F.explode(F.array(F.lit(201), F.lit(202)).cast("array<long>"))).withColumn("amount", F.lit(777))
+    assert runs.events(lone(spark).unionByName(several)).count() == 64 + 1
+    assert met == [2]
+
+
+def test_parts_meet_before_their_words_are_dealt_out(spark, tmp_path):
+    rows = [(0, "large ring", "Brand#7", "LARGE"), (1, "hot iron bolt", "Brand#16", "SMALL"), (2, None, "Brand#1", None)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    df = likeness.likeness_pairs(spark, str(tmp_path))
+    assert [(r.p_partkey, r["at"], r.word, r.other) for r in df.orderBy("p_partkey", "at").collect()] == [
+        (1, 0, "hot", "large"), (1, 1, "iron", "ring"), (1, 2, "bolt", "Brand#7"), (1, 3, "Brand#16", "LARGE"), (2, 0, "Brand#1", "hot"),
+    ]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
