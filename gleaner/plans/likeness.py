@@ -21,15 +21,26 @@ def blocks_sql(pairs: str) -> str:
   lk as (select a, b, 2.0::double * sum(coalesce(m.k, 0)) / (length(a) + length(b)) likeness from iv group by a, b)"""
 
 
+def _shown(spark, sf_dir):
+    return c._table(spark, sf_dir, "part").select("p_partkey", F.split(F.concat_ws(" ", "p_name", "p_brand", "p_type"), " ").alias("words"))
+
+
 def _words(spark, sf_dir):
-    return c._table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split(F.concat_ws(" ", "p_name", "p_brand", "p_type"), " ")).alias("at", "word"))
+    return _shown(spark, sf_dir).select("p_partkey", F.posexplode("words").alias("at", "word"))
 
 
 def likeness_pairs(spark, sf_dir):
-    """The likeness of each part's words to those of the part before it."""
-    w = _words(spark, sf_dir)
-    other = w.select((F.col("p_partkey") + 1).alias("p_partkey"), "at", F.col("word").alias("other"))
-    return w.join(other, ["p_partkey", "at"]).select("p_partkey", "at", "word", "other", F.round(similarity.ratio("word", "other"), 9).alias("likeness"))
+    """The likeness of each part's words to those of the part before it.
+
+    Parts meet with all their words, so that what is held is a row a part; they are dealt out in as many parts as the session
+    sets, as they are few bytes and much work.
+    """
+    p = _shown(spark, sf_dir)
+    p = p.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    other = _shown(spark, sf_dir).select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("words").alias("others"))
+    met = p.join(other, "p_partkey").select("p_partkey", F.posexplode(F.arrays_zip("words", "others")).alias("at", "x"))
+    met = met.select("p_partkey", "at", F.col("x.words").alias("word"), F.col("x.others").alias("other")).where("word is not null and other is not null")
+    return met.select("p_partkey", "at", "word", "other", F.round(similarity.ratio("word", "other"), 9).alias("likeness"))
 
 
 def norm_keys(spark, sf_dir):
