@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gleaner import schema
 from gleaner.config import Settings
 from gleaner.operators import runs, settle
-from gleaner.plans import likeness
+from gleaner.plans import likeness, reconstruct
 
 COMPANY = "clip_id string, seq long, t double, kind string, dir string, fighter string, amount int, flags array<string>"
 
@@ -102,3 +102,12 @@ def test_parts_meet_before_their_words_are_dealt_out(spark, tmp_path):
     ]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join")
+
+
+def test_settled_readings_are_not_stored_before_the_runs(spark, monkeypatch):
+    written = counted(monkeypatch, reconstruct)
+    lines = [("c", i, i / 2, 0, 0, f"[10:00:0{i // 2}] You hit Bigilo for 5{i % 2}") for i in range(8)]
+    ocr = spark.createDataFrame(lines, schema.OCR_LINES)
+    clips = spark.createDataFrame([("c", 60.0)], "clip_id string, duration double")
+    assert reconstruct.events(ocr, clips).count() > 0
+    assert len(written) == 5
