@@ -31,6 +31,8 @@ MOST = 3
 PART_WORDS = 250_000
 #: Words that one task should move at most; a mix of more than the session's shuffle partitions can hold gets more of them.
 TASK_WORDS = 20_000_000
+#: Draws that are broadcast, so that whole texts needn't move to meet them; a mix of more draws moves its texts instead.
+SENT = 1 << 19
 
 
 def block_key(blocks: int) -> tuple[Column, Column]:
@@ -135,6 +137,8 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     draws, sources = plan(sized(docs), shards)
     block, place, shard, s, b, turn = (fresh(docs, x) for x in ("block", "place", "shard", "s", "b", "pass"))
     d = draws.select(F.col("source").alias(s), F.col("block").alias(b), F.col("pass").alias(turn), F.col("shard").alias(shard))
+    if sources.count() * BLOCKS * MOST <= SENT:
+        d = F.broadcast(d)
     out = docs.withColumn(block, block_key(BLOCKS)[1]).join(d, F.col("source").eqNullSafe(F.col(s)) & (F.col(block) == F.col(b)))
     out = out.withColumn(place, F.xxhash64(F.lit(SEED + 1), F.col("doc_id"), F.col(turn), F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))))
     words = sources.agg(F.sum("target")).first()[0] or 0

@@ -106,3 +106,18 @@ def test_mix_leaves_the_columns_of_its_input_alone(spark, docs):
     assert out.columns == wide.columns
     got = out.collect()
     assert got and all(r[n] == n + ("-" if r.doc_id is None else str(r.doc_id)) for r in got for n in names)
+
+
+def test_whole_texts_move_once_unless_draws_are_too_many(spark, docs, monkeypatch):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = m.mix(docs)
+        assert "BroadcastHashJoin" in few._jdf.queryExecution().sparkPlan().toString().split("SortMergeJoin")[0]
+        want = sorted(map(str, few.collect()))
+        monkeypatch.setattr(m, "SENT", 0)
+        many = m.mix(docs)
+        assert "BroadcastHashJoin" not in many._jdf.queryExecution().sparkPlan().toString().split("SortMergeJoin")[0]
+        assert sorted(map(str, many.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
