@@ -36,16 +36,21 @@ def in_clip(events: DataFrame, clips: DataFrame, tail: float = 5.0) -> DataFrame
     return events.join(ends, "clip_id").where((F.col("t") >= 0) & (F.col("t") <= F.col("__ends") + tail)).drop("__ends")
 
 
-def without_noise(events: DataFrame, last_frame: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Events read often enough for their clip, or timed and either long in view or still there at the end.
+def judged(events: DataFrame, last_frame: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """Events with real: read often enough for their clip, or timed and either long in view or still there at the end.
 
     last_frame has clip_id and ends, the time of the clip's last frame.
     """
     floor = noise_floor(events, ("clip_id",), "seen", cfg.seen_cap, cfg.seen_share, cfg.min_seen)
-    df = events.join(floor, "clip_id").join(last_frame, "clip_id", "left")
-    spans = df.where("seen >= floor").groupBy("clip_id").agg((upper_median("span") * cfg.seen_share).alias("lasted"))
+    df = events.join(floor.join(last_frame, "clip_id", "left"), "clip_id")
+    spans = events.select("clip_id", "seen", "span").join(floor, "clip_id").where("seen >= floor").groupBy("clip_id").agg((upper_median("span") * cfg.seen_share).alias("lasted"))
     df = df.join(spans, "clip_id", "left")
     long_there = (F.coalesce("lasted", F.lit(0.0)) > 0) & (F.col("span") >= F.col("lasted"))
     still_there = (F.col("last") >= F.coalesce("ends", F.lit(0.0))) & (F.col("seen") >= 2)
     real = (F.col("seen") >= F.col("floor")) | (F.col("exact") & (long_there | still_there))
-    return df.where(real).select(*events.columns)
+    return df.select(*events.columns, F.coalesce(real, F.lit(False)).alias("real"))
+
+
+def without_noise(events: DataFrame, last_frame: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """Events that are real, as judged() has it."""
+    return judged(events, last_frame, cfg).where("real").drop("real")

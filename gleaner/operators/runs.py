@@ -29,11 +29,37 @@ def second(cfg: Settings) -> Column:
 
 
 def stretches(readings: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Readings with read_at, second and run: stretches without a break of more than the line's span."""
-    df = readings.withColumn("read_at", F.coalesce("ft", "t")).withColumn("second", second(cfg))
+    """Readings with read_at, second and run: stretches without a break of more than the line's span.
+
+    They are dealt out in as many parts as the session sets, as the passes over them are much work for few bytes.
+    """
+    df = readings.repartition(int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions")), *HIT)
+    df = df.withColumn("read_at", F.coalesce("ft", "t")).withColumn("second", second(cfg))
     return islands(df, HIT, "read_at", cfg.visible, ("t", "seq"), "run")
 
 
+def apart(df: DataFrame, horizon: float = 24.0) -> DataFrame:
+    """Readings of stretches() with stretch, alone and key as far as that is told without a scan; a null stretch says that it is not.
+
+    A run begins a stretch for sure if it shows seconds but none that a run before it shows, or if it shows none and lies farther
+    than horizon from the one before. What lies between such beginnings is put together by a scan only if it has several runs and
+    one of them shows a second. All passes work where the readings lie. key is a number that no other run, or stretch, has.
+    """
+    order, run = Window.partitionBy(*HIT).orderBy("read_at", "t", "seq"), Window.partitionBy(*HIT, "run")
+    df = df.withColumn("key", F.monotonically_increasing_id())
+    df = df.withColumn("__gap", F.when(F.col("run") > F.lag("run").over(order), F.col("read_at") - F.lag("read_at").over(order)))
+    df = df.withColumn("__shown", F.col("second").isNotNull() & (F.min("run").over(Window.partitionBy(*HIT, "second")) < F.col("run")))
+    df = df.withColumns({
+        "__n": F.count("*").over(run), "__timed": F.max(F.col("second").isNotNull()).over(run), "__linked": F.max("__shown").over(run), "__near": F.coalesce(F.max("__gap").over(run) <= horizon, F.lit(False)), "key": F.min("key").over(run),
+    })
+    begins = F.when(~F.when(F.col("__timed"), F.col("__linked")).otherwise(F.col("__near")), F.col("run"))
+    df = df.withColumn("__begin", F.max(begins).over(Window.partitionBy(*HIT).orderBy("run")))
+    piece = Window.partitionBy(*HIT, "__begin")
+    df = df.withColumn("__scanned", (F.max("run").over(piece) > F.col("__begin")) & F.max("__timed").over(piece))
+    df = df.withColumn("stretch", F.when(~F.col("__scanned"), F.col("run"))).withColumn("alone", F.col("stretch").isNotNull() & (F.col("__n") == 1))
+    return df.drop("__gap", "__shown", "__n", "__timed", "__linked", "__near", "__begin", "__scanned")
+
+
 def _rejoin(horizon: float):
     def step(state, run, first_at, last_at, linked, timed):
         """state: the first run of what was joined so far, the last of its runs with a second, the last reading."""
@@ -89,8 +115,9 @@ def copies(frames: DataFrame, known: DataFrame, key: str, apart: float = 2.0) ->
     most copies the first frame with k of them adds a line, unless it is near another one or there are as many lines as copies.
     """
     most = frames.groupBy(key).agg(F.max("n").alias("most")).join(known.groupBy(key).agg(F.count("*").alias("lines")), key, "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
-    first = frames.join(most.where("most > lines"), key).select(key, "most", "lines", "at", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
-    first = first.groupBy(key, "most", "lines", "k").agg(F.min("at").alias("at"))
+    # a frame is the first with more copies than any before it; one row for it does, as its other ones would be near this
+    before = F.coalesce(F.max("n").over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = frames.join(most.where("most > lines"), key).withColumn("k", before + 1).where("n >= k").select(key, "most", "lines", "k", "at")
     # a line meets the cells of time beside its own alone
     cell = lambda d: F.floor((F.col("at") + d) / (apart + 1))
     around = known.select(key, F.col("at").alias("__line"), F.explode(F.array(*[cell(d) for d in (-apart - 1, 0.0, apart + 1)])).alias("__cell"))
@@ -110,7 +137,7 @@ def copies(frames: DataFrame, known: DataFrame, key: str, apart: float = 2.0) ->
         kept = pa.array(out, pa.int64())
         return pa.RecordBatch.from_arrays([rows[key].combine_chunks().take(kept), rows["at"].combine_chunks().take(kept)], [key, "at"])
 
-    return in_groups(free.select(key, "k", "at", (F.col("most") - F.col("lines")).alias("room")), [key], ["k"], fold, f"{key} string, at double")
+    return in_groups(free.select(key, "k", "at", (F.col("most") - F.col("lines")).alias("room")), [key], ["k"], fold, f"{key} {free.schema[key].dataType.simpleString()}, at double")
 
 
 def nearest_line(readings: DataFrame, lines: DataFrame, key: str) -> DataFrame:
@@ -136,7 +163,7 @@ def merged(df: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     line's event comes from the readings of its second, and how often and long it was seen from the readings nearest to it; a
     line of copies alone comes from those nearest to it. A stretch without either is one event.
     """
-    df = df.withColumn("key", key_of(*HIT, "stretch"))
+    df = df if "key" in df.columns else df.withColumn("key", key_of(*HIT, "stretch"))
     known = df.where("second is not null").groupBy("key", "second").agg(F.min("t").alias("at"))
     frames = df.where("ft is not null").groupBy("key", "ft", "pass").agg(F.count("*").alias("n")).groupBy("key", F.col("ft").alias("at")).agg(F.max("n").alias("n"))
     extra = copies(frames, known.select("key", "at"), "key", cfg.copy_apart)
@@ -177,8 +204,11 @@ def single(df: DataFrame) -> DataFrame:
 def events(readings: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """The events that the readings tell of; those without a fighter go.
 
-    A stretch of one reading, of which a fast fight has most, is its event as it stands; only the others are summed up.
+    Only runs that may be joined are scanned. A stretch of one reading, of which a fast fight has most, is its event as it stands;
+    only the others are summed up.
     """
-    df = stretches(readings.where("fighter is not null and fighter <> ''"), cfg)
-    df = staged(rejoined(df, HIT, 2 * cfg.visible))
+    df = staged(apart(stretches(readings.where("fighter is not null and fighter <> ''"), cfg), 2 * cfg.visible))
+    scanned = rejoined(df.where("stretch is null").drop("stretch", "alone"), HIT, 2 * cfg.visible)
+    scanned = staged(scanned.withColumn("key", F.min("key").over(Window.partitionBy(*HIT, "stretch"))))
+    df = df.where("stretch is not null").unionByName(scanned)
     return single(df.where("alone")).unionByName(merged(df.where("not alone"), cfg))

@@ -130,9 +130,10 @@ def runs_kept(spark, sf_dir):
 def real_summary(spark, sf_dir):
     """The summary of a clip's steps, from lines to what noise filtering keeps, and the first of what it drops."""
     log = c._stand_in(spark, sf_dir).withColumn("frame_no", F.col("ft").cast("int"))
-    every = staged(runs.events(c._stand_in(spark, sf_dir)))
-    kept = staged(prune.without_noise(every, log.groupBy("clip_id").agg(F.max("ft").alias("ends"))))
-    out = report.summary(log, log, every, kept).join(report.dropped(every, kept), "clip_id", "left")
+    clips = staged(log.groupBy("clip_id").agg(F.count_distinct("frame_no").alias("frames"), F.count("*").alias("lines"), F.count("*").alias("readings"), F.max("ft").alias("ends")))
+    every = staged(runs.events(c._stand_in(spark, sf_dir)).select("clip_id", "t", "dir", "kind", "fighter", "amount", "last", "seen", "span", "exact"))
+    judged = staged(prune.judged(every, clips.select("clip_id", "ends")).drop("seen", "span", "exact"))
+    out = report.judged_summary(clips.drop("ends"), judged)
     return out.withColumn("first_dropped", F.array_join(F.coalesce("first_dropped", F.array().cast("array<string>")), ","))
 
 

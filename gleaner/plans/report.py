@@ -52,10 +52,21 @@ def summary(ocr_lines: DataFrame, readings: DataFrame, folded: DataFrame, kept:
     return df.withColumn("dropped", F.col("folded") - F.col("kept"))
 
 
+def judged_summary(lines: DataFrame, judged: DataFrame) -> DataFrame:
+    """summary() and dropped() from each clip's sums of lines and from events that say whether they are real; these are a table."""
+    n = judged.groupBy("clip_id").agg(F.count("*").alias("folded"), F.count_if("real").alias("kept"))
+    df = lines.join(n, "clip_id", "left").na.fill(0, ["folded", "kept"]).withColumn("dropped", F.col("folded") - F.col("kept"))
+    return df.join(first_told(judged.where("not real")), "clip_id", "left")
+
+
 def dropped(folded: DataFrame, kept: DataFrame, most: int = 6) -> DataFrame:
     """The first few events of each clip that were left out as noise, as fighter:amount in order of time."""
     told = ["clip_id", "t", "dir", "kind", "fighter", "amount", "last", "seen", "span", "exact"]
-    gone = folded.select(*told).exceptAll(kept.select(*told))
+    return first_told(folded.select(*told).exceptAll(kept.select(*told)), most)
+
+
+def first_told(gone: DataFrame, most: int = 6) -> DataFrame:
+    """The first few of each clip's events, as fighter:amount in order of time."""
     nth = F.row_number().over(Window.partitionBy("clip_id").orderBy("t", "dir", "kind", "fighter", "amount", "last"))
     first = gone.withColumn("nth", nth).where(F.col("nth") <= most).groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct("nth", F.concat_ws(":", "fighter", F.col("amount").cast("string")).alias("said")))).alias("x"))
     return first.select("clip_id", F.transform("x", lambda x: x["said"]).alias("first_dropped"))

@@ -1,12 +1,14 @@
 """How much of a table travels: steps pass on the rows that they need, and as many as the input has in parts that don't grow."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner import schema
 from gleaner.config import Settings
-from gleaner.operators import runs, settle
-from gleaner.plans import likeness, reconstruct
+from gleaner.operators import prune, runs, settle
+from gleaner.plans import likeness, reconstruct, report
 
 COMPANY = "clip_id string, seq long, t double, kind string, dir string, fighter string, amount int, flags array<string>"
 
@@ -93,6 +95,62 @@ def test_only_stretches_of_several_readings_are_summed_up(spark, monkeypatch):
     assert met == [2]
 
 
+def broken(spark, seed):
+    """Readings of runs that show seconds of runs before them, or none, with breaks on both sides of the horizon."""
+    rng, rows = random.Random(seed), []
+    for fighter in ("Ith", "Karyna", "Zork", "Zork2"):
+        at = 0.0
+        for i in range(120):
+            at += rng.choice([1.0, 13.0, 20.0, 24.0, 25.0, 60.0])
+            t = float(rng.choice([at, at - 20, at - 70, 5.0])) if fighter != "Zork2" else at
+            rows.append(("c", len(rows), i % 2, at, None, t, rng.random() < (0.5 if fighter != "Zork" else 0.1), "hit", None if i % 9 else "in", "You", "Ith", fighter, 7, None, [], ""))
+    return spark.createDataFrame(rows, schema.READING)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_runs_told_without_a_scan_are_as_scanned(spark, seed):
+    df = runs.stretches(broken(spark, seed))
+    want = {r.seq: (r.stretch, r.alone) for r in runs.rejoined(df, runs.HIT, 24.0).collect()}
+    told = runs.apart(df).collect()
+    known = {r.seq: (r.stretch, r.alone) for r in told if r.stretch is not None}
+    assert len(told) == 480 and 50 < len(known) < 430 and known == {k: want[k] for k in known}
+    rest = runs.rejoined(runs.apart(df).where("stretch is null").drop("stretch", "alone"), runs.HIT, 24.0).collect()
+    assert known | {r.seq: (r.stretch, r.alone) for r in rest} == want
+    assert len({r.key for r in told}) == len({(r.dir, r.fighter, r.run) for r in told})
+
+
+def test_only_runs_that_may_be_joined_are_scanned(spark, monkeypatch):
+    met, rejoined = [], runs.rejoined
+
+    def told(df, *rest):
+        met.append(df.count())
+        return rejoined(df, *rest)
+
+    monkeypatch.setattr(runs, "rejoined", told)
+    linked = [("c", 900 + i, 0, at, None, 5.0, True, "hit", "in", "Ith", "You", "Ith", 777, None, [], "") for i, at in enumerate((5.0, 50.0, 51.0))]
+    assert runs.events(lone(spark).unionByName(spark.createDataFrame(linked, schema.READING))).count() == 64 + 1
+    assert met == [3]
+
+
+def test_copies_are_not_dealt_out_one_by_one(spark):
+    most = 2**31 - 1
+    frames = spark.createDataFrame([("a", 1.0, 2), ("a", 2.0, 2), ("a", 9.0, most), ("a", 10.0, most), ("b", 4.0, 1)], "key string, at double, n long")
+    known = spark.createDataFrame([("b", 4.0)], "key string, at double")
+    assert sorted(map(tuple, runs.copies(frames, known, "key").collect())) == [("a", 1.0), ("a", 9.0)]
+
+
+def test_the_summary_of_judged_events_is_that_of_the_events_left_out(spark):
+    rows = [(f"c{i % 3}", float(i), ("in", "out")[i % 2], "hit", f"f{i % 5}", i, float(i), 1 + i % 4 * 4, i % 7 / 2, i % 8 == 0) for i in range(60)]
+    events = spark.createDataFrame([*rows, *rows[:9]], "clip_id string, t double, dir string, kind string, fighter string, amount int, last double, seen long, span double, exact boolean")
+    log = spark.createDataFrame([(f"c{i % 4}", i // 8, i * 1.0) for i in range(80)], "clip_id string, frame_no int, ft double")
+    ends = log.groupBy("clip_id").agg(F.max("ft").alias("ends"))
+    kept = prune.without_noise(events, ends)
+    want = report.summary(log, log, events, kept).join(report.dropped(events, kept), "clip_id", "left")
+    lines = log.groupBy("clip_id").agg(F.count_distinct("frame_no").alias("frames"), F.count("*").alias("lines"), F.count("*").alias("readings"))
+    got = report.judged_summary(lines, prune.judged(events, ends))
+    assert 0 < kept.count() < 69 and got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_parts_meet_before_their_words_are_dealt_out(spark, tmp_path):
     rows = [(0, "large ring", "Brand#7", "LARGE"), (1, "hot iron bolt", "Brand#16", "SMALL"), (2, None, "Brand#1", None)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
